@@ -1,0 +1,29 @@
+"""Intermediate tables in the folder that driver and executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; in a single-JVM session without one, a new temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
+def stored(df: DataFrame, name: str, options: dict[str, str] | None = None, by: list[str] | None = None) -> DataFrame:
+    """df written once as Parquet and read back: lineage ends here, and an executor lost later costs a reread only."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    writer = df.write.options(**(options or {}))
+    (writer.partitionBy(*by) if by else writer).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
