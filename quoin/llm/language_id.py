@@ -152,7 +152,7 @@ def predict(docs: DataFrame, net: ByteConvNet | None) -> DataFrame:
             langs, scores = _judge(batch.column(at).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    rows = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")])
+    rows = docs.drop("lang_pred", "score")
     at = rows.columns.index("text")
     ship(docs.sparkSession)
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
@@ -166,5 +166,5 @@ def op7_language_id(spark, sf_dir: str) -> DataFrame:
 
 def known_language(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """docs without those that have no letter and those of which no language is as likely as `least`."""
-    found = predict(docs, train(docs))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+    found = predict(docs.select(F.struct("*").alias("row"), "text"), train(docs))
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")

@@ -127,6 +127,6 @@ def mixed_rows(docs: DataFrame, seed: int = 7, **how) -> DataFrame:
     last = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "source"), F.lit(1 << 52)) / float(1 << 52) < F.col("part")
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("whole") + last.cast("long")).cast("int")
     how_many = mix(docs, seed=seed, **how).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), copies.alias("_copies"))
-    rows = docs.withColumn("_words", word_count(F.col("text")))
-    met = rows.join(how_many, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
-    return met.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    met = rows.join(how_many, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")))
+    return met.filter("_copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy")).select("row.*")

@@ -55,9 +55,9 @@ def _hypergeometric(rng, good: int, bad: int, draws: int) -> int:
 
 
 def sharded(docs: DataFrame, shards: int = 8, seed: int = 17) -> DataFrame:
-    """docs with shard and slot."""
-    spark, columns = docs.sparkSession, [c for c in docs.columns if c not in ("shard", "slot")]
-    rows = docs.select(*columns)
+    """docs with shard and slot; columns of these names are replaced."""
+    spark = docs.sparkSession
+    rows = docs.drop("shard", "slot").select(F.struct("*").alias("row"))
     key = F.xxhash64(F.lit(seed), F.spark_partition_id(), F.monotonically_increasing_id())
     dealt = stored(rows.withColumn("_key", key).sortWithinPartitions("_key").withColumn("_at", F.monotonically_increasing_id()), "dealt")
     counts = dealt.groupBy(F.shiftright("_at", 33).alias("pid")).count().orderBy("pid").collect()
@@ -68,7 +68,7 @@ def sharded(docs: DataFrame, shards: int = 8, seed: int = 17) -> DataFrame:
     out = out.withColumn("shard", F.size(F.filter("_ends", lambda e: e <= F.col("_at").bitwiseAND(F.lit(LOW)))))
     out = out.withColumn("_key", F.xxhash64(F.lit(seed + 1), "_key", "_at"))
     out = out.repartitionByRange("shard", "_key", "_at").sortWithinPartitions("shard", "_key", "_at")
-    out = stored(out.select(*columns, "shard", F.monotonically_increasing_id().alias("_at")), "shuffled")
+    out = stored(out.select("row", "shard", F.monotonically_increasing_id().alias("_at")), "shuffled")
     runs = out.groupBy(F.shiftright("_at", 33).alias("_pid"), F.col("shard").alias("_shard")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("n"))
     before, offsets = {}, []
     for r in runs.orderBy("_pid", "_shard").collect():
@@ -76,7 +76,7 @@ def sharded(docs: DataFrame, shards: int = 8, seed: int = 17) -> DataFrame:
         before[r["_shard"]] = before.get(r["_shard"], 0) + r["n"]
     offsets = F.broadcast(spark.createDataFrame(offsets, "_pid bigint, _shard int, _base bigint"))
     out = out.join(offsets, (F.shiftright("_at", 33) == F.col("_pid")) & (F.col("shard") == F.col("_shard")))
-    return out.select(*columns, "shard", (F.col("_at") - F.col("_base")).alias("slot"))
+    return out.select("row.*", "shard", (F.col("_at") - F.col("_base")).alias("slot"))
 
 
 def op8_sharding(spark, sf_dir: str) -> DataFrame:

@@ -180,5 +180,6 @@ def op5_simhash(spark, sf_dir: str) -> DataFrame:
 def keep_first(docs: DataFrame, **how) -> DataFrame:
     """docs without those near another document of their component: the one with the smallest doc_id stays. Rows that
     repeat the identifier that stays all stay if they are the same document; null identifiers count as one."""
-    kept = near_components(docs, **how).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    kept = near_components(docs, **how).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), "doc_id")
+    return rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")

@@ -84,7 +84,7 @@ def judge(pages: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """pages (page_id, url), labels (page_id, blocked). page_id, host, path, rule, verdict, score."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     with_tokens = pages.select("page_id", "url", tokens_of(F.col("url"), host, path).alias("tokens"))
-    rules = mine_rules(with_tokens.join(labels, "page_id").select("tokens", "blocked"), **how)
+    rules = mine_rules(with_tokens.join(labels.select("page_id", "blocked"), "page_id").select("tokens", "blocked"), **how)
     score = mined_score(with_tokens.select("url", "tokens").filter("url is not null").distinct(), rules).withColumnRenamed("url", "_url")
     rows = pages.select("page_id", "url", host.alias("host"), path.alias("path")).join(score, F.col("url") == F.col("_url"), "left")
     fixed = fixed_rule(F.col("host"), F.col("path"))

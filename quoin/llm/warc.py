@@ -38,7 +38,8 @@ def _weak(etag: Column) -> Column:
 def resolve_revisits(records: DataFrame, chunk_seconds: int = 86_400) -> DataFrame:
     """records (record_id, url, ts long, kind 'response' or 'revisit', etag, last_modified, headers map, digest). All of
     them with canonical_url, status (full, resolved, mismatch, orphan), refers_to, digest and merged headers."""
-    rows = records.withColumn("canonical_url", canonical_url(F.col("url"))).withColumn("_chunk", F.floor(F.col("ts") / chunk_seconds))
+    rows = records.select("record_id", "url", "ts", "kind", "etag", "last_modified", "headers", "digest")
+    rows = rows.withColumn("canonical_url", canonical_url(F.col("url"))).withColumn("_chunk", F.floor(F.col("ts") / chunk_seconds))
     body = F.struct("record_id", "etag", "last_modified", "headers", "digest")
     full, at = F.col("kind") == "response", F.struct("ts", "record_id")
     last = rows.groupBy("canonical_url", "_chunk").agg(F.max_by(F.when(full, body), F.when(full, at)).alias("_last"))
