@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quoin.llm.decontaminate import clean_documents, contamination, contamination_report, original_spans
 from quoin.llm.language_id import ByteConvNet, held_out, known_language, predict, train, windows
@@ -92,7 +93,7 @@ def test_language_held_out_accuracy(spark):
     docs = docs_of(spark, rows)
     net = train(docs, per_lang=100)
     assert net.langs == ["xx", "yy", "zz"]
-    out = predict(docs, net).withColumn("held", held_out(docs["doc_id"])).collect()
+    out = predict(docs, net).withColumn("held", held_out(F.col("doc_id"))).collect()
     assert len(out) == len(rows) and all(0 <= r.score <= 1 for r in out)
     assert {r.lang_pred for r in out if r.doc_id in (900, 901, 902)} == {"und"}
     assert next(r for r in out if r.doc_id == 903).lang_pred == "xx"
