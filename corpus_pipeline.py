@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quoin.llm.decontaminate import clean_documents
 from quoin.llm.language_id import known_language
 from quoin.llm.mixing import mixed_rows
-from quoin.llm.scratch import stored
+from quoin.scratch import stored
 from quoin.llm.sharding import sharded
 from quoin.llm.simhash import keep_first
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quoin.llm.scratch import stored
+from quoin.scratch import stored
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quoin.llm.scratch import stored
+from quoin.scratch import stored
 from quoin.session import ship
 
 #: Byte by byte: A-Z become a-z, letters, digits and all bytes from 0x80 stay, all others become spaces.

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quoin.llm.components import components
-from quoin.llm.scratch import stored
+from quoin.scratch import stored
 from quoin.session import ship
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quoin.llm.scratch import stored
+from quoin.scratch import stored
 from quoin.session import ship
 
 BASE = 0x9E3779B97F4A7C15

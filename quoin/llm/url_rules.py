@@ -17,7 +17,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quoin.llm.scratch import stored
+from quoin.scratch import stored
 
 BLOCK = "=block"
 #: (verdict, host, path) of the contract's rules. Fixed values.
