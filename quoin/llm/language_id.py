@@ -113,6 +113,12 @@ def train(docs: DataFrame, per_lang: int = 1500, most_rows: int = 60_000, pieces
     """Learns from the text and lang of the documents that are not held out: up to `pieces` windows of a document, spread
     over its length, and of a language the `per_lang` windows that come first by hash."""
     text = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    # Thinned by hash to a few times per_lang documents of a language first, so that what is ranked has a fixed size too.
+    share = text.groupBy("lang").agg((F.lit(3.0 * per_lang) / F.count(F.lit(1))).alias("share"))
+    drawn = F.pmod(F.xxhash64(F.lit("drawn"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    # At most most_rows languages, so the side that is sent to all executors has a fixed size.
+    share = share.orderBy("share", "lang").limit(most_rows)
+    text = text.select("doc_id", "lang", "text").join(F.broadcast(share), "lang").filter(drawn < F.col("share"))
     n, at = F.octet_length("text"), F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))
     text = text.select("doc_id", "lang", F.col("text").cast("binary").alias("data"), n.alias("n"), at.alias("at")).filter(F.col("at") * LENGTH < F.col("n"))
     start = (F.col("at") * F.greatest(F.col("n") - LENGTH, F.lit(0)) / max(1, pieces - 1)).cast("int") + 1
