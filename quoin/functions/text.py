@@ -63,7 +63,7 @@ def postprocess(text: Column) -> Column:
 
 def region_lines(text: Column) -> Column:
     """Non-blank lines of a model's answer for one region."""
-    return F.filter(F.transform(F.split(postprocess(text), LINE_ENDS), strip), lambda x: x != "")
+    return F.filter(F.transform(F.split(postprocess(text), LINE_ENDS), lambda x: strip(x)), lambda x: x != "")
 
 
 def unescape(text: Column) -> Column:

@@ -7,7 +7,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quoin.operators.progress import MAX_ERRORS, counters
 from quoin.scratch import scratch_dir
@@ -18,16 +20,21 @@ def rollup_stream(log: DataFrame) -> DataFrame:
     return log.groupBy("job_id").agg(*counters())
 
 
-def run_available(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """All that is there now, taken in by one run; the last state as a table in the shared folder."""
+def run_available(stream: DataFrame, key: str | None = None) -> DataFrame:
+    """All that is there now, taken in by one run; the last state as a table in the shared folder. Without key each batch
+    gives the whole state (output mode complete); with it, the rows that changed (update), and the last row of a key
+    counts."""
     spark, path = stream.sparkSession, f"{scratch_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
 
-    def write(df: DataFrame, _: int) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/out")
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/out/batch={batch}" if key else f"{path}/out")
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode("update" if key else "complete").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+    if not key:
+        return spark.read.schema(stream.schema).parquet(f"{path}/out")
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{path}/out")
+    return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in stream.columns if c != key]), "batch").alias("_last")).select(key, "_last.*")
 
 
 def error_ring(log: DataFrame, most: int = MAX_ERRORS) -> DataFrame:
