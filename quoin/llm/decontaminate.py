@@ -104,7 +104,7 @@ def _scan(block, width: int):
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_windows: int = 2_000_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_windows: int = 200_000) -> DataFrame:
     """doc_id, n_words, spans (first and last word of each hit stretch, from 0), items (their item_ids, sorted)."""
     spark = docs.sparkSession
     ship(spark)
@@ -168,7 +168,7 @@ def _keep(block, width: int, most_hit: float, at: int):
     return run
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = 10, most_hit: float = 0.0, block_windows: int = 2_000_000) -> DataFrame:
+def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = 10, most_hit: float = 0.0, block_windows: int = 200_000) -> DataFrame:
     """The documents of which each block of windows hits at most the share `most_hit` of words, all columns as they were."""
     spark, out = docs.sparkSession, docs
     ship(spark)

@@ -1,0 +1,150 @@
+"""The pipeline and the queries without oracle, against plain versions over a small corpus."""
+
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+
+import corpus_pipeline
+from quoin.llm import registry
+from quoin.llm.decontaminate import words_of
+from quoin.llm.language_id import _judge, train
+from quoin.llm.simhash import fingerprint
+
+PARTS = {"en": ["tion", "the", "ing", "wh", "ea"], "de": ["ung", "sch", "ein", "ß", "keit"], "fr": ["que", "é", "eau", "oi", "ment"]}
+
+
+def corpus():
+    rng = random.Random(9)
+    word = lambda lang: "".join(rng.choice(PARTS[lang]) for _ in range(rng.randrange(1, 5)))
+    text = lambda lang, n: [word(lang) for _ in range(n)]
+    items = [(k, " ".join(text("en", 14))) for k in range(6)]
+    passage = text("en", 70)
+    docs = []
+    for i in range(240):
+        lang = rng.choice(sorted(PARTS))
+        w = text(lang, rng.randrange(5, 160))
+        if i % 20 == 3:
+            w[2:2] = items[i % 6][1].split()
+        if i % 30 == 7:
+            w = text("en", 30) + passage + text("en", 30)
+        docs.append([i, " ".join(w), lang, rng.choice(["hot"] * 4 + ["a", "b", None])])
+    for i in range(240, 280):
+        old = docs[rng.randrange(0, 200)]
+        w = old[1].split()
+        if i % 2 and len(w) > 100:
+            w[50] = "Changed"
+        docs.append([i, " ".join(w), old[2], "copy"])
+    docs += [[280, None, "en", "a"], [281, "", None, "b"], [282, "... 123 !", "en", "hot"], [283, " ".join(text("de", 9_000)), None, "b"]]
+    return [(i, t, lang, s, len(t or "")) for i, t, lang, s in docs], items
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    rows, items = corpus()
+    d = tmp_path_factory.mktemp("tables")
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{d}/benchmark.parquet")
+    return str(d)
+
+
+def components_of(texts):
+    """{id: smallest id reachable} over fingerprints at most four bits apart."""
+    ids, fps, root = sorted(texts), {i: fingerprint(t) for i, t in texts.items()}, {}
+    for i in ids:
+        if i in root:
+            continue
+        root[i], todo = i, [i]
+        while todo:
+            a = todo.pop()
+            for b in ids:
+                if b not in root and (fps[a] ^ fps[b]).bit_count() <= 4:
+                    root[b] = i
+                    todo.append(b)
+    return root
+
+
+def hit(text, items):
+    words, windows = words_of(text), set()
+    for _, t in items:
+        w = words_of(t)
+        windows |= {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9))} if w else set()
+    return any(tuple(words[k : k + 10]) in windows for k in range(len(words) - 9))
+
+
+def test_pipeline_against_plain_version(spark, folder):
+    rows, items = corpus()
+    text = {r[0]: r[1] for r in rows}
+    langs, scores = _judge([r[1] for r in rows], train(spark.read.parquet(f"{folder}/documents.parquet")))
+    known = [r[0] for r, lang, score in zip(rows, langs, scores, strict=True) if lang != "und" and score >= 0.3]
+    assert {280, 281, 282}.isdisjoint(known)
+    near = components_of({i: text[i] for i in known})
+    clean = [i for i in known if near[i] == i and not hit(text[i], items)]
+
+    docs, seen = spark.read.parquet(f"{folder}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, folder)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        seen.append((name, sorted(r.doc_id for r in docs.select("doc_id").collect())))
+    assert seen[0][1] == sorted(known) and seen[1][1] == sorted(i for i in known if near[i] == i) and seen[2][1] == sorted(clean)
+    assert len(clean) < len(seen[1][1]) < len(known)
+
+    out = corpus_pipeline.run(spark, folder).collect()
+    assert {r.doc_id for r in out} <= set(clean)
+    by_id = {r[0]: r for r in rows}
+    assert all((r.text, r.lang, r.source) == by_id[r.doc_id][1:4] for r in out)
+    copies, size = Counter(r.doc_id for r in out), {i: len(text[i].split()) for i in clean}
+    assert max(copies.values()) <= 2
+    total, own = sum(size.values()), defaultdict(int)
+    for i in clean:
+        own[by_id[i][3]] += size[i]
+    assert sum(copies[i] * size[i] for i in clean) == pytest.approx(1.5 * total, abs=sum(max(size[i] for i in clean if by_id[i][3] == s) for s in own))
+    shards = Counter(r.shard for r in out)
+    assert max(shards.values()) - min(shards.values()) <= 1 and all(sorted(r.slot for r in out if r.shard == k) == list(range(n)) for k, n in shards.items())
+
+
+def test_op5_query(spark, folder):
+    rows, _ = corpus()
+    near = components_of({r[0]: r[1] for r in rows})
+    got = registry.QUERIES["op5_simhash"](spark, folder).collect()
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {r[0]: (f"{fingerprint(r[1]):016x}", near[r[0]]) for r in rows}
+
+
+def test_op6_query(spark, folder):
+    rows, _ = corpus()
+    seen = defaultdict(list)
+    for i, t, *_ in rows:
+        w = (t or "").split()
+        for k in range(len(w) - 49):
+            seen[tuple(w[k : k + 50])].append((i, k))
+    want = {i for v in seen.values() if len(v) > 1 for i, _ in v}
+    got = registry.QUERIES["op6_suffix_array"](spark, folder).collect()
+    assert {r.doc_id for r in got} == want and want
+
+
+def test_op2_and_op8_queries(spark, folder):
+    rows, _ = corpus()
+    size = {r[0]: len((r[1] or "").split()) for r in rows}
+    got = registry.QUERIES["op2_pivotal_mix"](spark, folder).collect()
+    assert {r.doc_id: r["size"] for r in got} == size and all(0 <= r.taken <= 2 * r["size"] for r in got)
+    source, taken, target = {r[0]: r[3] for r in rows}, Counter(), {}
+    for r in got:
+        taken[source[r.doc_id]] += r.taken
+        target[source[r.doc_id]] = r.target
+    assert all(abs(taken[s] - t) <= 2 for s, t in target.items())
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, registry.QUERIES["op2_pivotal_mix"](spark, folder).collect()), key=str)
+    got = registry.QUERIES["op8_sharding"](spark, folder).collect()
+    want = {r[0]: (len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows}
+    assert {r.doc_id: (r["size"], r.text_crc32) for r in got} == want and {r.law for r in got} == {"rows"}
+    count = Counter(r.shard for r in got)
+    assert max(count.values()) - min(count.values()) <= 1 and len({(r.shard, r.slot) for r in got}) == len(rows)
+
+
+def test_op7_query(spark, folder):
+    rows, _ = corpus()
+    got = {r.doc_id: r for r in registry.QUERIES["op7_language_id"](spark, folder).collect()}
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in got)
+    held = [r for r in rows if got[r[0]].held_out and r[2] and got[r[0]].lang_pred != "und"]
+    assert sum(got[r[0]].lang_pred == r[2] for r in held) / len(held) >= 0.95
+    assert {got[i].lang_pred for i in (280, 281, 282)} == {"und"}
