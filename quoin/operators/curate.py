@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quoin.operators.numbering import rank_within
+
 # Image types that are accepted, and those taken as thumbnails only.
 ALLOWED_MIMES = ["image/jpeg", "image/png", "image/tiff", "image/webp"]
 THUMB_ONLY_MIMES = ["image/tiff", "image/webp"]
@@ -13,7 +15,7 @@ THUMB_ONLY_MIMES = ["image/tiff", "image/webp"]
 def round_robin(items: DataFrame, source: str, order: str, source_order: str | None = None) -> DataFrame:
     """items with turn: all firsts of the sources, then all seconds; a source that has run out leaves. Sorting by
     (turn, source_order) gives the sequence."""
-    return items.withColumn("turn", F.row_number().over(Window.partitionBy(source).orderBy(order, source_order or source)))
+    return rank_within(items, source, [order, *([source_order] if source_order else [])], "turn")
 
 
 def first_by_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -79,5 +81,7 @@ def walk(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
 
 def listed_pages(pages: DataFrame, source: str, page: str, n_rows: Column, has_next: Column) -> DataFrame:
     """Catalogue pages up to the first empty one (without it) or the first without a link to the next (with it)."""
-    stop = F.min(F.least(F.when(n_rows == 0, F.col(page)), F.when(~has_next, F.col(page) + 1))).over(Window.partitionBy(source))
-    return pages.withColumn("_stop", stop).filter(F.col("_stop").isNull() | (F.col(page) < F.col("_stop"))).drop("_stop")
+    stop = F.least(F.when(n_rows == 0, F.col(page)), F.when(~has_next, F.col(page) + 1))
+    stops = pages.groupBy(F.col(source).alias("_source")).agg(F.min(stop).alias("_stop"))
+    met = pages.join(stops, F.col(source).eqNullSafe(F.col("_source")))
+    return met.filter(F.col("_stop").isNull() | (F.col(page) < F.col("_stop"))).select(*pages.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoin.scratch import stored
@@ -27,6 +27,19 @@ def number_rows(rows: DataFrame, order: list[str], start: int = 1, name: str = "
     return out.withColumn(name, F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_base")
 
 
+def rank_within(rows: DataFrame, group: str, order: list[str], name: str = "rank") -> DataFrame:
+    """rows with consecutive numbers from 1 in each group, in the order of `order`. A group may lie over many range
+    partitions; only a row for each partition and group is added up."""
+    order = [group, *order]
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = stored(placed, "ranked")
+    runs = placed.groupBy(F.shiftright("_at", 33).alias("_part"), F.col(group).alias("_group")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    out = placed.join(runs, (F.shiftright("_at", 33) == F.col("_part")) & F.col(group).eqNullSafe(F.col("_group")))
+    return out.withColumn(name, F.col("_at") - F.col("_first") + F.col("_base") + 1).select(*rows.columns, name)
+
+
 def crop_path(n: Column) -> Column:
     return F.format_string("crops/%d/image_%05d.webp", F.floor(n / PER_FOLDER), n)
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoin.functions.text import strip
+from quoin.operators.numbering import number_rows
 
 # Extensions of input files.
 IMAGE_EXTENSIONS = [".jpg", ".jpeg", ".png", ".bmp", ".tif", ".tiff", ".webp"]
@@ -24,7 +25,7 @@ def classify(files: DataFrame, path: str = "path") -> DataFrame:
     """files with kind (image or pdf) and doc_ord: images by path, then PDFs by path; other files fall away."""
     ext = F.lower(F.regexp_extract(path, r"\.[^./]*$", 0))
     kind = F.when(ext.isin(IMAGE_EXTENSIONS), "image").when(ext.isin(PDF_EXTENSIONS), "pdf")
-    return files.withColumn("kind", kind).filter("kind is not null").withColumn("doc_ord", F.row_number().over(Window.orderBy("kind", path)))
+    return number_rows(files.withColumn("kind", kind).filter("kind is not null"), ["kind", path], 1, "doc_ord")
 
 
 def list_inputs(spark: SparkSession, folder: str) -> DataFrame:

@@ -194,6 +194,14 @@ def test_numbering(spark):
     assert files("0/image_00009.webp", "1/image_10042.webp", "a/b/image_99999.webp", "image_5.webp.tmp") == 10043 and files("3f2a.webp") == 1
 
 
+def test_rank_over_many_partitions(spark):
+    rows = spark.createDataFrame([("hot" if i % 3 else f"g{i % 7}", i) for i in range(3000)] + [(None, 1), (None, 2)], "g string, i int")
+    got = {}
+    for r in numbering.rank_within(rows.repartition(8), "g", ["i"]).collect():
+        got.setdefault(r.g, []).append((r.i, r["rank"]))
+    assert len(got["hot"]) == 2000 and all([k for _, k in sorted(v)] == list(range(1, len(v) + 1)) for v in got.values())
+
+
 def test_curation(spark):
     items = spark.createDataFrame([("a", i, str(i)) for i in (1, 2, 3)] + [("b", 1, "x")] + [("c", i, str(10 * i)) for i in (1, 2)], "s string, i int, v string")
     assert [r.v for r in curate.round_robin(items, "s", "i").orderBy("turn", "s").collect()] == ["1", "x", "10", "2", "20", "3"]
