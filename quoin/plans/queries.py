@@ -673,7 +673,9 @@ def debug_join(spark, sf_dir):
 _MARKS = "m AS (SELECT DISTINCT (user_id % 2000) || '.webp' AS name FROM events WHERE event_type = 'signup' AND user_id % 4 = 0)"
 
 
-@query("", f"""WITH {_RECS}, {_DEBUG}, {_MARKS} SELECT rec.name, ord FROM rec LEFT JOIN d USING (name) LEFT JOIN m ON m.name = rec.name WHERE m.name IS NULL ORDER BY ord LIMIT 50 OFFSET 50""")
+@query("", f"""WITH {_RECS}, {_DEBUG}, {_MARKS} 
+  SELECT name, ord FROM (SELECT rec.name, ord, row_number() OVER (ORDER BY ord) - 1 AS k, count(*) OVER () AS n FROM rec LEFT JOIN m ON m.name = rec.name WHERE m.name IS NULL)
+  WHERE k // 50 = least(1, (n - 1) // 50)""")
 def label_filter_page(spark, sf_dir):
     """The second page of fifty of the unmarked records; paging is the feature."""
     return labeling.page_of(labeling.select_records(_debugged(spark, sf_dir), "unmarked"), 1).select("name", "ord")
