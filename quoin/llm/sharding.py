@@ -2,9 +2,8 @@
 
 How many rows each input partition sends to each shard is drawn from the multivariate hypergeometric law whose margins
 are the partitions' row counts and the shards' sizes; each partition permutes its rows and deals them out by its row of
-the matrix; the shards permute what they receive. The second permutation is a sort by (shard, random key) over range
-partitions, and slots are the places in it, so no task holds a shard. The matrix has partitions x shards numbers; the
-partitions, not the rows, pass through the driver.
+the matrix; the shards permute what they receive, in random blocks of bounded size, so that no task holds a shard. The
+matrix has partitions x shards numbers; the partitions, not the rows, pass through the driver.
 
 The law that holds is `rows`: shard sizes differ by one row at most.
 
@@ -14,8 +13,10 @@ table gives an empty result; further columns stay as they are.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoin.scratch import stored
@@ -54,7 +55,7 @@ def _hypergeometric(rng, good: int, bad: int, draws: int) -> int:
     return min(max(hit, draws - bad, 0), good, draws)
 
 
-def sharded(docs: DataFrame, shards: int = 8, seed: int = 17) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = 8, seed: int = 17, block_rows: int = 10_000) -> DataFrame:
     """docs with shard and slot; columns of these names are replaced."""
     spark = docs.sparkSession
     rows = docs.drop("shard", "slot").select(F.struct("*").alias("row"))
@@ -66,17 +67,17 @@ def sharded(docs: DataFrame, shards: int = 8, seed: int = 17) -> DataFrame:
     ends = F.broadcast(spark.createDataFrame(ends, "_pid bigint, _ends array<bigint>"))
     out = dealt.join(ends, F.shiftright("_at", 33) == F.col("_pid"))
     out = out.withColumn("shard", F.size(F.filter("_ends", lambda e: e <= F.col("_at").bitwiseAND(F.lit(LOW)))))
-    out = out.withColumn("_key", F.xxhash64(F.lit(seed + 1), "_key", "_at"))
-    out = out.repartitionByRange("shard", "_key", "_at").sortWithinPartitions("shard", "_key", "_at")
-    out = stored(out.select("row", "shard", F.monotonically_increasing_id().alias("_at")), "shuffled")
-    runs = out.groupBy(F.shiftright("_at", 33).alias("_pid"), F.col("shard").alias("_shard")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("n"))
-    before, offsets = {}, []
-    for r in runs.orderBy("_pid", "_shard").collect():
-        offsets.append((r["_pid"], r["_shard"], r["_first"] - before.get(r["_shard"], 0)))
-        before[r["_shard"]] = before.get(r["_shard"], 0) + r["n"]
-    offsets = F.broadcast(spark.createDataFrame(offsets, "_pid bigint, _shard int, _base bigint"))
-    out = out.join(offsets, (F.shiftright("_at", 33) == F.col("_pid")) & (F.col("shard") == F.col("_shard")))
-    return out.select("row.*", "shard", (F.col("_at") - F.col("_base")).alias("slot"))
+    # The second permutation: a random block of the shard, then a random order in the block; blocks are of about block_rows
+    # rows, and a slot is the rows of the blocks before plus the place in its own.
+    blocks = max(1, math.ceil(sum(r["count"] for r in counts) / (shards * block_rows)))
+    drawn = lambda k: F.xxhash64(F.lit(seed + k), "_key", "_at")
+    out = out.withColumn("block", F.pmod(drawn(1), F.lit(blocks))).select("row", "shard", "block", drawn(2).alias("_order"), "_at")
+    sizes = out.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    place = F.row_number().over(Window.partitionBy("shard", "block").orderBy("_order", "_at"))
+    out = out.withColumn("_place", place).join(offsets, ["shard", "block"])
+    return out.select("row.*", "shard", (F.col("_base") + F.col("_place") - 1).alias("slot"))
 
 
 def op8_sharding(spark, sf_dir: str) -> DataFrame:
