@@ -20,10 +20,36 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """This session's own folder below scratch_dir."""
+    context = spark.sparkContext
+    if not hasattr(context, "_quoin_scratch"):
+        context._quoin_scratch = f"{scratch_dir(spark)}/quoin-{uuid.uuid4().hex}"
+    return context._quoin_scratch
+
+
 def stored(df: DataFrame, name: str, options: dict[str, str] | None = None, by: list[str] | None = None) -> DataFrame:
     """df written once as Parquet and read back: lineage ends here, and an executor lost later costs a reread only."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.options(**(options or {}))
     (writer.partitionBy(*by) if by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes a stored table that nothing reads any more."""
+    _delete(df.sparkSession, df._scratch)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that the session has stored, once its results have been written."""
+    if hasattr(spark.sparkContext, "_quoin_scratch"):
+        _delete(spark, spark.sparkContext._quoin_scratch)

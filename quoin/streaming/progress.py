@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
 from quoin.operators.progress import MAX_ERRORS, counters
-from quoin.scratch import scratch_dir
+from quoin.scratch import session_dir
 
 
 def rollup_stream(log: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def run_available(stream: DataFrame, key: str | None = None) -> DataFrame:
     """All that is there now, taken in by one run; the last state as a table in the shared folder. Without key each batch
     gives the whole state (output mode complete); with it, the rows that changed (update), and the last row of a key
     counts."""
-    spark, path = stream.sparkSession, f"{scratch_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    spark, path = stream.sparkSession, f"{session_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
 
     def write(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{path}/out/batch={batch}" if key else f"{path}/out")
