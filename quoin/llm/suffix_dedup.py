@@ -218,7 +218,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, window: int = 16, gr
     ids = dict(docs.dtypes)["doc_id"]
     texts = docs.select("doc_id", F.xxhash64("text").alias("body"), "text")
     anchors = stored(texts.mapInArrow(_anchors(reach, window, gram), f"doc_id {ids}, body bigint, place int, h bigint"), "anchors")
-    twice = anchors.groupBy("h").count().filter("count > 1").select("h")
+    # Stored, so that the join below has plain exchanges on both sides and AQE can split a passage that very many share.
+    twice = stored(anchors.groupBy("h").count().filter("count > 1").select("h"), "repeated")
     mine = stored(anchors.join(twice, "h", "left_semi").select("doc_id", "body", "place").groupBy("doc_id", "body").agg(F.array_distinct(F.collect_list("place")).alias("places")), "candidates")
     mine = mine.withColumnRenamed("doc_id", "_id").withColumnRenamed("body", "_body")
     met = texts.join(mine, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("body") == F.col("_body"))).select("doc_id", "body", "text", "places")
