@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quoin.scratch import stored
+from quoin.scratch import drop, stored
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -24,7 +24,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = large.groupBy(F.col("v").alias("n")).agg(F.min("u").alias("m"))
         small = large.join(least, large["v"] == least["n"]).select(F.col("u").alias("v"), F.col("m").alias("u")).filter("u < v")
         small = small.unionByName(least.select(F.col("n").alias("v"), F.col("m").alias("u"))).distinct()
-        now = stored(small, "small-star")
+        done, now = [now, large], stored(small, "small-star")
+        for old in done:
+            drop(old)
         before, size = size, _mark(now)
         if size == before:
             return now.select(F.col("v").alias("node"), F.col("u").alias("root"))

@@ -143,7 +143,18 @@ def covered(rows, n):
     return out
 
 
-def test_repeated_passages_against_brute_force(spark):
+@pytest.fixture(params=[4, 23])
+def partitions(spark, request):
+    """Many small partitions, none joined to others, so that neighbours lie across their edges."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", request.param)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", request.param == 4)
+    yield request.param
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_repeated_passages_against_brute_force(spark, partitions):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(400)]
     text = lambda n: [rng.choice(words) for _ in range(n)]
