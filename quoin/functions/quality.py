@@ -33,16 +33,24 @@ def is_upper(text: Column) -> Column:
 
 
 def word_ok(word: Column, cyrillic_text: Column) -> Column:
-    core = word_core(word)
+    return core_ok(word_core(word), cyrillic_text)
+
+
+def core_ok(core: Column, cyrillic_text: Column) -> Column:
+    """word_ok of a word without soft hyphens and outer punctuation."""
     acronym = is_upper(core) & (F.length(core) <= MAX_ACRONYM)
-    mute = core.rlike(f"^[{CYRILLIC}]{{4,}}$") & ~acronym & ~core.rlike(f"[{VOWELS}]")
+    mute = (F.length(core) >= 4) & core.rlike(f"^[{CYRILLIC}]+$") & ~acronym & ~core.rlike(f"[{VOWELS}]")
     foreign = cyrillic_text & core.rlike(f"[{LATIN}]")
     capitals = is_upper(core) & (F.length(core) >= 2) & ~core.rlike(f"^[{LOOK_ALIKES}]+$")
     return F.when(core == "", True).when(~core.rlike(f"^({CLEAN_WORD})$") | mute, False).when(foreign, capitals).otherwise(True)
 
 
 def single_letter(word: Column) -> Column:
-    return word_core(word).rlike(r"^\p{L}$")
+    return is_letter(word_core(word))
+
+
+def is_letter(core: Column) -> Column:
+    return (F.length(core) == 1) & core.rlike(r"^\p{L}$")
 
 
 def letter_balance(word: Column) -> Column:

@@ -38,17 +38,22 @@ def restore_hyphens(text: Column) -> Column:
     return F.translate(text, SOFT_HYPHENS, "---")
 
 
+def _class(alphabet: list[str]) -> str:
+    """The alphabet and the space, as the inside of a character class."""
+    return "".join(f"\\x{{{ord(c):X}}}" for c in sorted({*alphabet, " "}))
+
+
 def out_of_alphabet(text: Column, alphabet: list[str]) -> Column:
     """Characters that the alphabet lacks, each once, in the order of their first appearance."""
-    known = F.array(*[F.lit(c) for c in sorted(set(alphabet) | {" "})])
-    return F.array_distinct(F.filter(F.split(text, ""), lambda c: (c != "") & ~F.array_contains(known, c)))
+    strange = F.regexp_replace(text, f"[{_class(alphabet)}]+", "")
+    return F.when(strange == "", F.array().cast("array<string>")).otherwise(F.filter(F.array_distinct(F.split(strange, "")), lambda c: c != ""))
 
 
 def finalize(bucket: Column, text: Column, normalize: bool, alphabet: list[str] | None) -> tuple[Column, Column]:
     """(bucket, label): normalised first; a good line with characters outside the alphabet needs review."""
     label = normalize_label(text) if normalize else text
     if alphabet is not None:
-        bucket = F.when((bucket == "good") & (F.size(out_of_alphabet(label, alphabet)) > 0), "needs_review").otherwise(bucket)
+        bucket = F.when((bucket == "good") & label.rlike(f"[^{_class(alphabet)}]"), "needs_review").otherwise(bucket)
     return bucket, label
 
 
@@ -57,7 +62,8 @@ def postprocess(text: Column) -> Column:
     out = F.regexp_replace(strip(F.coalesce(text, F.lit(""))), r"\A```[a-zA-Z]*\n?", "")
     out = strip(F.regexp_replace(out, r"\n?```\n?\z", ""))
     macros = sorted(LATEX, key=lambda m: (-len(m), m))
-    out = reduce(lambda c, m: F.regexp_replace(c, "\\" + m + "(?![a-zA-Z])", LATEX[m]), macros, out)
+    plain = reduce(lambda c, m: F.regexp_replace(c, "\\" + m + "(?![a-zA-Z])", LATEX[m]), macros, out)
+    out = F.when(F.contains(out, F.lit("\\")), plain).otherwise(out)
     return strip(F.regexp_replace(out, r"[ \t]+", " "))
 
 

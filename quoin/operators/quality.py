@@ -8,18 +8,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quoin.functions.quality import MIN_PAGE_WORDS, MIN_SPACED_RUN, PAGE_MIN_QUALITY, letter_balance, single_letter, word_ok
+from quoin.functions.quality import MIN_PAGE_WORDS, MIN_SPACED_RUN, PAGE_MIN_QUALITY, core_ok, is_letter, letter_balance, word_core
 
 
 def mark_words(words: DataFrame, page: list[str]) -> DataFrame:
     """words with single, spaced (in a run of single letters), cyrillic (of the page) and ok."""
     order, whole = Window.partitionBy(*page).orderBy("pos"), Window.partitionBy(*page)
-    out = words.withColumn("single", single_letter(F.col("word")))
-    out = out.withColumn("island", F.sum((~F.col("single")).cast("int")).over(order))
+    # The cleaned word is a column of its own up to the end, so that it is made once.
+    out = words.withColumn("core", word_core(F.col("word"))).withColumn("balance", letter_balance(F.col("word")))
+    out = out.withColumn("single", is_letter(F.col("core"))).withColumn("island", F.sum((~F.col("single")).cast("int")).over(order))
     run = F.sum(F.col("single").cast("int")).over(Window.partitionBy(*page, "island"))
-    out = out.withColumn("spaced", F.col("single") & (run >= MIN_SPACED_RUN)).drop("island")
-    out = out.withColumn("cyrillic", F.sum(letter_balance(F.col("word"))).over(whole) > 0)
-    return out.withColumn("ok", word_ok(F.col("word"), F.col("cyrillic")))
+    out = out.withColumn("spaced", F.col("single") & (run >= MIN_SPACED_RUN))
+    out = out.withColumn("cyrillic", F.sum("balance").over(whole) > 0)
+    return out.withColumn("ok", core_ok(F.col("core"), F.col("cyrillic"))).drop("core", "balance", "island")
 
 
 def page_quality(words: DataFrame, page: list[str], pages: DataFrame | None = None) -> DataFrame:

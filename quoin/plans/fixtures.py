@@ -15,9 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, line_no (from 0), text of every line of every document."""
+def lines(spark: SparkSession, sf_dir: str, grouped: bool = False) -> DataFrame:
+    """doc_id, line_no (from 0), text of every line of every document. grouped: documents are dealt by doc_id before they
+    become rows, so that what groups by line or page shuffles a text once, not each of its rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.repartition("doc_id") if grouped else docs
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text")).withColumn("line_no", F.col("line_no").cast("long"))
 
 
@@ -39,14 +41,14 @@ def _engines(names: list[str]) -> Column:
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, line_no, engine_ord, engine, text, score: three engines that differ on some lines."""
-    rows = lines(spark, sf_dir).withColumn("e", _engines(ENGINES))
+    rows = lines(spark, sf_dir, True).withColumn("e", _engines(ENGINES))
     h = mixed((F.col("doc_id"), 7919), (F.col("line_no"), 104_729), (F.col("e.engine_ord"), 1_299_709))
     return rows.select("doc_id", "line_no", "e.engine_ord", "e.engine", _variant(F.col("text"), h).alias("text"), ((h % 101) / F.lit(100.0)).alias("score"))
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, page (twelve lines each), engine_ord, engine, idx, x0, y0, x1, y1, text; each ninth box is missing."""
-    rows = lines(spark, sf_dir).withColumn("e", _engines(VLM_ENGINES))
+    rows = lines(spark, sf_dir, True).withColumn("e", _engines(VLM_ENGINES))
     h = mixed((F.col("doc_id"), 31), (F.col("line_no"), 104_729), (F.col("e.engine_ord"), 1_299_709))
     rows = rows.withColumn("h", h).filter(F.col("h") % 9 != 0)
     page, idx = F.floor(F.col("line_no") / 12), F.col("line_no") % 12
@@ -61,7 +63,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, page (twenty lines each), pos, word: every third document in Cyrillic look-alikes, every fifth with words
     that are broken into letters."""
-    rows = lines(spark, sf_dir).select("doc_id", "line_no", F.posexplode(F.split("text", " ")).alias("k", "word")).filter("word <> ''")
+    rows = lines(spark, sf_dir, True).select("doc_id", "line_no", F.posexplode(F.split("text", " ")).alias("k", "word")).filter("word <> ''")
     word = F.when((F.col("doc_id") % 5 == 0) & (F.col("k") % 40).isin(1, 2, 3, 4), F.substring("word", 1, 1)).otherwise(F.col("word"))
     word = F.when(F.col("k") % 97 == 7, F.lit("19B6")).otherwise(word)
     word = F.when(F.col("doc_id") % 3 == 0, F.translate(word, LATIN, LOOKING_ALIKE)).otherwise(word)

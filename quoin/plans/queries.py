@@ -444,7 +444,7 @@ def dataset_lines(spark, sf_dir):
 
 def _run_tables(spark, sf_dir):
     key = lambda df: df.withColumn("doc_ord", F.col("doc_id")).withColumn("page", F.floor(F.col("line_no") / 20)).drop("doc_id")
-    lines_ = key(fx.lines(spark, sf_dir)).withColumn("w", 8 * F.length("text")).withColumn("h", F.lit(32))
+    lines_ = key(fx.lines(spark, sf_dir, True)).withColumn("w", 8 * F.length("text")).withColumn("h", F.lit(32))
     words_ = fx.words(spark, sf_dir).withColumnRenamed("doc_id", "doc_ord")
     return lines_, key(fx.readings(spark, sf_dir)), words_
 
@@ -498,7 +498,7 @@ _CHARS = """SELECT doc_id, line_no, unnest(range(len(a))) AS i, unnest(a) AS ch
 @query("lines", f"""WITH c AS ({_CHARS}) SELECT doc_id, line_no AS obj, 0 AS first_i, CAST(min(i) FILTER (WHERE ch <> ' ') * 7 AS INT) AS x0, CAST(max(i) FILTER (WHERE ch <> ' ') * 7 + 6 AS INT) AS x1,
   trim(string_agg(ch, '' ORDER BY i), ' ') AS text FROM c GROUP BY 1, 2 HAVING trim(string_agg(ch, '' ORDER BY i), ' ') <> ''""")
 def pdf_char_lines(spark, sf_dir):
-    chars = fx.lines(spark, sf_dir).select("doc_id", F.col("line_no").alias("obj"), F.posexplode(F.split(F.concat("text", F.lit(" ")), "")).alias("i", "ch")).filter("ch <> ''")
+    chars = fx.lines(spark, sf_dir, True).select("doc_id", F.col("line_no").alias("obj"), F.posexplode(F.split(F.concat("text", F.lit(" ")), "")).alias("i", "ch")).filter("ch <> ''")
     chars = chars.withColumn("x0", F.col("i") * 7).withColumn("x1", F.col("i") * 7 + 6).withColumn("y0", F.lit(0)).withColumn("y1", F.lit(9))
     return readings.text_layer_lines(chars, ["doc_id"]).select("doc_id", "obj", F.col("ord").alias("first_i"), "x0", "x1", "text")
 

@@ -14,6 +14,7 @@ from quoin.operators.numbering import crop_path, number_rows
 from quoin.operators.quality import page_quality, route
 from quoin.operators.vote import debug_records, split_multiline, vote
 from quoin.plans.request import RunRequest
+from quoin.scratch import stored
 from quoin.sinks import write_buckets, write_debug
 
 PAGE = ["doc_ord", "page"]
@@ -45,7 +46,8 @@ class Plan:
 def _numbered(lines: DataFrame, request: RunRequest, alphabet: list[str] | None, start: int) -> DataFrame:
     bucket, text = finalize(F.col("bucket"), F.col("text"), request.normalize_labels, alphabet)
     lines = lines.withColumn("bucket", bucket).withColumn("text", text)
-    numbered = number_rows(lines, LINE, start)
+    # Stored first: sorting by range reads its input twice, and what lies before is the whole run.
+    numbered = number_rows(stored(lines, "lines"), LINE, start)
     return numbered.withColumn("crop", crop_path(F.col("n")))
 
 
