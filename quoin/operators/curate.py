@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoin.operators.numbering import rank_within
+from quoin.scratch import drop, stored
 
 # Image types that are accepted, and those taken as thumbnails only.
 ALLOWED_MIMES = ["image/jpeg", "image/png", "image/tiff", "image/webp"]
@@ -33,12 +34,14 @@ def first_by_two_keys(rows: DataFrame, keys: tuple[str, str], order: str) -> Dat
     the first row left is always such a row."""
     a, b = keys
     blank = F.coalesce(F.col(b).cast("string"), F.lit("")) == ""
-    left, kept = rows.withColumn("_b", F.when(blank, F.concat(F.lit("\x00"), F.col(order).cast("string"))).otherwise(F.col(b).cast("string"))).persist(), None
+    second = F.when(blank, F.concat(F.lit("\x00"), F.col(order).cast("string"))).otherwise(F.col(b).cast("string"))
+    left, kept = stored(rows.withColumn("_b", second), "left"), None
     while left.limit(1).count():
         first_a, first_b = (left.groupBy(k).agg(F.min(order).alias(order)) for k in (a, "_b"))
-        new = left.join(first_a, [a, order], "left_semi").join(first_b, ["_b", order], "left_semi").select(*left.columns).persist()
+        new = stored(left.join(first_a, [a, order], "left_semi").join(first_b, ["_b", order], "left_semi").select(*left.columns), "kept")
         kept = new if kept is None else kept.unionByName(new)
-        left = left.join(new.select(a), a, "left_anti").join(new.select("_b"), "_b", "left_anti").select(*new.columns).persist()
+        settled, left = left, stored(left.join(new.select(a), a, "left_anti").join(new.select("_b"), "_b", "left_anti").select(*new.columns), "left")
+        drop(settled)
     return (left if kept is None else kept).drop("_b")
 
 
@@ -74,7 +77,7 @@ def walk(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     front = found
     for level in range(1, depth + 1):
         front = front.join(edges, front["node"] == edges["parent"]).select(F.col("child").alias("node")).distinct()
-        front = front.join(found.select("node"), "node", "left_anti").withColumn("level", F.lit(level)).persist()
+        front = stored(front.join(found.select("node"), "node", "left_anti").withColumn("level", F.lit(level)), "level")
         found = found.unionByName(front)
     return found
 
