@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quoin.llm.arrow import slices
 from quoin.scratch import stored
 from quoin.session import ship
 
@@ -86,7 +87,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _scan(block, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, machine = automaton(block.value, width)
-        for batch in batches:
+        for batch in slices(batches):
             counts, spans, items = [], [], []
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
@@ -162,7 +163,7 @@ def _keep(block, width: int, most_hit: float, at: int):
             hits = merged([(end - n + 1, end) for end, (n, _) in machine.iter(tuple(number.get(w, 0) for w in words))])
             return sum(b - a + 1 for a, b in hits) / len(words)
 
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([share(t) <= most_hit for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return run

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from quoin.llm.arrow import slices
 from quoin.session import ship
 
 LENGTH, EMBED, WIDTHS, FILTERS = 192, 8, (2, 3, 4, 5), 12
@@ -154,7 +155,7 @@ def predict(docs: DataFrame, net: ByteConvNet | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             langs, scores = _judge(batch.column(at).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 

@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quoin.llm.arrow import slices
 from quoin.llm.components import components
 from quoin.scratch import stored
 from quoin.session import ship
@@ -51,7 +52,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id, fp: the fingerprint's 64 bits as a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fp = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
@@ -133,7 +134,7 @@ def _forest(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[off].view(np.int64), nodes[root[off]].view(np.int64)
 
 
-def ball_links(fps: DataFrame, radius: int = 4, most_variants: int = 4_000_000, step: int = 6) -> DataFrame:
+def ball_links(fps: DataFrame, radius: int = 4, most_variants: int = 2_000_000, step: int = 6) -> DataFrame:
     """fps (fp), distinct. Gives links (a, b) whose components are those of all pairs within `radius` bits."""
     ship(fps.sparkSession)
     half = radius // 2

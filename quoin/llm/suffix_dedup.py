@@ -25,13 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quoin.llm.arrow import slices
 from quoin.scratch import stored
 from quoin.session import ship
 
 BASE = 0x9E3779B97F4A7C15
 KNOWN_WORDS = 1 << 17
-#: So many texts at once are turned into arrays, which bounds a worker's memory.
-SLICE = 128
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,12 +72,6 @@ class Hasher:
         return x ^ (x >> np.uint64(29))
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, SLICE):
-            yield batch.slice(i, SLICE)
-
-
 def kept_places(grams: np.ndarray, window: int) -> np.ndarray:
     """Places of the least of each `window` neighbouring k-grams; the first of equals."""
     if len(grams) < window:
@@ -90,7 +83,7 @@ def kept_places(grams: np.ndarray, window: int) -> np.ndarray:
 def _anchors(reach: int, window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for batch in slices(batches):
+        for batch in slices(batches, 128):
             owner, places, keys = [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 words = hasher.words(text)
@@ -113,7 +106,7 @@ def _contexts(reach: int, window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for batch in slices(batches):
+        for batch in slices(batches, 128):
             owner, places, keys, left, right = [], [], [], [], []
             for i, (text, at) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 words, at = hasher.words(text), np.array(at, np.int64)
