@@ -6,12 +6,14 @@ by the key gives everything; ties go to the text or engine that comes first.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def vote(readings: DataFrame, key: list[str], threshold: float, preferred: str | None = None, min_agree: int = 2, lines: DataFrame | None = None) -> DataFrame:
-    """key, bucket, text, engine, diverged for each line; `lines` adds keys that have no reading at all."""
+def vote(readings: DataFrame, key: list[str], threshold: float, preferred: str | None = None, min_agree: int = 2, lines: DataFrame | None = None, with_readings: bool = False) -> DataFrame:
+    """key, bucket, text, engine, diverged for each line, and with_readings engines: array of (engine, text, score) in
+    engine order; `lines` adds keys that have no reading at all."""
+    more = ["engines"] if with_readings else []
     same = Window.partitionBy(*key, "text")
     rows = readings.withColumn("votes", F.count(F.lit(1)).over(same)).withColumn("first_ord", F.min("engine_ord").over(same))
     reading = F.struct("text", "engine", "score")
@@ -24,6 +26,7 @@ def vote(readings: DataFrame, key: list[str], threshold: float, preferred: str |
             F.when(F.col("text") != "", F.struct(F.col("votes"), -F.col("first_ord"), -F.col("engine_ord"))),
         ).alias("most"),
         (F.size(F.collect_set(F.when(held, F.col("text")))) >= 2).alias("diverged"),
+        *([_engines().alias("engines")] if with_readings else []),
     )
     if min_agree >= 2:
         hint = F.when(F.col("pref.text") != "", F.col("pref")).otherwise(F.col("best"))
@@ -34,15 +37,21 @@ def vote(readings: DataFrame, key: list[str], threshold: float, preferred: str |
         first = F.coalesce(F.col("pref.score") >= threshold, F.lit(False))
         chosen = F.when(first, F.struct("pref.text", "pref.engine")).otherwise(F.struct("best.text", "best.engine"))
         bucket = F.when(first | (F.col("best.score") >= threshold), "good").otherwise("needs_review")
-    out = out.select(*key, bucket.alias("bucket"), chosen["text"].alias("text"), chosen["engine"].alias("engine"), "diverged")
+    out = out.select(*key, bucket.alias("bucket"), chosen["text"].alias("text"), chosen["engine"].alias("engine"), "diverged", *more)
     if lines is None:
         return out
     return lines.select(*key).join(out, key, "left").select(
         *key, F.coalesce("bucket", F.lit("needs_review")).alias("bucket"), F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce("engine", F.lit("")).alias("engine"), F.coalesce("diverged", F.lit(False)).alias("diverged"),
+        *[F.coalesce(c, F.array().cast(out.schema[c].dataType)).alias(c) for c in more],
     )
 
 
+def _engines() -> Column:
+    rows = F.sort_array(F.collect_list(F.struct("engine_ord", "engine", "text", "score")))
+    return F.transform(rows, lambda e: F.struct(e["engine"].alias("engine"), e["text"].alias("text"), e["score"].alias("score")))
+
+
 def hints(readings: DataFrame, key: list[str], preferred: str | None) -> DataFrame:
     """key, engine, text: the preferred engine's reading if it isn't empty, else the surest."""
     reading = F.struct("engine", "text")
@@ -51,14 +60,6 @@ def hints(readings: DataFrame, key: list[str], preferred: str | None) -> DataFra
     return readings.groupBy(*key).agg(F.coalesce(own, best).alias("hint")).select(*key, "hint.*")
 
 
-def debug_records(readings: DataFrame, voted: DataFrame, key: list[str]) -> DataFrame:
-    """voted with engines: array of (engine, text, score) in engine order."""
-    one = F.struct("engine_ord", "engine", "text", "score")
-    by_line = readings.groupBy(*key).agg(F.sort_array(F.collect_list(one)).alias("engines"))
-    engines = F.transform("engines", lambda e: F.struct(e["engine"].alias("engine"), e["text"].alias("text"), e["score"].alias("score")))
-    return voted.join(by_line.withColumn("engines", engines), key, "left")
-
-
 def split_multiline(readings: DataFrame, key: list[str], detector: str) -> tuple[DataFrame, DataFrame]:
     """(readings to vote on, keys of dropped lines): with the surya detector a line of which any reading holds a line
     break is a merged box, dropped and counted as an error."""

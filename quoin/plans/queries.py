@@ -105,8 +105,7 @@ def multiline_drop(spark, sf_dir):
 
 @query("readings", """SELECT doc_id, line_no, string_agg(engine || '=' || text, '|' ORDER BY engine_ord) AS engines, CAST(count(*) AS INT) AS n FROM readings GROUP BY 1, 2""")
 def debug_records(spark, sf_dir):
-    r = fx.readings(spark, sf_dir)
-    out = vt.debug_records(r, vt.vote(r, LINE, 0.6), LINE)
+    out = vt.vote(fx.readings(spark, sf_dir), LINE, 0.6, with_readings=True)
     shown = F.array_join(F.transform("engines", lambda e: F.concat(e["engine"], F.lit("="), e["text"])), "|")
     return out.select(*LINE, shown.alias("engines"), F.size("engines").alias("n"))
 

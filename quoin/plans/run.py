@@ -12,7 +12,7 @@ from quoin.functions.text import finalize
 from quoin.operators.boxes import crops, dedup_groups, group_by_iou, resolve
 from quoin.operators.numbering import crop_path, number_rows
 from quoin.operators.quality import page_quality, route
-from quoin.operators.vote import debug_records, split_multiline, vote
+from quoin.operators.vote import split_multiline, vote
 from quoin.plans.request import RunRequest
 from quoin.scratch import stored
 from quoin.sinks import write_buckets, write_debug
@@ -23,12 +23,12 @@ LINE = [*PAGE, "line_no"]
 
 @dataclass
 class Plan:
-    """lines: doc_ord, page, line_no, n, crop, bucket, text, engine, diverged, w, h, source; dropped: keys of merged boxes."""
+    """lines: doc_ord, page, line_no, n, crop, bucket, text, engine, diverged, w, h, source, and of voted lines engines;
+    dropped: keys of merged boxes."""
 
     request: RunRequest
     lines: DataFrame
     dropped: DataFrame | None = None
-    readings: DataFrame | None = None
 
     def totals(self) -> DataFrame:
         return self.lines.agg(
@@ -38,9 +38,8 @@ class Plan:
     def write(self) -> None:
         out = self.request.output_dir
         write_buckets(self.lines, f"{out}/lines", "n", self.request.append_crop_size)
-        if self.readings is not None:
-            voted = self.lines.filter("source = 'voted'")
-            write_debug(debug_records(self.readings, voted, LINE), f"{out}/debug", "n")
+        if "engines" in self.lines.columns:
+            write_debug(self.lines.filter("source = 'voted'"), f"{out}/debug", "n")
 
 
 def _numbered(lines: DataFrame, request: RunRequest, alphabet: list[str] | None, start: int) -> DataFrame:
@@ -65,11 +64,11 @@ def plan_consensus(request: RunRequest, boxes: DataFrame, readings: DataFrame, w
     ocr = ocr.filter(big_enough(F.col("w"), F.col("h")))
     chosen, merged = split_multiline(chosen, LINE, request.detector_engine)
     ocr = ocr.join(merged, LINE, "left_anti")
-    voted = vote(chosen, LINE, request.score_threshold, request.preferred_model, request.min_agree, ocr)
+    voted = vote(chosen, LINE, request.score_threshold, request.preferred_model, request.min_agree, ocr, with_readings=True)
     lines = voted.join(ocr.select(*LINE, "w", "h"), LINE).withColumn("source", F.lit("voted"))
     for p in parts:
-        lines = lines.unionByName(p)
-    return Plan(request, _numbered(lines, request, alphabet, start), merged, chosen)
+        lines = lines.unionByName(p, allowMissingColumns=True)
+    return Plan(request, _numbered(lines, request, alphabet, start), merged)
 
 
 def plan_vlm(request: RunRequest, boxes: DataFrame, width: Column, height: Column, alphabet: list[str] | None = None, start: int = 1) -> Plan:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quoin.operators import labeling, pixels, progress
-from quoin.operators.vote import debug_records, vote
+from quoin.operators.vote import vote
 from quoin.plans.request import RequestError, RunRequest
 from quoin.plans.run import plan_consensus, plan_vlm
 from quoin.sinks import save_crops, write_buckets, write_debug, write_degraded, write_records, write_status
@@ -100,7 +100,7 @@ def test_sinks(spark, tmp_path):
         write_buckets(lines, str(tmp_path / "out"), with_size=True)
     assert texts(tmp_path / "out/bucket=good") == ["crops/0/a.webp\tт\t120\t32", "crops/0/c.webp\tx\ty\t7\t8"] and texts(tmp_path / "out/bucket=needs_review") == ["crops/0/b.webp\t\t1\t2"]
     reads = spark.createDataFrame([(1, 0, "paddle", "a", 0.5), (1, 1, "surya", "", 0.0)], "n long, engine_ord int, engine string, text string, score double")
-    write_debug(debug_records(reads, vote(reads, ["n"], 0.5).withColumn("crop", F.lit("p")), ["n"]), str(tmp_path / "debug"))
+    write_debug(vote(reads, ["n"], 0.5, with_readings=True).withColumn("crop", F.lit("p")), str(tmp_path / "debug"))
     assert json.loads(texts(tmp_path / "debug")[0]) == {"crop": "p", "bucket": "needs_review", "engine": "paddle", "diverged": False, "engines": {"paddle": {"text": "a", "score": 0.5}, "surya": {"text": "", "score": 0.0}}}
     marks = spark.createDataFrame([(1, "a", "s", True, True), (2, "b", "s", None, True), (3, "c", "s", None, False)], "n long, crop string, source string, degraded boolean, page_degraded boolean")
     write_degraded(marks, str(tmp_path / "degrade"))
