@@ -1,0 +1,38 @@
+"""Running a plan as a job: tagged, so that it can be cancelled, with a status snapshot beside its output."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quoin.plans.run import Plan
+from quoin.sources.files import literal
+
+STATUS = "status string, error string, good_count long, needs_review_count long, diverged_count long, error_count long"
+
+
+def run(spark: SparkSession, plan: Plan, job: str) -> DataFrame:
+    """Writes the plan's output and the job's last status: done, or error with its message, which is raised again."""
+    path = f"{plan.request.output_dir}/status"
+    spark.addTag(job)
+    try:
+        plan.write()
+        dropped = plan.dropped.count() if plan.dropped is not None else 0
+        row = plan.totals().select(F.lit("done").alias("status"), F.lit(None).cast("string").alias("error"), "*", F.lit(dropped).alias("error_count"))
+        row.write.mode("overwrite").json(path)
+    except Exception as e:
+        spark.createDataFrame([("error", str(e)[:2000], 0, 0, 0, 1)], STATUS).write.mode("overwrite").json(path)
+        raise
+    finally:
+        spark.removeTag(job)
+    return status(spark, plan.request.output_dir)
+
+
+def status(spark: SparkSession, output_dir: str) -> DataFrame:
+    """The last status of a job that wrote to output_dir, also of an earlier session."""
+    return spark.read.schema(STATUS).json(f"{literal(output_dir)}/status")
+
+
+def cancel(spark: SparkSession, job: str) -> None:
+    """Stops a job's running tasks. What it has written stays, and a new run replaces it."""
+    spark.interruptTag(job)

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from quoin.operators import labeling, pixels, progress
 from quoin.operators.vote import vote
+from quoin.plans import jobs
 from quoin.plans.request import RequestError, RunRequest
-from quoin.plans.run import plan_consensus, plan_vlm
+from quoin.plans.run import Plan, plan_consensus, plan_vlm
 from quoin.sinks import save_crops, write_buckets, write_debug, write_degraded, write_records, write_status
 from quoin.sources import catalog, files, readings
 from quoin.streaming import progress as live
@@ -147,6 +148,15 @@ def test_legible():
     assert pixels.legible(stripes(200, 230), stripes(205, 228), 25.0)  # pale text needs half of its own contrast
 
 
+def test_failed_and_cancelled_jobs(spark, tmp_path):
+    broken = spark.range(1).select(F.raise_error(F.lit("no disk")).cast("string").alias("crop"), F.lit(1).alias("n"), F.lit("good").alias("bucket"), F.lit("t").alias("text"), F.lit(1).alias("w"), F.lit(1).alias("h"))
+    with pytest.raises(Exception, match="no disk"):
+        jobs.run(spark, Plan(RunRequest(output_dir=str(tmp_path)), broken), "job-2")
+    row = jobs.status(spark, str(tmp_path)).first()
+    assert row.status == "error" and "no disk" in row.error
+    jobs.cancel(spark, "job-2")
+
+
 def test_choice_and_sampling(spark):
     image = lambda a: (a.shape[0], a.shape[1], 1, bytearray(a.astype(np.uint8).tobytes()))
     clean = stripes()
@@ -201,7 +211,8 @@ def test_whole_runs(spark, tmp_path):
     got = [(r.page, r.line_no, r.n, r.crop, r.bucket, r.source) for r in plan.lines.orderBy("n").collect()]
     assert got == [(0, 0, 9_999, "crops/0/image_09999.webp", "good", "voted"), (0, 1, 10_000, "crops/1/image_10000.webp", "needs_review", "voted"), (1, 0, 10_001, "crops/1/image_10001.webp", "needs_review", "text_layer")]
     assert plan.dropped.count() == 1 and tuple(plan.totals().first())[:2] == (1, 2)
-    plan.write()
+    assert tuple(jobs.run(spark, plan, "job-1").first()) == ("done", None, 1, 2, 0, 1)
+    assert tuple(jobs.status(spark, str(tmp_path / "run")).first())[0] == "done"
     assert texts(tmp_path / "run/lines/bucket=good") == ["crops/0/image_09999.webp\tx"] and len(texts(tmp_path / "run/debug")) == 2
 
     boxes = spark.createDataFrame([(1, 0, e, 0, 10.0 + d, 10.0, 180.0, 44.0, "t") for d, e in ((0, "hunyuan_ocr"), (2, "glm_ocr"))] + [(1, 0, "glm_ocr", 1, 0.0, 60.0, 5.0, 90.0, "small")], "doc_ord int, page int, engine string, idx int, x0 double, y0 double, x1 double, y1 double, text string")
