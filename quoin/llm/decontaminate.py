@@ -19,6 +19,7 @@ from itertools import chain
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -152,8 +153,9 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, width: int = 10,
     )
 
 
-def _keep(block, width: int, most_hit: float, at: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _clean(block, width: int, most_hit: float):
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         number, machine = automaton(block.value, width)
 
         def share(text: str | None) -> float:
@@ -163,18 +165,19 @@ def _keep(block, width: int, most_hit: float, at: int):
             hits = merged([(end - n + 1, end) for end, (n, _) in machine.iter(tuple(number.get(w, 0) for w in words))])
             return sum(b - a + 1 for a, b in hits) / len(words)
 
-        for batch in slices(batches):
-            yield batch.filter(pa.array([share(t) <= most_hit for t in batch.column(at).to_pylist()], pa.bool_()))
+        for texts in batches:
+            yield pd.Series([share(t) <= most_hit for t in texts], dtype=bool)
 
-    return run
+    return clean
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = 10, most_hit: float = 0.0, block_windows: int = 200_000) -> DataFrame:
-    """The documents of which each block of windows hits at most the share `most_hit` of words, all columns as they were."""
+    """The documents of which each block of windows hits at most the share `most_hit` of words, all columns as they were.
+    Only texts go to Python workers."""
     spark, out = docs.sparkSession, docs
     ship(spark)
     for block in blocks(benchmark.select("item_id", "text").toLocalIterator(), width, block_windows):
-        out = out.mapInArrow(_keep(spark.sparkContext.broadcast(block), width, most_hit, docs.columns.index("text")), docs.schema)
+        out = out.filter(_clean(spark.sparkContext.broadcast(block), width, most_hit)(F.col("text")))
     return out
 
 

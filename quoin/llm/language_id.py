@@ -14,12 +14,10 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from quoin.llm.arrow import slices
 from quoin.session import ship
 
 LENGTH, EMBED, WIDTHS, FILTERS = 192, 8, (2, 3, 4, 5), 12
@@ -150,19 +148,23 @@ def _judge(texts: list[str | None], net: ByteConvNet | None) -> tuple[list[str],
     return langs, scores
 
 
+def _judged(texts: pd.Series, net: ByteConvNet | None) -> pd.DataFrame:
+    parts = [_judge(texts.iloc[i : i + 256].tolist(), net) for i in range(0, len(texts), 256)]
+    return pd.DataFrame({"lang_pred": [x for langs, _ in parts for x in langs], "score": [x for _, scores in parts for x in scores]})
+
+
 def predict(docs: DataFrame, net: ByteConvNet | None) -> DataFrame:
-    """docs with lang_pred and score."""
+    """docs with lang_pred and score; columns of these names are replaced. Only texts go to Python workers."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            langs, scores = _judge(batch.column(at).to_pylist(), shared.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+    @F.pandas_udf("lang_pred string, score double")
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield _judged(texts, shared.value)
 
-    rows = docs.drop("lang_pred", "score")
-    at = rows.columns.index("text")
-    ship(docs.sparkSession)
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    rows = docs.drop("lang_pred", "score").select(F.struct("*").alias("row"), judge(F.col("text")).alias("said"))
+    return rows.select("row.*", "said.lang_pred", "said.score")
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:
@@ -172,6 +174,18 @@ def op7_language_id(spark, sf_dir: str) -> DataFrame:
 
 
 def known_language(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """docs without those that have no letter and those of which no language is as likely as `least`."""
-    found = predict(docs.select(F.struct("*").alias("row"), "text"), train(docs))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
+    """docs without those that have no letter and those of which no language is as likely as `least`; all of them if no
+    text is labelled, since there is nothing to judge by."""
+    net = train(docs)
+    if net is None:
+        return docs
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+
+    @F.pandas_udf("boolean")
+    def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            found = _judged(texts, shared.value)
+            yield (found.lang_pred != "und") & (found.score >= least)
+
+    return docs.filter(known(F.col("text")))

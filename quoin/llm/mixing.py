@@ -70,19 +70,20 @@ def _fold(units: Column, seed: int) -> Column:
 
 def rounded(units: DataFrame, fan: int = 16, seed: int = 7) -> DataFrame:
     """units (sid, n, key, size, m): key with the mass m that it ends with: 0 or size, but for one unit of a source."""
-    most = units.agg(F.max("n")).first()[0] or 0
+    most, rows = units.agg(F.max("n"), F.count(F.lit(1))).first()
+    most = most or 0
     left = units.withColumn("groups", F.ceil(F.col("n") / fan)).withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "key"), F.col("groups")))
     parts, groups = [], math.ceil(most / fan)
     while most:
         one = F.struct(F.col("size").cast("double").alias("size"), F.col("key"), F.col("m"))
-        level = stored(left.groupBy("sid", "groups", "grp").agg(F.sort_array(F.collect_list(one), asc=False).alias("us")).select("sid", "groups", "grp", _fold(F.col("us"), seed).alias("f")).select("sid", "groups", "grp", "f.left", "f.done"), "pivotal")
+        level = stored(left.groupBy("sid", "groups", "grp").agg(F.sort_array(F.collect_list(one), asc=False).alias("us")).select("sid", "groups", "grp", _fold(F.col("us"), seed).alias("f")).select("sid", "groups", "grp", "f.left", "f.done").coalesce(max(1, rows // 20_000)), "pivotal")
         parts.append(level.select(F.explode("done").alias("u")))
         rest = level.filter("left is not null")
         if groups <= 1:
             parts.append(rest.select(F.col("left").alias("u")))
             break
         left = rest.select("sid", F.ceil(F.col("groups") / fan).alias("groups"), "grp", "left.*").withColumn("grp", F.pmod("grp", "groups"))
-        groups = math.ceil(groups / fan)
+        groups, rows = math.ceil(groups / fan), rows // fan
     if not parts:
         return units.select("key", F.col("m").alias("settled"))
     out = parts[0]

@@ -102,14 +102,18 @@ def _linked(done: int, radius: int):
             variants.append((base[:, None] ^ mask[None, :]).ravel())
             owner.append(np.repeat(at.astype(np.int32), len(mask)))
         v, o = np.concatenate(variants), np.concatenate(owner)
+        variants = owner = None
         order = np.argsort(v)
         v, o = v[order], o[order]
+        order = None
         same = v[1:] == v[:-1]
         a, b = np.empty(0, np.int64), np.empty(0, np.int64)
         if same.any():
-            run_start = np.maximum.accumulate(np.where(np.concatenate(([True], ~same)), np.arange(len(v)), 0))
-            hit = np.flatnonzero(np.concatenate(([False], same)))
-            pairs = np.unique(np.stack([fp[o[run_start[hit]]], fp[o[hit]]], axis=1), axis=0)
+            shared = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+            v, o = v[shared], o[shared]  # few, but for a dense cluster
+            new = np.concatenate(([True], v[1:] != v[:-1]))
+            first = np.flatnonzero(new)[np.cumsum(new) - 1]
+            pairs = np.unique(np.stack([fp[o[first]], fp[o]], axis=1)[~new], axis=0)
             near = np.bitwise_count(pairs[:, 0] ^ pairs[:, 1])
             pairs = pairs[(near <= radius) & (near > 0)]
             a, b = _forest(pairs)
@@ -134,7 +138,7 @@ def _forest(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[off].view(np.int64), nodes[root[off]].view(np.int64)
 
 
-def ball_links(fps: DataFrame, radius: int = 4, most_variants: int = 2_000_000, step: int = 6) -> DataFrame:
+def ball_links(fps: DataFrame, radius: int = 4, most_variants: int = 1_000_000, step: int = 6) -> DataFrame:
     """fps (fp), distinct. Gives links (a, b) whose components are those of all pairs within `radius` bits."""
     ship(fps.sparkSession)
     half = radius // 2

@@ -112,6 +112,7 @@ def test_language_stage_and_empty(spark):
     docs = docs_of(spark, language_rows() + [(900, None, "xx"), (901, "99", None)])
     kept = known_language(docs)
     assert kept.columns == docs.columns and kept.count() == docs.count() - 2
+    assert known_language(docs_of(spark, [(1, "a", None), (2, None, None)])).count() == 2
     none = docs_of(spark, [])
     assert train(none) is None and predict(none, None).collect() == []
     assert [r.lang_pred for r in predict(docs_of(spark, [(1, "a", None)]), None).collect()] == ["und"]
