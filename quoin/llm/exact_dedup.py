@@ -99,7 +99,7 @@ def exact_dedup(
     hits = index.compact().filter("n > 1").select("digest")
     maybe = index.passing(texts, stored(index.bit_filter(hits), "hits")).filter("maybe")
     same = stored(
-        maybe.groupBy("digest", "body").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.first("sha").alias("sha")).drop("body"),
+        maybe.groupBy("digest", "sha", "body").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).drop("body"),
         "verified",
     )
     # Equal texts have one SHA-256, and a shortened key that two texts share is told apart by it; two verified groups
