@@ -2,8 +2,8 @@
 (DataFrame expressions and Spark's FPGrowth only).
 
 A URL is a set of tokens: labels of its host, segments of its path (digits as #), names of its parameters. Token
-combinations that go with the label `block` often enough (support) and surely enough (confidence) become rules; a rule is
-dropped if a part of its tokens is as sure. An inverted index holds each rule under its rarest token; a URL meets the
+combinations of any length that go with the label `block` often enough (support) and surely enough (confidence) become
+rules; a rule is dropped if a part of its tokens is as sure. An inverted index holds each rule under its rarest token; a URL meets the
 rules of its own tokens and keeps those of which it has all tokens.
 
 Defined cases: a null URL, or one without `://`, has an empty host and path and no tokens, so it is allowed; repeated
@@ -52,14 +52,17 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(parts(host, r"\.", "h:"), parts(shape, "/", "p:"), F.transform(names, lambda x: F.concat(F.lit("q:"), x))))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, most_tokens: int = MOST_TOKENS) -> DataFrame:
-    """labelled (tokens, blocked boolean). Rules (tokens, confidence, first: the rarest token) for blocking."""
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, most_tokens: int | None = MOST_TOKENS) -> DataFrame:
+    """labelled (tokens, blocked boolean). Rules (tokens, confidence, first: the rarest token) for blocking; most_tokens
+    None keeps combinations of every length."""
     spark = labelled.sparkSession
     baskets = stored(labelled.select(F.when(F.col("blocked"), F.array_append("tokens", BLOCK)).otherwise(F.col("tokens")).alias("items")), "baskets")
     if not baskets.limit(1).count():
         return spark.createDataFrame([], "tokens array<string>, confidence double, first string")
     frequent = FPGrowth(itemsCol="items", minSupport=min_support).fit(baskets).freqItemsets
-    frequent = stored(frequent.filter(F.size("items") <= most_tokens + 1).select(F.array_sort("items").alias("items"), "freq"), "itemsets")
+    if most_tokens is not None:
+        frequent = frequent.filter(F.size("items") <= most_tokens + 1)
+    frequent = stored(frequent.select(F.array_sort("items").alias("items"), "freq"), "itemsets")
     both = frequent.filter(F.array_contains("items", BLOCK) & (F.size("items") > 1)).select(F.array_remove("items", BLOCK).alias("tokens"), F.col("freq").alias("both"))
     rules = both.join(frequent.withColumnRenamed("items", "tokens"), "tokens").select("tokens", (F.col("both") / F.col("freq")).alias("confidence"))
     rules = stored(rules.filter(F.col("confidence") >= min_confidence), "rules")
@@ -81,10 +84,11 @@ def mined_score(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """pages (page_id, url), labels (page_id, blocked). page_id, host, path, rule, verdict, score."""
+    """pages (page_id, url), labels (page_id, blocked). page_id, host, path, rule, verdict, score. Rules of every length,
+    unless `how` says otherwise."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     with_tokens = pages.select("page_id", "url", tokens_of(F.col("url"), host, path).alias("tokens"))
-    rules = mine_rules(with_tokens.join(labels.select("page_id", "blocked"), "page_id").select("tokens", "blocked"), **how)
+    rules = mine_rules(with_tokens.join(labels.select("page_id", "blocked"), "page_id").select("tokens", "blocked"), **({"most_tokens": None} | how))
     score = mined_score(with_tokens.select("url", "tokens").filter("url is not null").distinct(), rules).withColumnRenamed("url", "_url")
     rows = pages.select("page_id", "url", host.alias("host"), path.alias("path")).join(score, F.col("url") == F.col("_url"), "left")
     fixed = fixed_rule(F.col("host"), F.col("path"))

@@ -121,3 +121,13 @@ def test_judge(spark):
     }
     none = judge(pages.limit(0), labels.limit(0)).collect()
     assert none == [] and len(judge(pages, labels.limit(0)).collect()) == 12
+
+
+def test_judge_uses_rules_of_every_length(spark):
+    parts = ["a", "b", "c", "d"]
+    paths = [(p, False) for k in (1, 2, 3) for p in combinations(parts, k)] * 3 + [(tuple(parts), True)] * 3 + [(("a", "b", "c", "e"), False)]
+    pages = spark.createDataFrame([(i, f"http://h.org/{'/'.join(p)}") for i, (p, _) in enumerate(paths)], "page_id bigint, url string")
+    labels = spark.createDataFrame([(i, b) for i, (_, b) in enumerate(paths)], "page_id bigint, blocked boolean")
+    out = {r.page_id: (r.verdict, r.score) for r in judge(pages, labels, min_support=0.05, min_confidence=0.6).collect()}
+    # Only all four segments together are sure; three of them are blocked at most every other time.
+    assert out == {i: ("block", 1.0) if b else ("allow", None) for i, (_, b) in enumerate(paths)}
