@@ -33,7 +33,7 @@ def communication_matrix(counts: list[int], shards: int, seed: int) -> list[list
         sent, rest, open_ = [], n, int(left.sum())
         for room in left.tolist():
             open_ -= room
-            k = int(_hypergeometric(rng, room, open_, rest)) if rest else 0
+            k = _hypergeometric(rng, room, open_, rest)
             sent.append(k)
             rest -= k
         left -= np.array(sent)
@@ -41,18 +41,28 @@ def communication_matrix(counts: list[int], shards: int, seed: int) -> list[list
     return out
 
 
-def _hypergeometric(rng, good: int, bad: int, draws: int) -> int:
-    """numpy's limit is 10**9; beyond it the draw is made in steps of at most that many."""
-    most, hit = 10**9 - 1, 0
-    if good + bad <= most:
-        return rng.hypergeometric(good, bad, draws) if good and draws else 0
-    # Split the population at random into blocks below the limit is itself hypergeometric; at this size the normal law
-    # with the exact mean and variance, rounded and held to the possible range, differs by less than a row in a million.
-    n = good + bad
-    mean = draws * good / n
-    var = mean * (bad / n) * (n - draws) / (n - 1)
-    hit = round(rng.normal(mean, var**0.5))
-    return min(max(hit, draws - bad, 0), good, draws)
+def _hypergeometric(rng, good: int, bad: int, draws: int, most: int = 10**9 - 1, few: int = 1000) -> int:
+    """How many of `draws` rows without replacement are good. numpy draws from up to `most` rows; beyond that each row is
+    taken by itself with the chance draws / rows, which are two binomial draws, and the surplus is given back, or what is
+    missing taken from the others, in the same way: about the root of what was left, until `few` are drawn one by one.
+    A set of rows taken so is uniform given its size, so the law is the same at every size."""
+    hit, sign = 0, 1
+    while good and draws:
+        if good + bad <= most:
+            return hit + sign * int(rng.hypergeometric(good, bad, draws))
+        if draws <= few:
+            for _ in range(draws):
+                one = int(rng.integers(good + bad) < good)
+                good, bad, hit = good - one, bad - 1 + one, hit + sign * one
+            return hit
+        p = draws / (good + bad)
+        x, y = int(rng.binomial(good, p)), int(rng.binomial(bad, p))
+        hit += sign * x
+        if x + y > draws:
+            good, bad, draws, sign = x, y, x + y - draws, -sign
+        else:
+            good, bad, draws = good - x, bad - y, draws - x - y
+    return hit
 
 
 def sharded(docs: DataFrame, shards: int = 8, seed: int = 17, block_rows: int = 10_000) -> DataFrame:

@@ -1,12 +1,14 @@
+import math
 import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quoin.llm.mixing import mix, mixed_rows
-from quoin.llm.sharding import communication_matrix, sharded
+from quoin.llm.sharding import _hypergeometric, communication_matrix, sharded
 
 SCHEMA = "doc_id bigint, text string, source string, _copies int, shard int, row string"
 
@@ -111,6 +113,22 @@ def test_matrix_law():
         assert share[k] / 3000 == pytest.approx(p / 70, abs=0.03)
 
 
+def test_matrix_law_of_a_small_partition_beyond_the_limit_of_numpy():
+    """Of 5 rows among more than 10**9, the first shard gets k by the binomial law, near enough."""
+    share = Counter(communication_matrix([5, 2 * 10**9], 8, s)[0][0] for s in range(4000))
+    for k in range(4):
+        assert share[k] / 4000 == pytest.approx(math.comb(5, k) * 7 ** (5 - k) / 8**5, abs=0.03)
+
+
+@pytest.mark.parametrize("good, bad, draws", [(60, 40, 50), (5, 95, 90), (30, 70, 12), (90, 10, 99)])
+def test_hypergeometric_law_by_binomial_draws(good, bad, draws):
+    rng = np.random.default_rng(3)
+    share = Counter(_hypergeometric(rng, good, bad, draws, most=10, few=4) for _ in range(20_000))
+    law = {k: math.comb(good, k) * math.comb(bad, draws - k) / math.comb(good + bad, draws) for k in range(max(0, draws - bad), min(good, draws) + 1)}
+    assert set(share) <= set(law)
+    assert sum(abs(share[k] / 20_000 - p) for k, p in law.items()) < 0.05
+
+
 def test_shards(spark):
     rows = [(i % 90, None if i % 7 == 0 else "é" * (i % 5), "s") for i in range(1001)]
     docs = frame(spark, rows).repartition(5)
