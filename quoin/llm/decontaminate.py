@@ -5,7 +5,8 @@ as its sequence of word numbers. Normalising changes no byte's place (bytes outs
 a-z), so a word's place in the normalised text is its place in the original.
 
 Benchmark windows go to the executors in blocks of at most `block_windows`, so what is sent at once is bounded; a larger
-benchmark takes one scan for each block.
+benchmark takes one scan for each block. Items are cut by a Spark job; the driver holds one block at a time. A document's
+hits of all blocks are merged before their share is taken.
 
 Defined cases: a null or wordless text has no words and no hits; a null or wordless item has no windows; an item with
 fewer than `width` words is one window; rows with one item_id are one item; an item without an identifier marks words
@@ -16,12 +17,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import chain
+from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quoin.llm.arrow import slices
@@ -60,6 +63,40 @@ def blocks(items: Iterator, width: int, block_windows: int) -> Iterator[list[tup
         yield block
 
 
+class Item(NamedTuple):
+    item_id: object
+    text: str | None
+
+
+def _cut(width: int, block_windows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = (Item(*row) for batch in slices(batches) for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        base = TaskContext.get().partitionId() << 33
+        for k, block in enumerate(blocks(items, width, block_windows)):
+            windows = [max(1, len(words) - width + 1) for _, words in block]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([base + k] * len(block), pa.int64()), pa.array([name for name, _ in block], pa.string()), pa.array([b" ".join(words) for _, words in block], pa.binary()), pa.array(windows, pa.int64())],
+                names=["block", "name", "words", "windows"],
+            )
+
+    return run
+
+
+def benchmark_blocks(benchmark: DataFrame, width: int, block_windows: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
+    """The benchmark as blocks() makes them of each partition, small ones that follow each other taken together. The driver
+    gets a row for each block of a partition, and the words of one block at a time."""
+    cut = stored(benchmark.select("item_id", "text").mapInArrow(_cut(width, block_windows), "block bigint, name string, words binary, windows bigint"), "items")
+    sizes = [(r.block, r.n) for r in cut.groupBy("block").agg(F.sum("windows").alias("n")).orderBy("block").collect()]
+    at = 0
+    while at < len(sizes):
+        end, n = at + 1, sizes[at][1]
+        while end < len(sizes) and n + sizes[end][1] <= block_windows:
+            end, n = end + 1, n + sizes[end][1]
+        rows = cut.filter(F.col("block").between(sizes[at][0], sizes[end - 1][0])).select("name", "words").collect()
+        yield [(r.name, bytes(r.words).split()) for r in rows]
+        at = end
+
+
 def automaton(block: list[tuple[str | None, list[bytes]]], width: int):
     """Word numbers, and the automaton: window -> (number of words, names of its items)."""
     number: dict[bytes, int] = {}
@@ -111,25 +148,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    items = benchmark.select("item_id", "text")
-    parts = blocks(items.toLocalIterator(), width, block_windows)
+    parts = benchmark_blocks(benchmark, width, block_windows)
     first, second = next(parts, []), next(parts, None)
     if second is None:
         return texts.mapInArrow(_scan(spark.sparkContext.broadcast(first), width), SCANNED)
     # Several blocks, a scan for each over rows that were numbered once; the hits of a row meet by its number.
     numbered = stored(docs.select(F.monotonically_increasing_id().alias("doc_id"), F.col("doc_id").cast("long").alias("_name"), "text"), "numbered")
-    texts, hits = numbered.select("doc_id", "text"), None
-    for block in chain([first, second], parts):
-        one = stored(texts.mapInArrow(_scan(spark.sparkContext.broadcast(block), width), SCANNED).filter("size(spans) > 0"), "hits")
-        hits = one if hits is None else hits.unionByName(one)
-    met = hits.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    met = met.select("doc_id", F.lit(0).cast("long").alias("n_words"), "spans", "items").mapInArrow(_met, SCANNED).drop("n_words")
+    texts = numbered.select("doc_id", "text")
+    met = _hits(texts, chain([first, second], parts), width).drop("n_words")
     plain = texts.mapInArrow(_scan(spark.sparkContext.broadcast([]), width), SCANNED).select("doc_id", "n_words")
     out = numbered.select("doc_id", "_name").join(plain, "doc_id").join(met, "doc_id", "left")
     none = F.array().cast("array<struct<first:bigint,last:bigint>>")
     return out.select(F.col("_name").alias("doc_id"), "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
+def _hits(texts: DataFrame, parts: Iterator, width: int) -> DataFrame:
+    """The rows of texts (doc_id unique, text) that any block hits: a scan for each block, hits merged by doc_id."""
+    spark, hits = texts.sparkSession, None
+    for block in parts:
+        one = stored(texts.mapInArrow(_scan(spark.sparkContext.broadcast(block), width), SCANNED).filter("size(spans) > 0"), "hits")
+        hits = one if hits is None else hits.unionByName(one)
+    met = hits.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return met.mapInArrow(_met, SCANNED)
+
+
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row's spans from several blocks, joined where they touch."""
     for batch in batches:
@@ -144,9 +186,12 @@ def original_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, i
     return [(int(edges[2 * a]), int(edges[2 * b + 1])) for a, b in spans]
 
 
+def n_hit_words() -> Column:
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
+
+
 def contamination_report(docs: DataFrame, benchmark: DataFrame, width: int = 10, **how) -> DataFrame:
-    found = contamination(docs, benchmark, width, **how)
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
+    found, n_hit = contamination(docs, benchmark, width, **how), n_hit_words()
     return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
@@ -172,13 +217,17 @@ def _clean(block, width: int, most_hit: float):
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = 10, most_hit: float = 0.0, block_windows: int = 200_000) -> DataFrame:
-    """The documents of which each block of windows hits at most the share `most_hit` of words, all columns as they were.
-    Only texts go to Python workers."""
-    spark, out = docs.sparkSession, docs
+    """The documents of which the benchmark hits at most the share `most_hit` of words, all columns as they were. Only
+    texts go to Python workers."""
+    spark = docs.sparkSession
     ship(spark)
-    for block in blocks(benchmark.select("item_id", "text").toLocalIterator(), width, block_windows):
-        out = out.filter(_clean(spark.sparkContext.broadcast(block), width, most_hit)(F.col("text")))
-    return out
+    parts = benchmark_blocks(benchmark, width, block_windows)
+    first, second = next(parts, []), next(parts, None)
+    if second is None:
+        return docs.filter(_clean(spark.sparkContext.broadcast(first), width, most_hit)(F.col("text")))
+    numbered = stored(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("doc_id")), "numbered")
+    hits = _hits(numbered.select("doc_id", F.col("row.text").alias("text")), chain([first, second], parts), width)
+    return numbered.join(hits.filter(n_hit_words() / F.col("n_words") > most_hit), "doc_id", "left_anti").select("row.*")
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:

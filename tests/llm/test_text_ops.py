@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quoin.llm.decontaminate import clean_documents, contamination, contamination_report, original_spans
+from quoin.llm.decontaminate import benchmark_blocks, clean_documents, contamination, contamination_report, original_spans
 from quoin.llm.language_id import ByteConvNet, held_out, known_language, predict, train, windows
 
 DOCS = "doc_id bigint, text string, lang string, source string, score double, n_words int"
@@ -66,6 +66,28 @@ def test_contamination_against_plain_version(spark, block):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r[0]) for r in want)
 
 
+@pytest.mark.parametrize("block", [200_000, 7])
+def test_share_of_hits_over_all_blocks(spark, block):
+    rows, items = decontamination_case()
+    rows = [*rows, (70, " ".join(t or "" for _, t in items) + " free" * 200)]
+    docs, bench = docs_of(spark, [(i, t, "en") for i, t in rows]), spark.createDataFrame(items, "item_id bigint, text string")
+    for most in (0.2, 0.4):
+        want = [r[0] for r in plain_report(rows, items) if r[2] <= most * r[1]]
+        kept = clean_documents(docs, bench, most_hit=most, block_windows=block)
+        assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, want))
+    assert 70 not in want and len(want) > 10
+
+
+def test_benchmark_comes_in_bounded_blocks(spark):
+    _, items = decontamination_case()
+    bench = spark.createDataFrame([*items, (40, "w " * 95)], "item_id bigint, text string").repartition(3)
+    cut = lambda w: [tuple(x.encode() for x in w[i : i + 10]) for i in range(max(1, len(w) - 9))] if w else []
+    want = {(None if i is None else str(i), x) for i, t in [*items, (40, "w " * 95)] for x in cut(words_of(t))}
+    got = list(benchmark_blocks(bench, 10, 20))
+    assert len(got) > 3 and all(sum(max(1, len(w) - 9) for _, w in b) <= 20 for b in got)
+    assert {(n, tuple(w[i : i + 10])) for b in got for n, w in b if w for i in range(max(1, len(w) - 9))} == want
+
+
 def test_contamination_empty(spark):
     docs, none = docs_of(spark, [(1, "a", "en")]), spark.createDataFrame([], "item_id bigint, text string")
     assert [tuple(r)[:4] for r in contamination_report(docs, none).collect()] == [(1, 1, 0, 0)]
