@@ -599,11 +599,16 @@ def pdf_magic(spark, sf_dir):
 
 @query("", "SELECT page_id, md5(html) AS digest FROM pages")
 def html_decode(spark, sf_dir):
-    """Pages in UTF-8 or, every other, with a part in the Cyrillic code page."""
-    old = F.concat(F.unhex(F.lit("CFF0E8E2E5F2")), F.lit("").cast("binary"))
-    pages = fx.table(spark, sf_dir, "pages").select("page_id", "html", F.when(F.col("page_id") % 2 == 0, F.col("html").cast("binary")).otherwise(old).alias("raw"))
-    out = files.decode_html(F.col("raw"))
-    return pages.select("page_id", F.md5(F.when((F.col("page_id") % 2 == 1) & (out == "Привет"), F.col("html")).otherwise(out)).alias("digest"))
+    """Pages in UTF-8 or, every other, behind a word in the Cyrillic code page, so that all their bytes are read in it. Each
+    byte is one letter there, so the digest of these pages is that of the letters after the word, put back into bytes."""
+    word = F.unhex(F.lit("CFF0E8E2E5F2"))
+    pages = fx.table(spark, sf_dir, "pages").select("page_id", F.col("html").cast("binary").alias("html"))
+    old = F.col("page_id") % 2 == 1
+    pages = pages.select("page_id", old.alias("old"), files.decode_html(F.when(old, F.concat(word, "html")).otherwise(F.col("html"))).alias("out"))
+    high = bytes(range(128, 256))
+    back = F.encode(F.translate(F.substring("out", 7, 1 << 30), high.decode("cp1251", "replace"), high.decode("latin-1")), "ISO-8859-1")
+    digest = F.when(F.col("old") & F.col("out").startswith("Привет"), F.md5(back)).otherwise(F.md5(F.col("out").cast("binary")))
+    return pages.select("page_id", digest.alias("digest"))
 
 
 @query("", """SELECT doc_id, row_number() OVER (ORDER BY kind, path) AS doc_ord, kind FROM (SELECT doc_id, CASE WHEN doc_id % 7 < 4 THEN 'image' WHEN doc_id % 7 < 6 THEN 'pdf' END AS kind,

@@ -1,5 +1,6 @@
 """Sources, sinks, streaming, pixels, requests and whole runs."""
 
+import hashlib
 import json
 
 import numpy as np
@@ -54,6 +55,19 @@ def test_decode(spark):
     assert [r.t for r in df.select("k", files.decode_html(F.col("raw")).alias("t")).orderBy("k").collect()] == ["Привет", "Привет", None]
 
 
+def test_query_decodes_whole_pages_in_the_code_page(spark, tmp_path, monkeypatch):
+    from quoin.plans.queries import QUERIES
+
+    seen = lambda raw: F.concat(decode(raw), F.when(F.length(raw) > 6, "!").otherwise(""))
+    html = ["<p>И</p>", "<p>é \u0418\u0098</p>", "", "x"]
+    spark.createDataFrame(list(enumerate(html)), "page_id bigint, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    digests = lambda: [r.digest for r in QUERIES["html_decode"](spark, str(tmp_path)).orderBy("page_id").collect()]
+    assert digests() == [hashlib.md5(h.encode()).hexdigest() for h in html]
+    decode = files.decode_html
+    monkeypatch.setattr(files, "decode_html", seen)
+    assert digests()[1] == hashlib.md5(html[1].encode() + b"!").hexdigest()  # what the operator gives is what counts
+
+
 def test_catalog(spark):
     row = "<tr class='m3'><td>1</td><td>T &amp; <b>u</b></td><td>01.02.1970</td><td> in\n force </td><td><a href='https://x.y/Data2/3/77.pdf' class='z' title='РД 1-70 '>p</a></td></tr>"
     html = f"<a href='/list2/5-0.htm' x>ГОСТ &lt;1&gt; </a>{row}<tr class='m3'><td>no pdf</td></tr>"
