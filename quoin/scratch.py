@@ -39,6 +39,16 @@ def stored(df: DataFrame, name: str, options: dict[str, str] | None = None, by:
     return out
 
 
+def bucketed(df: DataFrame, name: str, buckets: int, key: str, by: str) -> DataFrame:
+    """df written once as a table in `buckets` buckets of `key`, sorted by it, and a folder for each value of `by`; read back,
+    such tables meet bucket by bucket, without a shuffle. Its name in the session's catalogue goes with clear()."""
+    spark, table = df.sparkSession, f"quoin_{uuid.uuid4().hex}"
+    path = f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.format("parquet").option("path", path).partitionBy(by).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    spark.sparkContext._quoin_tables = [*getattr(spark.sparkContext, "_quoin_tables", []), table]
+    return spark.table(table)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
@@ -52,4 +62,7 @@ def drop(df: DataFrame) -> None:
 def clear(spark: SparkSession) -> None:
     """Deletes all that the session has stored, once its results have been written."""
     if hasattr(spark.sparkContext, "_quoin_scratch"):
+        for table in getattr(spark.sparkContext, "_quoin_tables", []):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        spark.sparkContext._quoin_tables = []
         _delete(spark, spark.sparkContext._quoin_scratch)
