@@ -1,25 +1,33 @@
 """Exact deduplication over a log-structured merge index of text digests (DataFrame expressions only).
 
-Memtables (hash slices of the batch) are aggregated and flushed as runs: Parquet files sorted by digest, with Parquet
-Bloom filters on the digest and a bit filter per run. Compaction merges the digests that the filters cannot rule out of
-other runs and keeps the smallest identifier. Documents whose digest hits are compared byte by byte: they are grouped by
-the text itself, so two texts that merely share a digest stay apart.
-
-Defined cases: a null text counts as empty; a null identifier never wins over a real one; rows that repeat an identifier
-and its text are counted one by one and share `kept`; an empty table gives an empty result; columns other than the
-identifier and the text are ignored.
+A batch's memtables (hash slices of its rows) are aggregated and flushed as runs: tables in buckets of the digest, sorted
+by it. Compaction merges two runs at a time, bucket by bucket in the order that they are in, without a shuffle, and keeps
+a digest's smallest identifier and its number of rows. Digests that the merged run holds more than once are hits: a filter
+of them, sized by their number, picks the texts that could be meant in one scan, and those are compared byte by byte.
+
+The index stays open for further batches. keep_id and group_size come from it, so they count all batches so far; an
+identifier smaller than the one kept until then takes over. It remembers the tables that it was made from (not their
+rows), and reads the texts of earlier batches again where a later one hits them.
+
+Defined cases: a null text counts as empty; a null identifier never wins over a real one; of rows that repeat the
+identifier that stays, and its text, one is kept, the one of the earliest batch; an empty table gives an empty result;
+columns other than the identifier and the text are ignored; a very long text is one value that is hashed and compared whole.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quoin.scratch import stored
+from quoin.scratch import bucketed, stored
 
 #: Runs of white space that are not already one single space.
 UNEVEN_SPACE = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
-BLOOM = {"parquet.bloom.filter.enabled#digest": "true"}
+#: Bits of a filter for each of its digests, and the most that are sent to all executors (16 MB).
+BITS_EACH, MOST_BITS = 16, 1 << 27
 
 
 def normalised(text: Column) -> Column:
@@ -28,89 +36,103 @@ def normalised(text: Column) -> Column:
 
 
 class DigestIndex:
-    """Runs of (digest, keep_id, n). A run's filter has `filter_bits` bits whatever the input's size, so that sending it
-    to every executor costs a fixed amount; a filter that fills up only lets more digests through to the exact merge."""
-
-    def __init__(self, memtables: int = 4, filter_bits: int = 1 << 23):
-        self.memtables, self.filter_bits = memtables, filter_bits
-        self.runs: DataFrame | None = None
-
-    def _word(self) -> Column:
-        return F.shiftright(F.pmod(F.xxhash64("digest"), F.lit(self.filter_bits)), 6).alias("word")
+    """Runs of (digest, keep_id, batch, n): the smallest identifier of a digest, the first batch that has it, and the
+    number of rows. A bucket holds about `bucket_rows` rows of the first batch."""
+
+    def __init__(self, memtables: int = 4, bucket_rows: int = 2_000_000):
+        self.memtables, self.bucket_rows = memtables, bucket_rows
+        self.buckets, self.batches = 0, 0
+        self.runs: list[DataFrame] = []
+        self.texts: list[DataFrame] = []
+
+    def flush(self, rows: DataFrame, texts: DataFrame) -> None:
+        """rows (digest, doc_id) of a batch: one sorted run for each memtable, beside the runs that are there. texts
+        (digest, doc_id, sha, body) are read again for hits only."""
+        if not self.buckets:
+            self.buckets = max(8, math.ceil(rows.count() / self.bucket_rows))
+        new = rows.withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(self.memtables)).cast("int"))
+        new = new.groupBy("run", "digest").agg(F.min("doc_id").alias("keep_id"), F.lit(self.batches).alias("batch"), F.count(F.lit(1)).alias("n"))
+        written = self._written(new)
+        self.runs += [written.filter(F.col("run") == k).drop("run") for k in range(self.memtables)]
+        self.texts.append(texts)
+        self.batches += 1
+
+    def _written(self, rows: DataFrame) -> DataFrame:
+        return bucketed(rows.repartition(self.buckets, "digest").sortWithinPartitions("run", "digest"), "runs", self.buckets, "digest", "run")
 
     @staticmethod
-    def _bit() -> Column:
-        return F.expr("shiftleft(1L, cast(xxhash64(digest) & 63 as int))")
-
-    def bit_filter(self, digests: DataFrame, *keys: str) -> DataFrame:
-        return digests.groupBy(*keys, self._word()).agg(F.bit_or(self._bit()).alias("mask"))
-
-    def passing(self, rows: DataFrame, bits: DataFrame) -> DataFrame:
-        """rows with `maybe`: false only where the filter proves the digest absent."""
-        return (
-            rows.withColumn("word", self._word())
-            .join(F.broadcast(bits), "word", "left")
-            .withColumn("maybe", F.coalesce(F.col("mask").bitwiseAND(self._bit()) != 0, F.lit(False)))
-            .drop("word", "mask")
-        )
-
-    def flush(self, rows: DataFrame) -> None:
-        """rows (digest, doc_id): one sorted run for each memtable, beside the runs that are there."""
-        new = (
-            rows.withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(self.memtables)).cast("int"))
-            .groupBy("run", "digest")
-            .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
-        )
-        first = 0 if self.runs is None else self.runs.agg(F.coalesce(F.max("run"), F.lit(-1)) + 1).first()[0]
-        new = stored(new.withColumn("run", F.col("run") + first).sortWithinPartitions("run", "digest"), "runs", BLOOM)
-        self.runs = new if self.runs is None else self.runs.unionByName(new)
+    def _merged(a: DataFrame, b: DataFrame) -> DataFrame:
+        first = lambda r: F.when(r["digest"].isNotNull(), F.struct(r["keep_id"].isNull(), r["keep_id"], r["batch"]).cast(kind))
+        kind = f"struct<none:boolean,keep_id:{dict(a.dtypes)['keep_id']},batch:int>"
+        a, b = a.alias("a"), b.alias("b").hint("merge")
+        one, two = ({c: F.col(f"{side}.{c}") for c in ("digest", "keep_id", "batch", "n")} for side in "ab")
+        out = a.join(b, one["digest"] == two["digest"], "full").withColumn("_first", F.least(first(one), first(two)))
+        n = F.coalesce(one["n"], F.lit(0)) + F.coalesce(two["n"], F.lit(0))
+        return out.select(F.coalesce(one["digest"], two["digest"]).alias("digest"), "_first.keep_id", "_first.batch", n.alias("n"))
 
     def compact(self) -> DataFrame:
-        """All runs merged into one: a digest's smallest identifier and its number of rows."""
-        twice = (
-            self.bit_filter(self.runs, "run")
-            .groupBy("word")
-            .agg(F.collect_list("mask").alias("masks"))
-            .select(
-                "word",
-                F.expr(
-                    "aggregate(masks, named_struct('once', 0L, 'twice', 0L),"
-                    " (a, m) -> named_struct('once', a.once | m, 'twice', a.twice | (a.once & m)), a -> a.twice)"
-                ).alias("mask"),
-            )
-        )
-        rows = stored(self.passing(self.runs, stored(twice, "filters")), "probed")
-        alone = rows.filter(~F.col("maybe")).select("digest", "keep_id", "n")
-        merged = rows.filter("maybe").groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"))
-        one = stored(alone.unionByName(merged).sortWithinPartitions("digest"), "compacted", BLOOM)
-        self.runs = one.withColumn("run", F.lit(0))
-        return one
+        """The runs merged two at a time until one is left."""
+        while len(self.runs) > 1:
+            pairs = [self._merged(*self.runs[i : i + 2]) for i in range(0, len(self.runs) - 1, 2)]
+            new = [bucketed(p.withColumn("run", F.lit(0)), "compacted", self.buckets, "digest", "run").drop("run") for p in pairs]
+            self.runs = new + self.runs[2 * len(pairs) :]
+        return self.runs[0]
+
+
+def passing(texts: DataFrame, hits: DataFrame) -> DataFrame:
+    """texts whose digest may be among hits (digest, stored): three bits of a word of 64, sent to all executors; with more
+    hits than a filter of MOST_BITS can tell apart, an exact join in its place."""
+    n = hits.count()
+    if n * BITS_EACH > MOST_BITS:
+        return texts.join(hits.select("digest"), "digest", "left_semi")
+    h, words = F.xxhash64("digest"), max(1, n * BITS_EACH // 64)
+    bit = lambda k: F.expr(f"shiftleft(1L, cast(shiftright(xxhash64(digest), {6 * k}) & 63 as int))")
+    mask = bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2))
+    word = F.pmod(F.shiftright(h, 18), F.lit(words))
+    bits = stored(hits.groupBy(word.alias("_word")).agg(F.bit_or(mask).alias("_bits")), "filter")
+    return texts.withColumn("_word", word).join(F.broadcast(bits), "_word").filter(F.col("_bits").bitwiseAND(mask) == mask).select(*texts.columns)
 
 
 def exact_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None, digest_bytes: int = 32
 ) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256. `digest_bytes` shortens the index's key."""
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, after docs went into the index.
+    `digest_bytes` shortens the index's key."""
     index = index or DigestIndex()
     texts = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("body"))
     texts = texts.withColumn("sha", F.unhex(F.sha2(F.col("body"), 256))).withColumn("digest", F.substring("sha", 1, digest_bytes))
-    rows = stored(texts.select("doc_id", "sha", "digest"), "digests")
-    index.flush(rows.select("digest", "doc_id"))
-    hits = index.compact().filter("n > 1").select("digest")
-    maybe = index.passing(texts, stored(index.bit_filter(hits), "hits")).filter("maybe")
-    same = stored(
-        maybe.groupBy("digest", "sha", "body").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).drop("body"),
-        "verified",
-    )
-    # Equal texts have one SHA-256, and a shortened key that two texts share is told apart by it; two verified groups
-    # with one SHA-256 would be a collision of the full digest.
-    if same.groupBy("sha").count().filter("count > 1").limit(1).count():
+    rows = stored(texts.select("doc_id", "sha", "digest", F.monotonically_increasing_id().alias("row")), "digests")
+    index.flush(rows.select("digest", "doc_id"), texts)
+    hits = index.compact().filter("n > 1")
+    if index.batches > 1:
+        hits = hits.join(rows.select("digest"), "digest", "left_semi")
+    hits = stored(hits, "hits")
+    texts = [t.withColumn("batch", F.lit(k)) for k, t in enumerate(index.texts)]
+    maybe = passing(reduce(DataFrame.unionByName, texts), hits)
+    same = maybe.select("digest", "sha", "body").distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("bodies"), F.countDistinct("sha").alias("shas"))
+    mixed = stored(same.filter("bodies > 1").join(hits.select("digest"), "digest", "left_semi"), "verified")
+    if mixed.filter("bodies > shas").limit(1).count():
         raise ValueError("two different texts share a SHA-256 digest")
-    return rows.join(same.filter("group_size > 1").select("sha", "keep_id", "group_size"), "sha", "left").select(
+    out = rows.join(hits.select("digest", "keep_id", "batch", "n"), "digest", "left")
+    if mixed.limit(1).count():
+        # Different texts under one digest, which a shortened one can have: what the texts say goes before the index.
+        own = maybe.join(mixed, "digest", "left_semi").groupBy("sha").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "batch")).alias("own"), F.count(F.lit(1)).alias("own_n"))
+        told = F.col("own_n").isNotNull()
+        out = out.join(own, "sha", "left").withColumn("n", F.coalesce("own_n", "n"))
+        out = out.withColumn("keep_id", F.when(told, F.col("own.doc_id")).otherwise(F.col("keep_id"))).withColumn("batch", F.when(told, F.col("own.batch")).otherwise(F.col("batch")))
+    now = stored(out.select("doc_id", "sha", "row", "n", "keep_id", "batch"), "kept")
+    first = F.col("n").isNull() | (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("batch") == index.batches - 1))
+    # Rows that repeat the identifier that stays: the first of them.
+    again = now.filter(F.col("n").isNotNull() & first).groupBy("sha").agg(F.min("row").alias("first_row"), F.count(F.lit(1)).alias("rows"))
+    again = stored(again.filter("rows > 1").select("sha", "first_row"), "repeated")
+    if again.limit(1).count():
+        now = now.join(again, "sha", "left")
+        first = first & F.coalesce(F.col("row") == F.col("first_row"), F.lit(True))
+    return now.select(
         "doc_id",
-        F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.when(F.col("group_size").isNull(), F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+        F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
+        first.alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
@@ -121,7 +143,7 @@ def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:
 
 OP1_SQL = r"""
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
-       doc_id = min(doc_id) OVER g AS kept, text_sha256
+       doc_id IS NOT DISTINCT FROM min(doc_id) OVER g AND row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id) = 1 AS kept, text_sha256
 FROM (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 WINDOW g AS (PARTITION BY text_sha256)
 """

@@ -36,34 +36,61 @@ def expected_exact(rows):
     groups = defaultdict(list)
     for i, t in rows:
         groups[one_space(t)].append(i)
-    out = []
+    out, seen = [], set()
     for i, t in rows:
         ids = [x for x in groups[one_space(t)] if x is not None]
         keep = min(ids) if ids else None
-        out.append((i, keep, len(groups[one_space(t)]), i == keep, sha256(one_space(t).encode()).hexdigest()))
+        kept = i == keep and one_space(t) not in seen
+        seen |= {one_space(t)} if kept else set()
+        out.append((i, keep, len(groups[one_space(t)]), kept, sha256(one_space(t).encode()).hexdigest()))
     return sorted(out, key=str)
 
 
 @pytest.mark.parametrize("digest_bytes", [32, 1])
 def test_exact_matches_plain_version(spark, digest_bytes):
     rows = ROWS + [(100 + i, f"text {i % 300}") for i in range(700)]
-    out = exact_dedup(frame(spark, rows), digest_bytes=digest_bytes, index=DigestIndex(memtables=3, filter_bits=1 << 10))
+    out = exact_dedup(frame(spark, rows), digest_bytes=digest_bytes, index=DigestIndex(memtables=3))
     assert sorted(map(tuple, out.collect()), key=str) == expected_exact(rows)
 
 
+@pytest.mark.parametrize("digest_bytes", [32, 1])
+def test_index_over_batches_matches_plain_version(spark, digest_bytes):
+    """A later batch is judged by all rows so far: those of the plain version over both that come after the first."""
+    first = [*ROWS, (30, "x y"), (31, "z")]
+    second = [(40, "a b"), (0, "x  y"), (31, "z"), (None, "alone"), (41, "new"), (42, "new"), (43, None), (44, "one")]
+    index = DigestIndex(memtables=2)
+    assert sorted(map(tuple, exact_dedup(frame(spark, first), index=index, digest_bytes=digest_bytes).collect()), key=str) == expected_exact(first)
+    got = sorted(map(tuple, exact_dedup(frame(spark, second), index=index, digest_bytes=digest_bytes).collect()), key=str)
+    both, before = expected_exact(first + second), {one_space(t) for _, t in first}
+    want = {(r[0], r[4]): r for r in both}
+    again = {(i, sha256(one_space(t).encode()).hexdigest()) for i, t in first}
+    assert got == sorted(((*want[k][:3], want[k][3] and k not in again, k[1]) for k in ((i, sha256(one_space(t).encode()).hexdigest()) for i, t in second)), key=str)
+    assert index.batches == 2 and len(index.runs) == 1 and before
+
+
 def test_exact_empty(spark):
     assert exact_dedup(frame(spark, [])).collect() == []
 
 
-def test_index_keeps_smallest_over_flushes(spark):
+def test_hits_beyond_the_filter_are_joined(spark, monkeypatch):
+    from quoin.llm import exact_dedup as module
+
+    monkeypatch.setattr(module, "MOST_BITS", 16)
+    assert sorted(map(tuple, exact_dedup(frame(spark)).collect()), key=str) == expected_exact(ROWS)
+
+
+def test_runs_merge_without_a_shuffle(spark):
     from pyspark.sql import functions as F
 
-    index = DigestIndex(memtables=2, filter_bits=1 << 10)
+    index = DigestIndex(memtables=2)
     for ids in ([5, 7], [3, 7], [9]):
         batch = spark.createDataFrame([(i, f"k{i % 2}") for i in ids], "doc_id bigint, k string")
-        index.flush(batch.select(F.encode("k", "utf-8").alias("digest"), "doc_id"))
-    assert [(r.keep_id, r.n) for r in index.compact().collect()] == [(3, 5)]
-    assert index.runs.select("run").distinct().count() == 1
+        rows = batch.select(F.encode("k", "utf-8").alias("digest"), "doc_id")
+        index.flush(rows, rows)
+    plan = index._merged(*index.runs[:2])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert [(r.keep_id, r.batch, r.n) for r in index.compact().collect()] == [(3, 1, 5)]
+    assert len(index.runs) == 1
 
 
 def plain_fingerprint(text):
