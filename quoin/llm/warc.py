@@ -8,8 +8,9 @@ the chunks of a URL, and used where the revisit's own chunk has none earlier, so
 dealt over as many tasks as it has chunks.
 
 Defined cases: a null URL or time meets nothing; equal times are not earlier, and among equally late responses the
-greatest record_id is taken; a revisit without validators, or with one that the response lacks, is a mismatch; a null
-header map counts as empty; repeated rows are resolved one by one; an empty table works; further columns are ignored.
+greatest record_id is taken; a revisit without validators, or with one that the response lacks, is a mismatch; header
+names count without case and come out in lower case; a null header map counts as empty, a null value as no value; repeated
+rows are resolved one by one; very long URLs and values stay whole; an empty table works; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 #: Header fields that a 304 may not change, since they describe the body that it doesn't carry. Fixed values.
 BODY_FIELDS = ["content-encoding", "content-length", "content-range", "content-type", "trailer", "transfer-encoding"]
-TRACKING = r"(?:utm_[a-z]+|ref|fbclid|gclid)=[^&]*"
+TRACKING = r"(?:utm_[a-z]+|fbclid|gclid)=[^&]*"
 
 
 def canonical_url(url: Column) -> Column:
@@ -31,6 +32,15 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
 
 
+def field_map(headers: Column) -> Column:
+    """Header fields by lower-case name, since names differ by case alone; values of one name in their order, with a comma
+    between; a null map is empty."""
+    kind = "array<struct<key:string,value:string>>"
+    fields = F.coalesce(F.map_entries(headers), F.array()).cast(kind)
+    names = F.array_distinct(F.transform(fields, lambda e: F.lower(e["key"])))
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.array_join(F.transform(F.filter(fields, lambda e: F.lower(e["key"]) == n), lambda e: e["value"]), ", ")))
+
+
 def _weak(etag: Column) -> Column:
     return F.regexp_replace(etag, r"^W/", "")
 
@@ -38,26 +48,29 @@ def _weak(etag: Column) -> Column:
 def resolve_revisits(records: DataFrame, chunk_seconds: int = 86_400) -> DataFrame:
     """records (record_id, url, ts long, kind 'response' or 'revisit', etag, last_modified, headers map, digest). All of
     them with canonical_url, status (full, resolved, mismatch, orphan), refers_to, digest and merged headers."""
-    rows = records.select("record_id", "url", "ts", "kind", "etag", "last_modified", "headers", "digest")
-    rows = rows.withColumn("canonical_url", canonical_url(F.col("url"))).withColumn("_chunk", F.floor(F.col("ts") / chunk_seconds))
+    rows = records.select("record_id", "url", "ts", "kind", "etag", "last_modified", field_map(F.col("headers")).alias("headers"), "digest")
+    rows = rows.withColumn("canonical_url", canonical_url(F.col("url")))
+    # A record that can meet nothing is a group of its own, so that these are not gathered.
+    lone = F.col("canonical_url").isNull() | F.col("ts").isNull()
+    own = F.when(lone, F.struct(F.lit("").alias("url"), F.monotonically_increasing_id().alias("row"))).otherwise(F.struct(F.col("canonical_url").alias("url"), F.lit(-1).cast("long").alias("row")))
+    rows = rows.withColumn("_lone", lone).withColumn("_own", own).withColumn("_chunk", F.when(~lone, F.floor(F.col("ts") / chunk_seconds)))
     body = F.struct("record_id", "etag", "last_modified", "headers", "digest")
     full, at = F.col("kind") == "response", F.struct("ts", "record_id")
-    last = rows.groupBy("canonical_url", "_chunk").agg(F.max_by(F.when(full, body), F.when(full, at)).alias("_last"))
+    last = rows.filter(~F.col("_lone")).groupBy("canonical_url", "_chunk").agg(F.max_by(F.when(full, body), F.when(full, at)).alias("_last"))
     over = Window.partitionBy("canonical_url").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last.select(F.col("canonical_url").alias("_url"), F.col("_chunk").alias("_at"), F.last("_last", ignorenulls=True).over(over).alias("_carried"))
-    rows = rows.join(carried, (F.col("canonical_url") == F.col("_url")) & (F.col("_chunk") == F.col("_at")), "left")
-    inside = Window.partitionBy("canonical_url", "_chunk").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
+    carried = last.select(F.struct(F.col("canonical_url").alias("url"), F.lit(-1).cast("long").alias("row")).alias("_key"), F.col("_chunk").alias("_at"), F.last("_last", ignorenulls=True).over(over).alias("_carried"))
+    rows = rows.join(carried, (F.col("_own") == F.col("_key")) & (F.col("_chunk") == F.col("_at")), "left")
+    inside = Window.partitionBy("_own", "_chunk").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     met = F.max_by(F.when(full, body), F.when(full, at)).over(inside)
-    rows = rows.withColumn("_met", F.when(F.col("canonical_url").isNotNull() & F.col("ts").isNotNull(), F.coalesce(met, F.col("_carried"))))
+    rows = rows.withColumn("_met", F.when(~F.col("_lone"), F.coalesce(met, F.col("_carried"))))
     old = F.col("_met")
     # An entity tag decides if the revisit has one; the date counts only without it.
     agree = F.when(F.col("etag").isNotNull(), _weak(F.col("etag")) == _weak(old["etag"])).otherwise(F.col("last_modified") == old["last_modified"])
     agree = F.coalesce(agree, F.lit(False))
     status = F.when(full, "full").when(old.isNull(), "orphan").when(agree, "resolved").otherwise("mismatch")
-    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    own = F.coalesce("headers", none)
+    own = F.col("headers")
     new = F.map_filter(own, lambda k, _: ~k.isin(BODY_FIELDS))
-    kept = F.map_filter(F.coalesce(old["headers"], none), lambda k, _: ~F.coalesce(F.map_contains_key(new, k), F.lit(False)))
+    kept = F.map_filter(old["headers"], lambda k, _: ~F.coalesce(F.map_contains_key(new, k), F.lit(False)))
     done = F.col("status") == "resolved"
     return rows.withColumn("status", status).select(
         "record_id", "url", "canonical_url", "ts", "kind", "status",
@@ -76,7 +89,7 @@ def records_of(pages: DataFrame) -> DataFrame:
     pairs = lambda *kv: F.map_from_arrays(F.array(*[F.lit(k) for k, _ in kv]), F.array(*[v for _, v in kv]))
     full = pages.select(
         (page * 2).alias("record_id"), "url", at.alias("ts"), F.lit("response").alias("kind"), tag.alias("etag"), date.alias("last_modified"),
-        pairs(("content-type", F.lit("text/html")), ("content-length", F.octet_length("html").cast("string")), ("date", date), ("etag", tag)).alias("headers"),
+        pairs(("Content-Type", F.lit("text/html")), ("content-length", F.octet_length("html").cast("string")), ("Date", date), ("ETag", tag)).alias("headers"),
         F.sha2("html", 256).alias("digest"),
     )
     later = at + F.when(F.pmod(page, F.lit(11)) == 0, F.lit(-86_400)).otherwise(30 + F.pmod(page, F.lit(7)) * 3_600)
@@ -84,7 +97,7 @@ def records_of(pages: DataFrame) -> DataFrame:
     url = F.regexp_replace(F.regexp_replace("url", "#.*$", ""), "^https?://", "HTTPS://")
     again = pages.select(
         (page * 2 + 1).alias("record_id"), url.alias("url"), later.alias("ts"), F.lit("revisit").alias("kind"), seen.alias("etag"), date.alias("last_modified"),
-        pairs(("content-length", F.lit("0")), ("date", later.cast("string")), ("cache-control", F.lit("max-age=60"))).alias("headers"),
+        pairs(("Content-Length", F.lit("0")), ("date", later.cast("string")), ("Cache-Control", F.lit("max-age=60"))).alias("headers"),
         F.lit(None).cast("string").alias("digest"),
     )
     return full.unionByName(again)
@@ -108,7 +121,7 @@ bare AS (SELECT *, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-
 parts AS (
   SELECT *, regexp_replace(lower(regexp_extract(b, '^[^/?]*')), '^www\.|:(?:80|443)$', '', 'g') AS host,
          regexp_replace(regexp_extract(b, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
-         regexp_replace(regexp_replace(regexp_extract(b, '\?(.*)$', 1), '^(?:utm_[a-z]+|ref|fbclid|gclid)=[^&]*(?:&|$)', ''), '&(?:utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '', 'g') AS q FROM bare),
+         regexp_replace(regexp_replace(regexp_extract(b, '\?(.*)$', 1), '^(?:utm_[a-z]+|fbclid|gclid)=[^&]*(?:&|$)', ''), '&(?:utm_[a-z]+|fbclid|gclid)=[^&]*', '', 'g') AS q FROM bare),
 c AS (SELECT *, host || path || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS canonical_url FROM parts),
 met AS (
   SELECT c.*, o.record_id AS o_id, o.etag AS o_tag, o.last_modified AS o_mod, o.digest AS o_digest, o.len AS o_len, o.ts AS o_ts
