@@ -3,12 +3,12 @@
 
 A URL is a set of tokens: labels of its host, segments of its path (digits as #), names of its parameters. Token
 combinations of any length that go with the label `block` often enough (support) and surely enough (confidence) become
-rules; a rule is dropped if a part of its tokens is as sure. An inverted index holds each rule under its rarest token; a URL meets the
-rules of its own tokens and keeps those of which it has all tokens.
+rules; a rule is dropped if a part of its tokens is as sure. An inverted index holds each rule under its rarest token; a
+URL meets the rules of its own tokens and keeps those of which it has all tokens.
 
 Defined cases: a null URL, or one without `://`, has an empty host and path and no tokens, so it is allowed; repeated
 rows and null identifiers are judged like any other; without labels no rule is mined; an empty table gives an empty
-result; further columns are ignored.
+result; a very long URL keeps all its tokens; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ BLOCK = "=block"
 #: (verdict, host, path) of the contract's rules. Fixed values.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 #: Which pages are labelled `block`: those whose number has a label that is toxic or of low quality.
-MIN_SUPPORT, MIN_CONFIDENCE, MOST_TOKENS = 0.004, 0.4, 2
+MIN_SUPPORT, MIN_CONFIDENCE = 0.004, 0.4
 
 
 def host_of(url: Column) -> Column:
@@ -52,16 +52,13 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(parts(host, r"\.", "h:"), parts(shape, "/", "p:"), F.transform(names, lambda x: F.concat(F.lit("q:"), x))))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, most_tokens: int | None = MOST_TOKENS) -> DataFrame:
-    """labelled (tokens, blocked boolean). Rules (tokens, confidence, first: the rarest token) for blocking; most_tokens
-    None keeps combinations of every length."""
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """labelled (tokens, blocked boolean). Rules (tokens, confidence, first: the rarest token) for blocking."""
     spark = labelled.sparkSession
     baskets = stored(labelled.select(F.when(F.col("blocked"), F.array_append("tokens", BLOCK)).otherwise(F.col("tokens")).alias("items")), "baskets")
     if not baskets.limit(1).count():
         return spark.createDataFrame([], "tokens array<string>, confidence double, first string")
     frequent = FPGrowth(itemsCol="items", minSupport=min_support).fit(baskets).freqItemsets
-    if most_tokens is not None:
-        frequent = frequent.filter(F.size("items") <= most_tokens + 1)
     frequent = stored(frequent.select(F.array_sort("items").alias("items"), "freq"), "itemsets")
     both = frequent.filter(F.array_contains("items", BLOCK) & (F.size("items") > 1)).select(F.array_remove("items", BLOCK).alias("tokens"), F.col("freq").alias("both"))
     rules = both.join(frequent.withColumnRenamed("items", "tokens"), "tokens").select("tokens", (F.col("both") / F.col("freq")).alias("confidence"))
@@ -84,11 +81,10 @@ def mined_score(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """pages (page_id, url), labels (page_id, blocked). page_id, host, path, rule, verdict, score. Rules of every length,
-    unless `how` says otherwise."""
+    """pages (page_id, url), labels (page_id, blocked). page_id, host, path, rule, verdict, score."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     with_tokens = pages.select("page_id", "url", tokens_of(F.col("url"), host, path).alias("tokens"))
-    rules = mine_rules(with_tokens.join(labels.select("page_id", "blocked"), "page_id").select("tokens", "blocked"), **({"most_tokens": None} | how))
+    rules = mine_rules(with_tokens.join(labels.select("page_id", "blocked"), "page_id").select("tokens", "blocked"), **how)
     score = mined_score(with_tokens.select("url", "tokens").filter("url is not null").distinct(), rules).withColumnRenamed("url", "_url")
     rows = pages.select("page_id", "url", host.alias("host"), path.alias("path")).join(score, F.col("url") == F.col("_url"), "left")
     fixed = fixed_rule(F.col("host"), F.col("path"))
@@ -113,19 +109,15 @@ t AS (
     [concat('p:', x) FOR x IN string_split(regexp_replace(path, '[0-9]+', '#', 'g'), '/') IF x <> '']),
     [concat('q:', x) FOR x IN regexp_extract_all(q, '(?:^|&)([^=&]+)', 1)])) AS token FROM p),
 l AS (SELECT doc_id AS page_id, coalesce(max(toxic = 1 OR quality = 0), false) AS blocked FROM labels GROUP BY 1),
-lab AS (SELECT t.page_id, token, blocked FROM t JOIN l USING (page_id)),
 least_n AS (SELECT ceil({MIN_SUPPORT} * count(*)) AS m FROM p JOIN l USING (page_id)),
-sets AS (
-  SELECT token AS a, NULL AS b, count(*) AS freq, count(*) FILTER (WHERE blocked) AS hit FROM lab GROUP BY 1
-  UNION ALL
-  SELECT x.token, y.token, count(*), count(*) FILTER (WHERE x.blocked) FROM lab x JOIN lab y ON x.page_id = y.page_id AND x.token < y.token GROUP BY 1, 2),
-rules AS (SELECT a, b, hit / freq AS confidence FROM sets, least_n WHERE hit >= m AND hit > 0 AND hit / freq >= {MIN_CONFIDENCE}),
-kept AS (SELECT * FROM rules r WHERE b IS NULL OR NOT EXISTS (SELECT 1 FROM rules s WHERE s.b IS NULL AND s.a IN (r.a, r.b) AND s.confidence >= r.confidence)),
-score AS (
-  SELECT url, max(confidence) AS score FROM (
-    SELECT t.url, confidence FROM t JOIN kept ON b IS NULL AND a = token
-    UNION ALL
-    SELECT x.url, confidence FROM kept JOIN t x ON x.token = a JOIN t y ON y.token = b AND y.page_id = x.page_id WHERE b IS NOT NULL) GROUP BY 1),
+-- Only tokens that are blocked often enough by themselves can be part of a rule; all their combinations are made.
+often AS (SELECT token FROM t JOIN l USING (page_id), least_n WHERE blocked GROUP BY token, m HAVING count(*) >= m),
+own AS (SELECT page_id, any_value(url) AS url, list(token ORDER BY token) AS a FROM t JOIN often USING (token) GROUP BY 1),
+sets AS (SELECT page_id, url, [a[i + 1] FOR i IN range(len(a)) IF (bits >> i) & 1 = 1] AS items FROM (SELECT *, unnest(range(1, CAST(1 AS BIGINT) << len(a))) AS bits FROM own)),
+rules AS (
+  SELECT items, hit / freq AS confidence FROM (SELECT items, count(*) AS freq, count(*) FILTER (WHERE blocked) AS hit FROM sets JOIN l USING (page_id) GROUP BY 1), least_n
+  WHERE hit >= m AND hit > 0 AND hit / freq >= {MIN_CONFIDENCE}),
+score AS (SELECT url, max(confidence) AS score FROM sets JOIN rules USING (items) GROUP BY 1),
 f AS (SELECT page_id, host, path, score, CASE
   WHEN (host = 'www.example.com' OR suffix(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
   WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
