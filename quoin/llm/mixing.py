@@ -8,7 +8,8 @@ so that no task ever holds a source.
 
 Defined cases: a null text has no words; a null source is a source of its own, last in order; documents without words
 take none of the budget (0 words, one copy); rows that agree in identifier, source and size are rounded together; an
-empty table gives an empty result; further columns stay untouched in `mixed_rows`.
+empty table gives an empty result; a very long text counts all its words; further columns, whatever they are called, stay
+untouched in `mixed_rows`.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quoin.operators.numbering import number_rows
 from quoin.scratch import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,19 +32,24 @@ def word_count(text: Column) -> Column:
 
 def targets(by_source: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """by_source (source, source_size, ...) with sid and target: `share` of all words by weight, and what lies above
-    `most` times a source's own words is dealt again by weight among the others (water filling, in closed form)."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    filled = Window.orderBy("full_at", "sid")
-    rows = by_source.withColumn("sid", F.row_number().over(order))
-    rows = rows.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.col("sid") - 1, F.lit(len(weights))) + 1))
-    rows = rows.withColumn("cap", F.col("source_size") * most).withColumn("full_at", F.col("cap") / F.col("weight"))
-    rest = F.sum("weight").over(filled.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    before = F.coalesce(F.sum("cap").over(filled.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    level = (F.sum("source_size").over(Window.partitionBy()) * share - before) / rest
-    rows = rows.withColumn("level", level)
-    # The level rises with each source that it fills, and falls after the first that it does not.
-    level = F.max(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(Window.partitionBy())
-    return rows.withColumn("target", F.least("cap", F.coalesce(level, F.lit(float("inf"))) * F.col("weight"))).drop("weight", "cap", "full_at", "level")
+    `most` times a source's own words is dealt again by weight among the others. Sources are numbered over range
+    partitions. The level at which all is dealt out rises with each pass over them, as those that it fills fall out, until
+    no more are filled; a pass is one aggregate."""
+    rows = number_rows(by_source.withColumn("_none", F.col("source").isNull()), ["_none", "source"], 1, "sid").drop("_none")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("sid") - 1, F.lit(len(weights))) + 1).cast("int"))
+    rows = rows.withColumn("weight", weight).withColumn("cap", F.col("source_size") * most)
+    rows = stored(rows.withColumn("full_at", F.col("cap") / F.col("weight")), "sources")
+    budget, level = (rows.agg(F.sum("source_size")).first()[0] or 0) * share, 0.0
+    while True:
+        full = F.col("full_at") <= level
+        used, rest = rows.agg(F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0.0)), F.sum(F.when(~full, F.col("weight")))).first()
+        if not rest:
+            level = float("inf")
+            break
+        if (budget - used) / rest <= level:
+            break
+        level = (budget - used) / rest
+    return rows.withColumn("target", F.least("cap", F.lit(level) * F.col("weight"))).drop("weight", "cap", "full_at")
 
 
 def _fold(units: Column, seed: int) -> Column:
