@@ -1,4 +1,4 @@
-"""Benchmark decontamination with an Aho-Corasick automaton over the normalised items.
+"""Benchmark decontamination with an Aho-Corasick automaton over the normalised items (questions and answers).
 
 Words are numbered, a window of `width` consecutive item words is a key of the automaton, and each document is read once
 as its sequence of word numbers. Normalising changes no byte's place (bytes outside words become spaces, A-Z become
@@ -10,7 +10,8 @@ hits of all blocks are merged before their share is taken.
 
 Defined cases: a null or wordless text has no words and no hits; a null or wordless item has no windows; an item with
 fewer than `width` words is one window; rows with one item_id are one item; an item without an identifier marks words
-but is not listed; an empty table on either side works; further columns are ignored.
+but is not listed; doc_id may have any type; repeated rows are judged one by one; a very long text is read whole; an empty
+table on either side works; further columns are ignored by the report and kept by clean_documents.
 """
 
 from __future__ import annotations
@@ -34,7 +35,10 @@ from quoin.session import ship
 #: Byte by byte: A-Z become a-z, letters, digits and all bytes from 0x80 stay, all others become spaces.
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-SCANNED = "doc_id bigint, n_words bigint, spans array<struct<first:bigint,last:bigint>>, items array<string>"
+
+
+def _scanned(kind: str) -> str:
+    return f"doc_id {kind}, n_words bigint, spans array<struct<first:bigint,last:bigint>>, items array<string>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -147,16 +151,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_
     """doc_id, n_words, spans (first and last word of each hit stretch, from 0), items (their item_ids, sorted)."""
     spark = docs.sparkSession
     ship(spark)
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    texts, kind = docs.select("doc_id", "text"), dict(docs.dtypes)["doc_id"]
     parts = benchmark_blocks(benchmark, width, block_windows)
     first, second = next(parts, []), next(parts, None)
     if second is None:
-        return texts.mapInArrow(_scan(spark.sparkContext.broadcast(first), width), SCANNED)
+        return texts.mapInArrow(_scan(spark.sparkContext.broadcast(first), width), _scanned(kind))
     # Several blocks, a scan for each over rows that were numbered once; the hits of a row meet by its number.
-    numbered = stored(docs.select(F.monotonically_increasing_id().alias("doc_id"), F.col("doc_id").cast("long").alias("_name"), "text"), "numbered")
+    numbered = stored(texts.select(F.monotonically_increasing_id().alias("doc_id"), F.col("doc_id").alias("_name"), "text"), "numbered")
     texts = numbered.select("doc_id", "text")
     met = _hits(texts, chain([first, second], parts), width).drop("n_words")
-    plain = texts.mapInArrow(_scan(spark.sparkContext.broadcast([]), width), SCANNED).select("doc_id", "n_words")
+    plain = texts.mapInArrow(_scan(spark.sparkContext.broadcast([]), width), _scanned("bigint")).select("doc_id", "n_words")
     out = numbered.select("doc_id", "_name").join(plain, "doc_id").join(met, "doc_id", "left")
     none = F.array().cast("array<struct<first:bigint,last:bigint>>")
     return out.select(F.col("_name").alias("doc_id"), "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
@@ -166,10 +170,10 @@ def _hits(texts: DataFrame, parts: Iterator, width: int) -> DataFrame:
     """The rows of texts (doc_id unique, text) that any block hits: a scan for each block, hits merged by doc_id."""
     spark, hits = texts.sparkSession, None
     for block in parts:
-        one = stored(texts.mapInArrow(_scan(spark.sparkContext.broadcast(block), width), SCANNED).filter("size(spans) > 0"), "hits")
+        one = stored(texts.mapInArrow(_scan(spark.sparkContext.broadcast(block), width), _scanned("bigint")).filter("size(spans) > 0"), "hits")
         hits = one if hits is None else hits.unionByName(one)
     met = hits.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return met.mapInArrow(_met, SCANNED)
+    return met.mapInArrow(_met, _scanned("bigint"))
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +238,6 @@ def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
     return contamination_report(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-
 _WORDS = r"regexp_extract_all(regexp_replace(lower_az, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
