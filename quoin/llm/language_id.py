@@ -5,7 +5,8 @@ feeds a softmax, and a document's probabilities are the mean over all its window
 sample is bounded by `per_lang` windows for each language and `most_rows` in all; prediction reads every whole text.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; without any labelled text everything is
-`und`; null labels teach nothing; a document without an identifier is never held out; repeated rows get the same answer.
+`und`; null labels teach nothing; a document without an identifier is never held out; repeated rows get the same answer;
+an empty table gives an empty result; a very long text is read whole, window by window; further columns stay in `predict`.
 """
 
 from __future__ import annotations
@@ -173,19 +174,28 @@ def op7_language_id(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def known_language(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """docs without those that have no letter and those of which no language is as likely as `least`; all of them if no
-    text is labelled, since there is nothing to judge by."""
+def known_language(docs: DataFrame, languages: tuple[str, ...] | None = None, share: float = 0.25) -> DataFrame:
+    """The documents in one of `languages` (None: in any that was learned), all columns as they were. A document goes if it
+    has no letter, if the network takes it for another language, or if its own is no likelier than `share` of the way from
+    chance (one of as many languages as were learned) to certainty. All stay if no text is labelled, since there is nothing
+    to judge by."""
     net = train(docs)
     if net is None:
         return docs
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    shared, least = docs.sparkSession.sparkContext.broadcast(net), least_score(len(net.langs), share)
+    wanted = set(net.langs if languages is None else languages)
 
     @F.pandas_udf("boolean")
     def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             found = _judged(texts, shared.value)
-            yield (found.lang_pred != "und") & (found.score >= least)
+            yield found.lang_pred.isin(wanted) & (found.score >= least)
 
     return docs.filter(known(F.col("text")))
+
+
+def least_score(langs: int, share: float) -> float:
+    """The score that lies `share` of the way from an even answer among `langs` languages to a certain one; with one
+    language every answer is certain."""
+    return 1 / langs + share * (1 - 1 / langs)

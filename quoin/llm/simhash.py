@@ -7,7 +7,8 @@ each prefix that its variants reach, with the flips that it has left, and the va
 A prefix with more than `most_variants` of them is dealt again by further bits, so no task gets a dense cluster whole.
 
 Defined cases: a null, empty or wordless text has fingerprint zero and is linked like any other; repeated rows share
-their fingerprint; a null identifier never becomes a component's name unless all are null; an empty table works.
+their fingerprint; a null identifier never becomes a component's name unless all are null; an empty table works; a very
+long text is hashed whole, in pieces of 65,536 shingles; further columns are ignored by near_components.
 """
 
 from __future__ import annotations
@@ -48,16 +49,17 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id, fp: the fingerprint's 64 bits as a long."""
+def fingerprints(docs: DataFrame, shingle: int = 4, also: list[str] = []) -> DataFrame:  # noqa: B006
+    """doc_id, fp: the fingerprint's 64 bits as a long; and the columns `also` as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             fp = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), *batch.columns[2:]], names=["doc_id", "fp", *also])
 
     ship(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp bigint")
+    kinds = dict(docs.dtypes)
+    return docs.select("doc_id", "text", *also).mapInArrow(run, ", ".join([f"doc_id {kinds['doc_id']}, fp bigint", *(f"{c} {kinds[c]}" for c in also)]))
 
 
 def flips(bits: range, most: int) -> list[tuple[int, int]]:
@@ -166,15 +168,16 @@ def ball_links(fps: DataFrame, radius: int = 4, most_variants: int = 1_000_000,
         rows, done = _routed(more, done, step, half), done + step
 
 
-def near_components(docs: DataFrame, radius: int = 4, shingle: int = 4, **how) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id of the component), links of equal fingerprints included."""
-    rows = stored(fingerprints(docs, shingle), "fingerprints")
+def near_components(docs: DataFrame, radius: int = 4, shingle: int = 4, also: list[str] = [], **how) -> DataFrame:  # noqa: B006
+    """doc_id, fp, component_id (the smallest doc_id of the component), root (the smallest fingerprint of it), links of
+    equal fingerprints included; and the columns `also` as they are."""
+    rows = stored(fingerprints(docs, shingle, also), "fingerprints")
     fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     roots = components(ball_links(fps.select("fp"), radius, **how))
     named = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_fp = stored(named.join(least, "root").select("fp", "component_id"), "components")
-    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = stored(named.join(least, "root").select("fp", "component_id", "root"), "components")
+    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id", "root", *also)
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
@@ -183,8 +186,19 @@ def op5_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, **how) -> DataFrame:
-    """docs without those near another document of their component: the one with the smallest doc_id stays. Rows that
-    repeat the identifier that stays all stay if they are the same document; null identifiers count as one."""
-    kept = near_components(docs, **how).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), "doc_id")
-    return rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")
+    """docs with one row of each component: that of the smallest identifier, a null one last; of rows that share it, the
+    one whose fingerprint and text hash come first; of rows that repeat identifier and text, one by the hash of all its
+    columns. Other columns, whatever they are called, stay as they are."""
+    key = F.xxhash64("text").alias("h")
+    found = stored(near_components(docs.select("doc_id", "text", key), also=["h"], **how), "near")
+    # The component's root is a fingerprint: null and repeated identifiers are told apart by it.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "h"))
+    kept = found.groupBy("root").agg(first.alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h"))
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", key)
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("h").eqNullSafe(F.col("_h"))).select("row", "doc_id", "h")
+    twice = stored(found.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")), "repeated")
+    if not twice.limit(1).count():
+        return rows.select("row.*")
+    again = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("h").eqNullSafe(F.col("_h"))
+    one = rows.join(twice, again, "left_semi").groupBy("doc_id", "h").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return rows.join(twice, again, "left_anti").select("row").unionByName(one.select("row")).select("row.*")
