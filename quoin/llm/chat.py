@@ -6,7 +6,7 @@ what follows on each side is a completion, whose assistant text alone is trained
 Defined cases: turns count in the order (turn, role, text); a null role or text is rendered as empty but differs from
 an empty one; a pair without one of its sides has an empty completion there; if both sides are equal, all of it is prompt
 and both completions are empty; rows without pair or side belong to no conversation and are not rendered; an empty table
-gives an empty result; further columns are ignored.
+gives an empty result; a row that is repeated is rendered as often; very long texts stay whole; further columns are ignored.
 """
 
 from __future__ import annotations

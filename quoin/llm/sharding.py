@@ -8,7 +8,7 @@ matrix has partitions x shards numbers; the partitions, not the rows, pass throu
 The law that holds is `rows`: shard sizes differ by one row at most.
 
 Defined cases: a null text has size 1 and CRC 0; repeated rows and null identifiers are rows like any other; an empty
-table gives an empty result; further columns stay as they are.
+table gives an empty result; a very long text moves as it is; further columns stay as they are.
 """
 
 from __future__ import annotations

@@ -150,6 +150,17 @@ def test_keep_first_keeps_all_columns(spark):
     assert sorted(r.doc_id for r in out.collect() if r.doc_id is not None) == [1, 5, 9, 10, 11]
 
 
+def test_keep_first_leaves_one_row_a_component(spark):
+    a, b = ("alpha " * 30).strip(), "other words of another text that has nothing in common with it at all"
+    kept = lambda rows: sorted(((r.doc_id, r.text) for r in keep_first(frame(spark, rows)).collect()), key=str)
+    assert kept([(1, a), (1, a), (1, a)]) == [(1, a)]
+    assert kept([(3, a), (5, a), (5, b)]) == [(3, a), (5, b)]
+    assert kept([(1, a), (None, a), (None, b)]) == sorted([(1, a), (None, b)], key=str)
+    assert kept([(None, a), (None, a)]) == [(None, a)]
+    assert kept([(2, None), (1, ""), (1, " ")]) in ([(1, "")], [(1, " ")])
+    assert kept([]) == []
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7)]
     out = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}

@@ -1,10 +1,12 @@
 import math
 import random
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quoin.llm.mixing import mix, mixed_rows
@@ -144,3 +146,38 @@ def test_shards(spark):
 
 def test_crc_is_unsigned_utf8(spark):
     assert spark.range(1).select(F.crc32(F.lit("é").cast("binary")).alias("c")).first().c == zlib.crc32("é".encode())
+
+
+def spark_hash(kinds, *values):
+    """xxhash64 of ints (i) and longs (q), as Spark chains it."""
+    h = 42
+    for kind, v in zip(kinds, values, strict=True):
+        h = xxhash.xxh64_intdigest(struct.pack(f"<{kind}", v), h)
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def test_sharding_against_plain_version(spark):
+    """The same draws dealt out by plain loops: matrix, both permutations, blocks."""
+    rows = [(i, "w " * (i % 7), "s") for i in range(230)]
+    docs = frame(spark, rows)
+    parts = docs.select("doc_id", F.spark_partition_id().alias("pid")).collect()
+    dealt = []
+    for pid in sorted({r.pid for r in parts}):
+        mine = [r.doc_id for r in parts if r.pid == pid]
+        keyed = sorted((spark_hash("iiq", 17, pid, (pid << 33) + k), i) for k, i in enumerate(mine))
+        dealt.append([(key, (pid << 33) + k, i) for k, (key, i) in enumerate(keyed)])
+    placed, blocks = {k: [] for k in range(8)}, math.ceil(len(rows) / (8 * 5))
+    for mine, sent in zip(dealt, communication_matrix([len(d) for d in dealt], 8, 17), strict=True):
+        shard_of = [k for k, n in enumerate(sent) for _ in range(n)]
+        for (key, at, i), k in zip(mine, shard_of, strict=True):
+            placed[k].append((spark_hash("iqq", 18, key, at) % blocks, spark_hash("iqq", 19, key, at), at, i))
+    want = {i: (k, slot) for k, some in placed.items() for slot, (*_, i) in enumerate(sorted(some))}
+    got = {r.doc_id: (r.shard, r.slot) for r in sharded(docs, block_rows=5).collect()}
+    assert got == want
+
+
+def test_sharding_keeps_very_long_texts(spark):
+    rows = [(1, "x " * 200_000, "s"), (2, None, None), (None, "", "s"), (2, None, None)]
+    out = sharded(frame(spark, rows), shards=3).collect()
+    assert sorted((str(r.doc_id), len(r.text or "")) for r in out) == [("1", 400_000), ("2", 0), ("2", 0), ("None", 0)]
+    assert sorted(Counter(r.shard for r in out).values()) == [1, 1, 2]

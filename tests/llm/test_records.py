@@ -38,8 +38,8 @@ def test_preferences(spark):
 
 def test_canonical_url(spark):
     cases = {
-        "http://WWW.Example.com:80/A/b/?utm_source=x&q=1&ref=z#top": "example.com/A/b?q=1",
-        "https://example.com/a?ref=x": "example.com/a", "example.com": "example.com", "": "",
+        "http://WWW.Example.com:80/A/b/?utm_source=x&q=1&ref=z&gclid=7#top": "example.com/A/b?q=1&ref=z",
+        "https://example.com/a?ref=x": "example.com/a?ref=x", "https://example.com/a?fbclid=x": "example.com/a", "example.com": "example.com", "": "",
     }
     rows = spark.createDataFrame([(k,) for k in cases], "u string").select("u", canonical_url(F.col("u")).alias("c")).collect()
     assert {r.u: r.c for r in rows} == cases
@@ -74,6 +74,28 @@ def test_revisits(spark):
     assert resolve_revisits(records(spark, [])).collect() == []
 
 
+def test_header_names_have_no_case(spark):
+    rows = [
+        (1, "http://a/x?ref=5", 1, "response", "a", None, {"Content-Length": "900", "ETag": "a", "X": "1", "x": "2", "Set-Cookie": None}, "D1"),
+        (2, "http://a/x?ref=5&utm_source=z", 2, "revisit", "a", None, {"Content-length": "0", "etag": "b", "DATE": "d"}, None),
+        (3, "http://a/x?ref=6", 2, "revisit", "a", None, None, None),
+        (4, "http://a/" + "y" * 200_000, 2, "revisit", "a", None, {"k": "v" * 100_000}, None),
+    ]
+    out = {r.record_id: r for r in resolve_revisits(records(spark, rows)).collect()}
+    assert out[2].headers.pop("x") in ("1, 2", "2, 1")  # a map from Python has no order
+    assert (out[2].status, out[2].headers) == ("resolved", {"content-length": "900", "etag": "b", "set-cookie": "", "date": "d"})
+    assert (out[3].status, out[4].status, len(out[4].canonical_url), len(out[4].headers["k"])) == ("orphan", "orphan", 200_002, 100_000)
+
+
+def test_records_that_meet_nothing_are_not_gathered(spark):
+    rows = [(i, None, 5, "revisit", "a", None, {}, None) for i in range(400)] + [(i, "http://a/x", None, "revisit", "a", None, {}, None) for i in range(400, 800)]
+    frame = records(spark, rows).repartition(4)
+    out = resolve_revisits(frame)
+    assert {r.status for r in out.collect()} == {"orphan"}
+    held = [n for n in out.select("record_id").rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()]
+    assert max(held) < 800 or len(held) == 1
+
+
 def test_revisits_over_chunks_match_plain_version(spark):
     import random
 
@@ -95,7 +117,7 @@ def test_mined_rules_match_enumeration(spark):
     frame = spark.createDataFrame(rows, "tokens array<string>, blocked boolean")
     got = {tuple(sorted(r.tokens)): r.confidence for r in mine_rules(frame, min_support=0.02, min_confidence=0.5).collect()}
     want = {}
-    for k in (1, 2):
+    for k in range(1, 7):
         for t in combinations("abcdef", k):
             has = [b for x, b in rows if set(t) <= set(x)]
             if has and sum(has) >= 0.02 * len(rows) and sum(has) / len(has) >= 0.5:
@@ -123,6 +145,14 @@ def test_judge(spark):
     assert none == [] and len(judge(pages, labels.limit(0)).collect()) == 12
 
 
+def test_judge_takes_very_long_urls(spark):
+    long = "http://h.org/" + "/".join(f"s{i}x" for i in range(3_000)) + "?" + "&".join(f"k{i}=1" for i in range(500))
+    pages = spark.createDataFrame([(1, long), (2, "http://h.org/a")], "page_id bigint, url string")
+    labels = spark.createDataFrame([(2, True)], "page_id bigint, blocked boolean")
+    out = {r.page_id: r for r in judge(pages, labels, min_support=0.5).collect()}
+    assert len(out[1].path) == len(long.split("?")[0]) - 12 and out[1].verdict == out[2].verdict == "block"
+
+
 def test_judge_uses_rules_of_every_length(spark):
     parts = ["a", "b", "c", "d"]
     paths = [(p, False) for k in (1, 2, 3) for p in combinations(parts, k)] * 3 + [(tuple(parts), True)] * 3 + [(("a", "b", "c", "e"), False)]

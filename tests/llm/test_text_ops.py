@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quoin.llm.decontaminate import benchmark_blocks, clean_documents, contamination, contamination_report, original_spans
-from quoin.llm.language_id import ByteConvNet, held_out, known_language, predict, train, windows
+from quoin.llm.language_id import ByteConvNet, held_out, known_language, least_score, predict, train, windows
 
 DOCS = "doc_id bigint, text string, lang string, source string, score double, n_words int"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -135,6 +135,33 @@ def test_language_stage_and_empty(spark):
     kept = known_language(docs)
     assert kept.columns == docs.columns and kept.count() == docs.count() - 2
     assert known_language(docs_of(spark, [(1, "a", None), (2, None, None)])).count() == 2
+    few = known_language(docs, ("xx",)).collect()
+    assert {r.lang for r in few} == {"xx"} and len(few) > 20
+    assert known_language(docs, ("qq",)).count() == 0 and known_language(docs, share=1.0).count() < docs.count() / 2
+
+
+def test_least_score_depends_on_the_number_of_languages():
+    assert [least_score(k, 0.25) for k in (1, 2, 4)] == [1.0, 0.625, 0.4375]
+
+
+def test_scores_against_plain_loops(spark):
+    import math
+
+    net = train(docs_of(spark, language_rows()), per_lang=60)
+    embed, conv, bias, out, out_bias = (net.p[k].tolist() for k in ("embed", "conv", "bias", "out", "out_bias"))
+    widths = [w for w in (2, 3, 4, 5) for _ in range(12)]
+    for text in ("thetion WHe", "schein ß " * 40, "é"):
+        data, total, seen = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode()), [0.0] * len(out_bias), 0
+        for at in range(0, len(data), 192):
+            part = data[at : at + 192]
+            x = list(part) + [0] * (192 - len(part))
+            tops = [max(max(sum(embed[x[i + j]][e] * conv[j * 8 + e][f] for j in range(w) for e in range(8)) for i in range(188)) + bias[f], 0) for f, w in enumerate(widths)]
+            z = [sum(t * out[f][k] for f, t in enumerate(tops)) + out_bias[k] for k in range(len(total))]
+            norm = sum(math.exp(v) for v in z)
+            total = [a + len(part) * math.exp(v) / norm for a, v in zip(total, z, strict=True)]
+            seen += len(part)
+        (got,) = predict(docs_of(spark, [(1, text, None)]), net).collect()
+        assert got.lang_pred == net.langs[total.index(max(total))] and got.score == pytest.approx(max(total) / seen, abs=1e-4)
     none = docs_of(spark, [])
     assert train(none) is None and predict(none, None).collect() == []
     assert [r.lang_pred for r in predict(docs_of(spark, [(1, "a", None)]), None).collect()] == ["und"]
@@ -162,3 +189,12 @@ def test_gradient_against_differences():
 def test_windows_cover_the_whole_text():
     data = bytes(range(1, 250)) * 7
     assert windows(data).tobytes()[: len(data)] == data and windows(b"").shape[0] == 1
+
+
+def test_identifiers_of_any_type(spark):
+    docs = spark.createDataFrame([("x", "one two three four"), ("x", "one two three four"), (None, "nine")], "doc_id string, text string")
+    items = spark.createDataFrame([(1, "two three"), (2, "four")], "item_id bigint, text string")
+    for block in (200_000, 1):
+        out = contamination_report(docs, items, width=2, block_windows=block).collect()
+        assert sorted((str(r.doc_id), r.n_hit, r.n_items) for r in out) == [("None", 0, 0), ("x", 3, 2), ("x", 3, 2)]
+        assert [r.text for r in clean_documents(docs, items, width=2, block_windows=block).collect()] == ["nine"]
