@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,8 +19,6 @@ LATEX = {
     r"\times": "×", r"\div": "÷", r"\pm": "±", r"\mp": "∓", r"\leq": "≤", r"\geq": "≥", r"\neq": "≠", r"\approx": "≈", r"\infty": "∞", r"\rightarrow": "→",
     r"\leftarrow": "←", r"\Rightarrow": "⇒", r"\deg": "°", r"\alpha": "α", r"\beta": "β", r"\gamma": "γ", r"\delta": "δ", r"\pi": "π", r"\mu": "μ", r"\Omega": "Ω",
 }
-# Entities that are resolved natively.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": "\xa0", "&amp;": "&"}
 #: What str.strip() takes off and str.split() splits at, as far as it occurs in text.
 BLANK = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029"
 BLANKS = r"[ \t\n\r\x0B\x0C\x1C-\x1F\x{85}\x{A0}\x{2028}\x{2029}]+"
@@ -72,8 +72,46 @@ def region_lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(postprocess(text), LINE_ENDS), lambda x: strip(x)), lambda x: x != "")
 
 
+#: A reference to a character, by number or by name; the last semicolon may be missing.
+ENTITY = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+#: Numbers that stand for another character than their own: those of the old Windows code page, NUL and CR.
+RENUMBERED = {n: bytes([n]).decode("cp1252") if n not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(n) for n in range(0x80, 0xA0)} | {0: "\ufffd", 13: "\r"}
+#: Names that count without a semicolon too, also as the beginning of a longer word.
+BARE_NAMES = {k: v for k, v in html5.items() if not k.endswith(";")}
+
+
+def _table(names: dict) -> Column:
+    """A dictionary as one map literal."""
+    return F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+
+
+def _numbered(n: Column) -> Column:
+    """The character of a number, as browsers read it; nothing for those that are no characters."""
+    own = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    none = n.between(1, 8) | (n == 11) | n.between(14, 31) | n.between(127, 159) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    renamed = F.element_at(_table({str(k): v for k, v in RENUMBERED.items()}), n.cast("string"))
+    wrong = n.isNull() | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+    return F.when(wrong, "\ufffd").when(renamed.isNotNull(), renamed).when(none, "").otherwise(own)
+
+
+def _resolved(name: Column) -> Column:
+    """What stands for the entity `&name`."""
+    digits = F.regexp_extract(name, "^#([0-9]+)", 1)
+    hexed = F.regexp_extract(name, "^#[xX]([0-9a-fA-F]+)", 1)
+    big = lambda d, most: F.length(F.ltrim(d, F.lit("0"))) > most
+    number = F.when(digits != "", F.when(~big(digits, 8), digits.try_cast("long"))).otherwise(F.when(~big(hexed, 7), F.conv(hexed, 16, 10).try_cast("long")))
+    longest = max(map(len, BARE_NAMES))
+    begun = F.coalesce(*[F.concat(F.element_at(_table(BARE_NAMES), F.substring(name, 1, k)), F.substring(name, k + 1, 40)) for k in range(longest, 1, -1)])
+    named = F.coalesce(F.element_at(_table(html5), name), begun, F.concat(F.lit("&"), name))
+    return F.when(name.startswith("#"), _numbered(number)).otherwise(named)
+
+
 def unescape(text: Column) -> Column:
-    return reduce(lambda c, e: F.replace(c, F.lit(e), F.lit(ENTITIES[e])), ENTITIES, text)
+    """All HTML character references resolved, by name (the table of HTML5) and by number."""
+    between = F.split(text, ENTITY)
+    found = F.transform(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(1)), _resolved)
+    joined = F.array_join(F.zip_with(between, found, lambda t, e: F.concat(t, F.coalesce(e, F.lit("")))), "")
+    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
 
 
 def squeeze(text: Column) -> Column:
