@@ -7,7 +7,7 @@ fold.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quoin.functions.geometry import big_enough, clamped_bbox, iou
@@ -16,35 +16,39 @@ from quoin.functions.text import postprocess
 MEMBER = "struct<e:int,i:int,engine:string,x0:double,y0:double,x1:double,y1:double,text:string>"
 
 
-def _ref(b: Column) -> Column:
-    return F.struct(b["e"].alias("e"), b["i"].alias("i"))
-
-
 def group_by_iou(boxes: DataFrame, page: list[str], threshold: float = 0.5) -> DataFrame:
     """page, grp (from 0, in order), members (array, the anchor first). Boxes in order of (engine, index) are anchors; each
-    takes from every later engine the unused box of greatest overlap, at least `threshold`, the last of equals."""
+    takes from every later engine the unused box of greatest overlap, at least `threshold`, the last of equals.
+
+    The fold holds the boxes that are still free, in order: the anchor is the first of them, and an overlap is computed only
+    with free boxes of later engines that touch it."""
     one = F.struct(
         F.col("engine_ord").cast("int").alias("e"), F.col("idx").cast("int").alias("i"), "engine", F.col("x0").cast("double").alias("x0"), F.col("y0").cast("double").alias("y0"),
         F.col("x1").cast("double").alias("x1"), F.col("y1").cast("double").alias("y1"), "text",
     )
     pages = boxes.groupBy(*page).agg(F.array_sort(F.collect_list(one)).alias("bs"))
-    pages = pages.withColumn("es", F.array_sort(F.array_distinct(F.transform("bs", lambda b: b["e"]))))
-    start = F.struct(F.array().cast("array<struct<e:int,i:int>>").alias("used"), F.array().cast(f"array<array<{MEMBER}>>").alias("groups"))
+    start = F.struct(F.col("bs").alias("free"), F.array().cast(f"array<array<{MEMBER}>>").alias("groups"))
 
-    def matches(used: Column, a: Column) -> Column:
-        later = F.filter("es", lambda e: e > a["e"])
+    def touches(a: Column, b: Column) -> Column:
+        later = b["e"] > a["e"]
+        return later if threshold <= 0 else later & (b["y0"] < a["y1"]) & (b["y1"] > a["y0"]) & (b["x0"] < a["x1"]) & (b["x1"] > a["x0"])
 
-        def best(e: Column) -> Column:
-            free = F.filter("bs", lambda b: (b["e"] == e) & ~F.array_contains(used, _ref(b)) & (iou(a, b) >= threshold))
-            return F.array_max(F.transform(free, lambda b: F.struct(iou(a, b).alias("v"), b["i"].alias("i"), b.alias("b"))))
+    def matches(free: Column, a: Column) -> Column:
+        """The best box of each later engine, in their order: those that no other of the engine beats."""
+        near = F.transform(F.filter(free, lambda b: touches(a, b)), lambda b: F.struct(b["e"].alias("e"), iou(a, b).alias("v"), b["i"].alias("i"), b.alias("b")))
+        ranked = F.array_sort(F.filter(near, lambda m: m["v"] >= threshold))
+        return F.transform(F.filter(ranked, lambda m, k: (k == F.size(ranked) - 1) | (F.get(ranked, k + 1)["e"] != m["e"])), lambda m: m["b"])
 
-        return F.transform(F.filter(F.transform(later, best), lambda m: m.isNotNull()), lambda m: m["b"])
+    def without(free: Column, taken: Column) -> Column:
+        kept = F.filter(free, lambda b: ~F.exists(taken, lambda t: (t["e"] == b["e"]) & (t["i"] == b["i"])))
+        return F.when(F.size(taken) == 0, free).otherwise(kept)
 
     def step(acc: Column, a: Column) -> Column:
-        taken = F.array_contains(acc["used"], _ref(a))
-        group = F.concat(F.array(a), matches(acc["used"], a))
-        grown = F.transform(F.array(group), lambda g: F.struct(F.concat(acc["used"], F.transform(g, _ref)).alias("used"), F.concat(acc["groups"], F.array(g)).alias("groups")))[0]
-        return F.when(taken, acc).otherwise(grown)
+        head = acc["free"][0]
+        mine = (F.size(acc["free"]) > 0) & (head["e"] == a["e"]) & (head["i"] == a["i"])
+        rest = F.slice(acc["free"], F.lit(2), F.size(acc["free"]))
+        found = F.transform(F.array(matches(rest, a)), lambda m: F.struct(without(rest, m).alias("free"), F.concat(acc["groups"], F.array(F.concat(F.array(a), m))).alias("groups")))[0]
+        return F.when(mine, found).otherwise(acc)
 
     pages = pages.select(*page, F.aggregate("bs", start, step, lambda acc: acc["groups"]).alias("groups"))
     return pages.select(*page, F.posexplode("groups").alias("grp", "members"))
@@ -64,18 +68,18 @@ def resolve(groups: DataFrame, min_agree: int = 1) -> DataFrame:
 
 
 def dedup_groups(resolved: DataFrame, page: list[str]) -> DataFrame:
-    """resolved without groups whose text, not empty, is that of an earlier kept group which their box touches."""
-    anchor = F.col("members")[0]
-    one = F.struct("grp", "text", anchor["x0"].alias("x0"), anchor["y0"].alias("y0"), anchor["x1"].alias("x1"), anchor["y1"].alias("y1"))
-    whole = Window.partitionBy(*page, "text")
-    rows = resolved.withColumn("_all", F.when(F.col("text") != "", F.sort_array(F.collect_list(one).over(whole))))
-    kind = "array<struct<grp:int,text:string,x0:double,y0:double,x1:double,y1:double>>"
+    """resolved without groups whose text, not empty, is that of an earlier kept group which their box touches. The groups
+    of a page with one text meet once, as one row; a group without text is a row of its own."""
+    row = F.struct("grp", *[F.col(c) for c in resolved.columns if c not in (*page, "grp", "text")])
+    alone = F.when(F.col("text") == "", F.col("grp"))
+    met = resolved.groupBy(*page, "text", alone.alias("_alone")).agg(F.sort_array(F.collect_list(F.struct("grp", row.alias("row")))).alias("_all"))
 
     def step(kept: Column, g: Column) -> Column:
-        return F.when(F.exists(kept, lambda k: iou(k, g) > 0), kept).otherwise(F.concat(kept, F.array(g)))
+        box = lambda r: r["row"]["members"][0]
+        return F.when(F.exists(kept, lambda k: iou(box(k), box(g)) > 0), kept).otherwise(F.concat(kept, F.array(g)))
 
-    kept = F.transform(F.aggregate("_all", F.array().cast(kind), step), lambda k: k["grp"])
-    return rows.filter((F.col("text") == "") | F.array_contains(kept, F.col("grp"))).drop("_all")
+    kept = F.when(F.size("_all") == 1, F.col("_all")).otherwise(F.aggregate("_all", F.slice("_all", 1, 0), step))
+    return met.select(*page, "text", F.explode(kept).alias("_kept")).select(*page, "text", "_kept.row.*").select(*resolved.columns)
 
 
 def crops(groups: DataFrame, width: Column, height: Column) -> DataFrame:

@@ -1,7 +1,8 @@
 """N-of-M voting over the readings of a line.
 
 Readings: key columns, engine_ord (order of the engines), engine, text, score; a failed reading is ('', 0.0). One shuffle
-by the key gives everything; ties go to the text or engine that comes first.
+and one sort, by key and text, give everything: the first window deals the rows by their key alone, and all that follows
+keeps to that. Ties go to the text or engine that comes first.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ def vote(readings: DataFrame, key: list[str], threshold: float, preferred: str |
     """key, bucket, text, engine, diverged for each line, and with_readings engines: array of (engine, text, score) in
     engine order; `lines` adds keys that have no reading at all."""
     more = ["engines"] if with_readings else []
-    same = Window.partitionBy(*key, "text")
-    rows = readings.withColumn("votes", F.count(F.lit(1)).over(same)).withColumn("first_ord", F.min("engine_ord").over(same))
+    same, by_text = Window.partitionBy(*key, "text"), Window.partitionBy(*key).orderBy("text")
+    rows = readings.withColumn("nth_text", F.dense_rank().over(by_text)).withColumn("votes", F.count(F.lit(1)).over(same)).withColumn("first_ord", F.min("engine_ord").over(same))
     reading = F.struct("text", "engine", "score")
     held = (F.col("text") != "") & (F.col("score") >= threshold)
     out = rows.groupBy(*key).agg(
@@ -25,7 +26,7 @@ def vote(readings: DataFrame, key: list[str], threshold: float, preferred: str |
             F.when(F.col("text") != "", F.struct("text", "engine", "votes")),
             F.when(F.col("text") != "", F.struct(F.col("votes"), -F.col("first_ord"), -F.col("engine_ord"))),
         ).alias("most"),
-        (F.size(F.collect_set(F.when(held, F.col("text")))) >= 2).alias("diverged"),
+        F.coalesce(F.min(F.when(held, F.col("nth_text"))) < F.max(F.when(held, F.col("nth_text"))), F.lit(False)).alias("diverged"),
         *([_engines().alias("engines")] if with_readings else []),
     )
     if min_agree >= 2:
