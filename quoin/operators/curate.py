@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quoin.operators.numbering import rank_within
+from quoin.operators.numbering import number_rows, rank_within
 from quoin.scratch import drop, stored
 
 # Image types that are accepted, and those taken as thumbnails only.
 ALLOWED_MIMES = ["image/jpeg", "image/png", "image/tiff", "image/webp"]
 THUMB_ONLY_MIMES = ["image/tiff", "image/webp"]
+#: Pages of a catalogue that are asked for at the utmost. Fixed value.
+MAX_PAGES = 1000
 
 
 def round_robin(items: DataFrame, source: str, order: str, source_order: str | None = None) -> DataFrame:
@@ -82,8 +86,26 @@ def walk(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     return found
 
 
-def listed_pages(pages: DataFrame, source: str, page: str, n_rows: Column, has_next: Column) -> DataFrame:
-    """Catalogue pages up to the first empty one (without it) or the first without a link to the next (with it)."""
+def in_source_order(sources: list[DataFrame], order: str) -> DataFrame:
+    """The rows of all sources, those of the first before those of the second and so on: with src_ord (place of the source)
+    and ord (a struct that sorts them), to be deduplicated in this order."""
+    rows = [s.withColumn("src_ord", F.lit(k)) for k, s in enumerate(sources)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows).withColumn("ord", F.struct("src_ord", order))
+
+
+def first_new(rows: DataFrame, order: list[str], limit: int, seen: DataFrame | None = None) -> DataFrame:
+    """The first rows in `order` (which tells them apart), as many as `limit` leaves over after those seen before; a limit
+    of 0 is none. Rows are numbered over range partitions, so the limit may be large."""
+    if not limit:
+        return rows
+    left = limit - (seen.count() if seen is not None else 0)
+    return number_rows(rows, order, 1, "_n").filter(F.col("_n") <= left).drop("_n")
+
+
+def listed_pages(pages: DataFrame, source: str, page: str, n_rows: Column, has_next: Column, most: int = MAX_PAGES) -> DataFrame:
+    """Catalogue pages (counted from 0) up to the first empty one (without it) or the first without a link to the next (with
+    it), and `most` of a catalogue at the utmost."""
+    pages = pages.filter(F.col(page) < most)
     stop = F.least(F.when(n_rows == 0, F.col(page)), F.when(~has_next, F.col(page) + 1))
     stops = pages.groupBy(F.col(source).alias("_source")).agg(F.min(stop).alias("_stop"))
     met = pages.join(stops, F.col(source).eqNullSafe(F.col("_source")))

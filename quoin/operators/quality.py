@@ -49,6 +49,15 @@ def diagnose(pages: DataFrame, doc: list[str], page: str = "page") -> DataFrame:
     return out.select(*doc, "pages_without_text", "usable_pages", "median_quality", "page_quality", recommend.alias("recommend"))
 
 
+def diagnose_files(files: DataFrame, pages: DataFrame, doc: list[str], page: str = "page") -> DataFrame:
+    """files (doc.., error: why a file could not be read, else null) with the diagnosis of their pages and recommend: an
+    unreadable file, and one without any page, is for OCR; the rest of an unreadable file's diagnosis is null."""
+    out = files.select(*doc, "error").join(diagnose(pages, doc, page), doc, "left")
+    told = [c for c in out.columns if c not in (*doc, "error", "recommend")]
+    bad = F.col("error").isNotNull()
+    return out.select(*doc, "error", *[F.when(~bad, F.col(c)).alias(c) for c in told], F.when(bad, "ocr").otherwise(F.coalesce("recommend", F.lit("ocr"))).alias("recommend"))
+
+
 def route(pages: DataFrame, use_text_layer: bool = True, ocr_fallback: bool = True) -> DataFrame:
     """pages with route: text_layer, ocr, or skip when there is no fallback; an unread gate means OCR."""
     usable = F.coalesce(F.col("usable"), F.lit(False)) & F.lit(use_text_layer)

@@ -40,6 +40,20 @@ def write_degraded(lines: DataFrame, path: str, order: str = "n") -> None:
     write_json(lines.filter("page_degraded"), path, order, ["crop", "source", "degraded"])
 
 
+def preview_rows(pages: DataFrame) -> DataFrame:
+    """pages (file, page from 1, degraded boolean, ...) with image: the name of the preview picture of each page."""
+    stem = F.regexp_replace(F.regexp_extract("file", r"[^/]*$", 0), r"(?<=.)\.[^.]*$", "")
+    return pages.withColumn("image", F.format_string("%s_p%03d.webp", stem, F.col("page")))
+
+
+def write_preview(pages: DataFrame, path: str, put: Callable[[str, dict], None] | None = None, pixels: str = "pixels") -> DataFrame | None:
+    """A preview of degradation: a JSON line for each page (file, page, image, degraded), and with `put` the pictures
+    themselves (column `pixels`) by save_crops, whose errors are given."""
+    rows = preview_rows(pages)
+    write_json(rows.withColumn("ord", F.struct("file", "page")), path, "ord", ["file", "page", "image", "degraded"])
+    return save_crops(rows, put, pixels, "image") if put else None
+
+
 def write_records(recs: DataFrame, path: str, order: str = "ord") -> None:
     """All records in their order, as a label file."""
     rows = recs.withColumn("value", format_line(F.col("path"), F.col("text"), F.col("w"), F.col("h")))

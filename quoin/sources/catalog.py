@@ -12,7 +12,6 @@ GROUP = r"href='/list2/([0-9]+)-0\.htm'[^>]*>([^<]+)</a>"
 ROW = r"(?s)<tr class='m3'>(.*?)</tr>"
 CELL = r"(?s)<td[^>]*>(.*?)</td>"
 LINK = r"href='(https?://[^']+/Data2?/[^']+\.pdf)'[^>]*title='([^']*)'"
-MAX_PAGES = 1000
 
 
 def _all(text: Column, pattern: str, k: int) -> Column:

@@ -13,6 +13,8 @@ from quoin.operators.numbering import number_rows
 # Extensions of input files.
 IMAGE_EXTENSIONS = [".jpg", ".jpeg", ".png", ".bmp", ".tif", ".tiff", ".webp"]
 PDF_EXTENSIONS = [".pdf"]
+#: More characters than this are none of an alphabet, and are not brought to the driver.
+MAX_CHARACTERS = 1 << 17
 DEBUG = "crop string, bucket string, engine string, diverged boolean, engines map<string,struct<text:string,score:double>>, _bad string"
 
 
@@ -47,7 +49,9 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_alphabet(spark: SparkSession, path: str) -> list[str]:
     """One character a line; blank lines count for nothing, the space always belongs to it."""
     rows = spark.read.text(literal(path)).select(F.regexp_replace("value", r"[\r\n]+$", "").alias("c")).filter("c <> ''").distinct()
-    chars = [r.c for r in rows.orderBy("c").limit(1 << 20).collect()]
+    chars = [r.c for r in rows.orderBy("c").limit(MAX_CHARACTERS + 1).collect()]
+    if len(chars) > MAX_CHARACTERS:
+        raise ValueError(f"{path}: more than {MAX_CHARACTERS} characters")
     wrong = [c for c in chars if len(c) != 1]
     if wrong or not chars:
         raise ValueError(f"{path}: one character a line is needed, found {wrong[:5] or 'none'}")

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from quoin.functions.text import restore_hyphens, strip
 
+#: Kinds of failure with a reason of their own.
+REASONS = {"timeout": "the model did not answer in time", "connect": "no connection to the model", "format": "unexpected form of the answer"}
 # Font flags, and what bold and italic fonts are called.
 FORCE_BOLD, ITALIC = 1 << 18, 1 << 6
 BOLD_NAME, ITALIC_NAME = "(?i)bold|black|heavy|semibold|demi", "(?i)italic|oblique"
@@ -103,5 +105,38 @@ def page_words(pages: DataFrame, text: str = "text") -> DataFrame:
 
 
 def error_reason(kind: Column, status: Column) -> Column:
-    """Short reason of a failed model call."""
-    return F.when(kind == "timeout", "timeout").when(kind == "connect", "no connection").when(kind == "status", F.concat(F.lit("HTTP "), status.cast("string"))).otherwise(kind)
+    """Short reason of a failed model call, without the address of the service; an unknown kind is its own reason."""
+    named = F.element_at(F.create_map(*[F.lit(x) for kv in REASONS.items() for x in kv]), kind)
+    return F.when(kind == "status", F.concat(F.lit("HTTP "), status.cast("string"))).otherwise(F.coalesce(named, kind))
+
+
+class CallFailed(Exception):
+    """A call that came back with a status other than success."""
+
+    def __init__(self, status: int):
+        super().__init__(f"status {status}")
+        self.status = status
+
+
+def failure_of(error: Exception) -> tuple[str, int | None]:
+    """(kind, status) of what a call raised, for error_reason."""
+    if isinstance(error, CallFailed):
+        return "status", error.status
+    for kind, classes in (("timeout", TimeoutError), ("connect", ConnectionError), ("format", (LookupError, TypeError, ValueError))):
+        if isinstance(error, classes):
+            return kind, None
+    return type(error).__name__, None
+
+
+def answer(call: Callable[[], str], tries: int = 2) -> tuple[str, str | None, int | None]:
+    """(text, kind, status) of one model call, never an exception: without connection, or if the service is at fault (status
+    500 and above), it is made once more; whatever else fails gives an empty text at once."""
+    kind, status = None, None
+    for _ in range(tries):
+        try:
+            return call() or "", None, None
+        except Exception as e:  # a call that fails never fails the run
+            kind, status = failure_of(e)
+        if not (kind == "connect" or kind == "status" and status >= 500):
+            break
+    return "", kind, status
