@@ -12,13 +12,14 @@ STATUS = "status string, error string, good_count long, needs_review_count long,
 
 
 def run(spark: SparkSession, plan: Plan, job: str) -> DataFrame:
-    """Writes the plan's output and the job's last status: done, or error with its message, which is raised again."""
+    """Writes the plan's output and the job's status: running while it runs, then done, or error with its message, which is
+    raised again."""
     path = f"{plan.request.output_dir}/status"
+    spark.createDataFrame([("running", None, 0, 0, 0, 0)], STATUS).coalesce(1).write.mode("overwrite").json(path)
     spark.addTag(job)
     try:
         plan.write()
-        dropped = plan.dropped.count() if plan.dropped is not None else 0
-        row = plan.totals().select(F.lit("done").alias("status"), F.lit(None).cast("string").alias("error"), "*", F.lit(dropped).alias("error_count"))
+        row = plan.totals().select(F.lit("done").alias("status"), F.lit(None).cast("string").alias("error"), "good_count", "needs_review_count", "diverged_count", "error_count")
         row.write.mode("overwrite").json(path)
     except Exception as e:
         spark.createDataFrame([("error", str(e)[:2000], 0, 0, 0, 1)], STATUS).write.mode("overwrite").json(path)

@@ -31,8 +31,14 @@ class Plan:
     dropped: DataFrame | None = None
 
     def totals(self) -> DataFrame:
-        return self.lines.agg(
-            F.count_if(F.col("bucket") == "good").alias("good_count"), F.count_if(F.col("bucket") == "needs_review").alias("needs_review_count"), F.count_if("diverged").alias("diverged_count")
+        """One row: good_count, needs_review_count, diverged_count, error_count (dropped lines), n_lines."""
+        rows = self.lines.select("bucket", "diverged")
+        if self.dropped is not None:
+            rows = rows.unionByName(self.dropped.select(F.lit("dropped").alias("bucket"), F.lit(False).alias("diverged")))
+        count = lambda bucket: F.count_if(F.col("bucket") == bucket)
+        return rows.agg(
+            count("good").alias("good_count"), count("needs_review").alias("needs_review_count"), F.count_if("diverged").alias("diverged_count"), count("dropped").alias("error_count"),
+            F.count_if(F.col("bucket") != "dropped").alias("n_lines"),
         )
 
     def write(self) -> None:

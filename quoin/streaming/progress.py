@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from heapq import nlargest
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,19 +39,21 @@ def run_available(stream: DataFrame, key: str | None = None) -> DataFrame:
 
 
 def error_ring(log: DataFrame, most: int = MAX_ERRORS) -> DataFrame:
-    """job_id, error_count, errors: after each batch the number of errors so far and the last `most` messages."""
+    """job_id, error_count, errors: after each batch the number of errors so far and the `most` messages of greatest seq,
+    in order, whatever the order in which they came."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, kept = state.get if state.exists else (0, [])
-        kept = list(kept)
+        count, seqs, messages = state.get if state.exists else (0, [], [])
+        kept = list(zip(seqs, messages, strict=True))
         for b in batches:
-            b = b[b.kind == "error"].sort_values("seq")
+            b = b[b.kind == "error"]
             count += len(b)
-            kept = (kept + b.msg.tolist())[-most:]
-        state.update((count, kept))
-        yield pd.DataFrame({"job_id": [key[0]], "error_count": [count], "errors": [kept]})
+            kept = nlargest(most, [*kept, *zip(b.seq.tolist(), b.msg.tolist(), strict=True)], key=lambda e: e[0])
+        kept = kept[::-1]
+        state.update((count, [s for s, _ in kept], [m for _, m in kept]))
+        yield pd.DataFrame({"job_id": [key[0]], "error_count": [count], "errors": [[m for _, m in kept]]})
 
-    return log.groupBy("job_id").applyInPandasWithState(update, "job_id long, error_count long, errors array<string>", "n long, errors array<string>", "update", GroupStateTimeout.NoTimeout)
+    return log.groupBy("job_id").applyInPandasWithState(update, "job_id long, error_count long, errors array<string>", "n long, seqs array<long>, errors array<string>", "update", GroupStateTimeout.NoTimeout)
 
 
 def snapshots(log: DataFrame, path: str, checkpoint: str):
