@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quoin import sinks
 from quoin.functions import geometry as geo
 from quoin.functions import text as tx
 from quoin.functions import years
@@ -163,16 +164,26 @@ def region_text(spark, sf_dir):
     return rows.select("doc_id", F.size("a").alias("n"), F.array_join("a", "/").alias("joined"))
 
 
-_ENTITY = "regexp_replace(html, '<[^>]+>', ' ', 'g')"
-for _e, _c in tx.ENTITIES.items():
-    _ENTITY = f"replace({_ENTITY}, '{_e.replace(chr(39), chr(39) * 2)}', '{_c.replace(chr(39), chr(39) * 2)}')"
 _BLANKS = r"[ \t\n\r\x0B\x0C\x1C-\x1F\x{85}\x{A0}\x{2028}\x{2029}]+"
-_STRIPPED = f"trim(regexp_replace({_ENTITY}, '{_BLANKS}', ' ', 'g'), ' ')"
+#: Character references after each page, by number, name and halves of names, and what they stand for.
+_REFERENCES = "'<p>&#' || (1040 + page_id % 64) || ';&#x' || upper(hex(1072 + page_id % 32)) || '; &laquo;&eacute;&raquo;&mdash;&CounterClockwiseContourIntegral; &copy &notit; &#' || (128 + page_id % 3 * 2) || '; &nosuch; &amp;lt; &#' || (page_id % 9) || ';'"
+_REFERRED = "' ' || chr(CAST(1040 + page_id % 64 AS INT)) || chr(CAST(1072 + page_id % 32 AS INT)) || ' «é»—∳ © ¬it; ' || ['€', '‚', '„'][CAST(page_id % 3 AS INT) + 1] || ' &nosuch; &lt; ' || CASE WHEN page_id % 9 = 0 THEN chr(65533) ELSE '' END"
+_PLAIN = "regexp_replace(html, '<[^>]+>', ' ', 'g')"
+for _e, _c in {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": "\xa0", "&middot;": "·", "&copy;": "©"}.items():
+    _PLAIN = f"replace({_PLAIN}, '{_e.replace(chr(39), chr(39) * 2)}', '{_c.replace(chr(39), chr(39) * 2)}')"
+_PLAIN = f"regexp_replace({_PLAIN}, '&amp;?', '&', 'g')"
+_STRIPPED = f"trim(regexp_replace({_PLAIN} || {_REFERRED}, '{_BLANKS}', ' ', 'g'), ' ')"
 
 
 @query("", f"SELECT page_id, {_STRIPPED} AS text FROM pages")
 def html_strip_text(spark, sf_dir):
-    return fx.table(spark, sf_dir, "pages").select("page_id", tx.strip_html(F.col("html")).alias("text"))
+    """The pages' text, with references that their own markup has not."""
+    n = F.col("page_id")
+    more = F.concat(
+        F.lit("<p>&#"), 1040 + n % 64, F.lit(";&#x"), F.hex(1072 + n % 32), F.lit("; &laquo;&eacute;&raquo;&mdash;&CounterClockwiseContourIntegral; &copy &notit; &#"),
+        128 + n % 3 * 2, F.lit("; &nosuch; &amp;lt; &#"), n % 9, F.lit(";"),
+    )
+    return fx.table(spark, sf_dir, "pages").select("page_id", tx.strip_html(F.concat("html", more)).alias("text"))
 
 
 @query("", f"""SELECT page_id, 'ab12cd34_' || CASE WHEN s = '' THEN 'file' ELSE left(s, 100) END || '.jpg' AS name FROM (
@@ -218,14 +229,15 @@ _IOU = lambda a, b: f"""(greatest(0.0::DOUBLE, least({a}.x1, {b}.x1) - greatest(
   nullif(({a}.x1 - {a}.x0) * ({a}.y1 - {a}.y0) + ({b}.x1 - {b}.x0) * ({b}.y1 - {b}.y0) - greatest(0.0::DOUBLE, least({a}.x1, {b}.x1) - greatest({a}.x0, {b}.x0)) * greatest(0.0::DOUBLE, least({a}.y1, {b}.y1) - greatest({a}.y0, {b}.y0)), 0))"""
 
 
-@query("boxes", f"""SELECT a.doc_id, a.page, a.idx AS a_idx, b.idx AS b_idx, round({_IOU('a', 'b')}, 9) AS iou FROM boxes a JOIN boxes b USING (doc_id, page)
-  WHERE a.engine_ord = 0 AND b.engine_ord = 1 AND {_IOU('a', 'b')} >= 0.5""")
+@query("boxes", f"""SELECT a.doc_id, a.page, a.engine_ord AS a_engine, a.idx AS a_idx, b.engine_ord AS b_engine, b.idx AS b_idx, round({_IOU('a', 'b')}, 9) AS iou FROM boxes a JOIN boxes b USING (doc_id, page)
+  WHERE a.engine_ord < b.engine_ord AND {_IOU('a', 'b')} >= 0.5""")
 def iou_pairs(spark, sf_dir):
+    """All pairs of boxes of different engines on a page that overlap by half."""
     b = fx.boxes(spark, sf_dir)
-    side = lambda k, n: b.filter(F.col("engine_ord") == k).select(*PAGE, F.col("idx").alias(f"{n}_idx"), F.struct("x0", "y0", "x1", "y1").alias(n))
-    both = side(0, "a").join(side(1, "b"), PAGE)
+    side = lambda n: b.select(*PAGE, F.col("engine_ord").alias(f"{n}_engine"), F.col("idx").alias(f"{n}_idx"), F.struct("x0", "y0", "x1", "y1").alias(n))
+    both = side("a").join(side("b"), PAGE).filter("a_engine < b_engine")
     value = geo.iou(F.col("a"), F.col("b"))
-    return both.filter(value >= 0.5).select(*PAGE, "a_idx", "b_idx", F.round(value, 9).alias("iou"))
+    return both.filter(value >= 0.5).select(*PAGE, "a_engine", "a_idx", "b_engine", "b_idx", F.round(value, 9).alias("iou"))
 
 
 @query("boxes", """WITH c AS (SELECT doc_id, page, engine_ord, idx, greatest(0, least(CAST(floor(x0 / 3 - 1) AS INT), 200)) AS cx0, greatest(0, least(CAST(floor(y0 / 3) AS INT), 60)) AS cy0,
@@ -258,11 +270,30 @@ def polygon_scale_bbox(spark, sf_dir):
     return rows.select(*PAGE, "idx", bbox["x0"].alias("bx0"), bbox["y1"].alias("by1"), "n")
 
 
-@query("lines", "SELECT count(*) AS n, count(*) AS in_range FROM lines")
+_DRAW = lambda text, k: f"CAST('0x' || substr(md5({text}), {8 * k + 1}, 8) AS BIGINT)"
+_PAD = "'0|' || doc_id || '|' || line_no"
+
+
+@query("lines", f"""SELECT doc_id, line_no, CAST({_DRAW(_PAD, 0)} % 3 + 1 AS INT) AS pad_left, CAST({_DRAW(_PAD, 1)} % 3 AS INT) AS pad_top,
+  CAST({_DRAW(_PAD, 2)} % 3 + 1 AS INT) AS pad_right, CAST({_DRAW(_PAD, 3)} % 3 AS INT) AS pad_bottom FROM lines""")
 def random_padding(spark, sf_dir):
-    rows = fx.lines(spark, sf_dir).withColumn("p", geo.random_pad(F.col("doc_id"), F.col("line_no")))
-    fits = F.col("p.left").between(1, 3) & F.col("p.right").between(1, 3) & F.col("p.top").between(0, 2) & F.col("p.bottom").between(0, 2)
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(fits).alias("in_range"))
+    rows = fx.lines(spark, sf_dir).select(*LINE, geo.random_pad(F.col("doc_id"), F.col("line_no")).alias("p"))
+    return rows.select(*LINE, *[F.col(f"p.{side}").alias(f"pad_{side}") for side in ("left", "top", "right", "bottom")])
+
+
+@query("boxes", f"""WITH b AS (SELECT *, doc_id % 4 * 90 AS turn, CASE doc_id % 2 WHEN 0 THEN 2500 ELSE 1000 END AS w, CASE doc_id % 2 WHEN 0 THEN 1000 ELSE 2500 END AS h,
+    [x0 / 900.0::DOUBLE, x1 / 900.0::DOUBLE] AS xs, [y0 / 360.0::DOUBLE, y1 / 360.0::DOUBLE] AS ys, '0|' || doc_id || '|' || page || '|' || idx AS k FROM boxes),
+  p AS (SELECT *, list_transform(CASE turn WHEN 0 THEN xs WHEN 90 THEN ys WHEN 180 THEN [1 - x FOR x IN xs] ELSE [1 - y FOR y IN ys] END, lambda v: CAST(round(v * w) AS INT)) AS px,
+    list_transform(CASE turn WHEN 0 THEN [1 - y FOR y IN ys] WHEN 90 THEN xs WHEN 180 THEN ys ELSE [1 - x FOR x IN xs] END, lambda v: CAST(round(v * h) AS INT)) AS py FROM b)
+  SELECT doc_id, page, engine_ord, idx, CAST(greatest(0, list_min(px) - ({_DRAW('k', 0)} % 3 + 1)) AS INT) AS x0, CAST(greatest(0, list_min(py) - {_DRAW('k', 1)} % 3) AS INT) AS y0,
+    CAST(least(w, list_max(px) + {_DRAW('k', 2)} % 3 + 1) AS INT) AS x1, CAST(least(h, list_max(py) + {_DRAW('k', 3)} % 3) AS INT) AS y1 FROM p""")
+def pdf_pixel_boxes(spark, sf_dir):
+    """Boxes in points, on pages of 900 x 360 points that are turned by 0, 90, 180 or 270 degrees, as padded boxes of pixels."""
+    wide = F.col("doc_id") % 2 == 0
+    w, h = F.when(wide, 2500).otherwise(1000), F.when(wide, 1000).otherwise(2500)
+    pad = geo.random_pad(F.col("doc_id"), F.col("page"), F.col("idx"))
+    rect = geo.pixel_rect(geo.box(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]), F.lit(900.0), F.lit(360.0), F.col("doc_id") % 4 * 90, w, h, pad)
+    return fx.boxes(spark, sf_dir).select(*PAGE, "engine_ord", "idx", rect.alias("r")).select(*PAGE, "engine_ord", "idx", "r.*")
 
 
 # --- model answers and boxes ----------------------------------------------------
@@ -417,6 +448,23 @@ def diagnose_document(spark, sf_dir):
     return out.select("doc_id", "usable_pages", F.size("page_quality").alias("pages"), "recommend")
 
 
+@query("words", _MARKED + """, f AS (SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN 'PdfiumError: ' || doc_id END AS error FROM documents),
+  d AS (SELECT doc_id, count(*) FILTER (WHERE usable) AS usable_pages, CASE WHEN bool_and(usable) THEN 'text_layer' WHEN bool_or(usable) THEN 'mixed' ELSE 'ocr' END AS recommend FROM u GROUP BY 1)
+  SELECT f.doc_id, f.error, CASE WHEN f.error IS NULL THEN usable_pages END AS usable_pages, CASE WHEN f.error IS NULL THEN coalesce(recommend, 'ocr') ELSE 'ocr' END AS recommend FROM f LEFT JOIN d USING (doc_id)""")
+def diagnose_files(spark, sf_dir):
+    """Every seventh file can't be read."""
+    error = F.when(F.col("doc_id") % 7 == 3, F.concat(F.lit("PdfiumError: "), "doc_id"))
+    found = fx.table(spark, sf_dir, "documents").select("doc_id", error.alias("error"))
+    out = quality.diagnose_files(found, quality.page_quality(fx.words(spark, sf_dir), PAGE), ["doc_id"])
+    return out.select("doc_id", "error", "usable_pages", "recommend")
+
+
+@query("lines", r"""SELECT doc_id, line_no, CAST(unnest(range(len(a))) AS INT) AS pos, unnest(a) AS word FROM
+  (SELECT doc_id, line_no, list_filter(regexp_split_to_array(text, '[ \t\n\r\x0B\x0C\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda w: w <> '') AS a FROM lines)""")
+def page_words(spark, sf_dir):
+    return readings.page_words(fx.lines(spark, sf_dir))
+
+
 # --- runs ---------------------------------------------------------------------------
 
 @query("lines", """SELECT doc_id, line_no, row_number() OVER (ORDER BY doc_id, line_no) + 10042 AS n,
@@ -502,20 +550,47 @@ def pdf_char_lines(spark, sf_dir):
     return readings.text_layer_lines(chars, ["doc_id"]).select("doc_id", "obj", F.col("ord").alias("first_i"), "x0", "x1", "text")
 
 
-@query("", """SELECT p_partkey, p_brand AS font_name, p_size >= 40 OR p_type ILIKE '%BRASS%' AND false OR p_size % 7 = 0 AS bold, p_size % 5 = 0 AS italic FROM part""")
+@query("", """WITH f AS (SELECT p_partkey, p_size, p_brand || ['-Regular', '-SemiBold', ',Italic', ' Heavy Oblique', '-DemiItalic', 'BLACK', ''][CAST(p_partkey % 7 AS INT) + 1] AS font_name FROM part)
+  SELECT p_partkey, font_name, round(p_size / 3.0::DOUBLE, 2) AS font_size, p_partkey % 7 IN (1, 3, 4, 5) OR p_size * 15 >= 600 OR p_size % 7 = 0 AS bold, p_partkey % 7 IN (2, 3, 4) OR p_size % 5 = 0 AS italic FROM f""")
 def font_styles(spark, sf_dir):
-    n = F.col("p_size")
+    """Fonts that are bold or italic by name, by weight or by flag."""
+    n, k = F.col("p_size"), (F.col("p_partkey") % 7 + 1).cast("int")
+    name = F.concat("p_brand", F.element_at(F.array(*[F.lit(x) for x in ["-Regular", "-SemiBold", ",Italic", " Heavy Oblique", "-DemiItalic", "BLACK", ""]]), k))
     flags = F.when(n % 7 == 0, 1 << 18).otherwise(0) + F.when(n % 5 == 0, 1 << 6).otherwise(0)
-    style = readings.font_style(F.concat(F.lit("ABCDEF+"), "p_brand"), n.cast("double"), n * 15, flags)
-    return fx.table(spark, sf_dir, "part").select("p_partkey", style.alias("s")).select("p_partkey", "s.font_name", "s.bold", "s.italic")
+    style = readings.font_style(F.concat(F.lit("ABCDEF+"), name), n / F.lit(3.0), n * 15, flags)
+    return fx.table(spark, sf_dir, "part").select("p_partkey", style.alias("s")).select("p_partkey", "s.*")
 
 
 # --- collecting documents -----------------------------------------------------------
 
-@query("catalog", """SELECT doc_id, grp, turn FROM (SELECT doc_id, grp, row_number() OVER (PARTITION BY grp ORDER BY doc_id) AS turn FROM catalog) ORDER BY turn, grp LIMIT 100""")
+@query("catalog", """SELECT doc_id, grp, row_number() OVER (PARTITION BY grp ORDER BY doc_id) AS turn FROM catalog""")
 def round_robin_sources(spark, sf_dir):
-    """The first hundred in turn; the limit is the run's own."""
-    return curate.round_robin(fx.catalog(spark, sf_dir).select("doc_id", "grp"), "grp", "doc_id").orderBy("turn", "grp").limit(100)
+    return curate.round_robin(fx.catalog(spark, sf_dir).select("doc_id", "grp"), "grp", "doc_id")
+
+
+@query("catalog", """WITH r AS (SELECT doc_id, grp, row_number() OVER (PARTITION BY grp ORDER BY doc_id) AS turn FROM catalog WHERE doc_id % 10 <> 0)
+  SELECT doc_id, turn FROM r QUALIFY row_number() OVER (ORDER BY turn, grp) <= 600 - (SELECT count(*) FROM catalog WHERE doc_id % 10 = 0)""")
+def limited_run(spark, sf_dir):
+    """A run's limit of 600 entries, less those saved before; the limit is the feature."""
+    rows = fx.catalog(spark, sf_dir).select("doc_id", "grp")
+    turns = curate.round_robin(rows.filter("doc_id % 10 <> 0"), "grp", "doc_id")
+    return curate.first_new(turns, ["turn", "grp"], 600, rows.filter("doc_id % 10 = 0")).select("doc_id", "turn")
+
+
+@query("catalog", """WITH o AS (SELECT 0 AS src_ord, doc_id, title FROM catalog WHERE doc_id % 3 = 1 UNION ALL SELECT 1, doc_id, title FROM catalog WHERE doc_id % 3 = 0 UNION ALL SELECT 2, doc_id, title FROM catalog WHERE doc_id % 2 = 0)
+  SELECT src_ord, doc_id, title FROM o QUALIFY row_number() OVER (PARTITION BY title ORDER BY src_ord, doc_id) = 1""")
+def source_order(spark, sf_dir):
+    """Three sources one after the other; of entries with one title the first stays."""
+    rows = fx.catalog(spark, sf_dir).select("doc_id", "title")
+    rows = curate.in_source_order([rows.filter("doc_id % 3 = 1"), rows.filter("doc_id % 3 = 0"), rows.filter("doc_id % 2 = 0")], "doc_id")
+    return curate.first_by_key(rows, "title", ["src_ord", "doc_id"]).select("src_ord", "doc_id", "title")
+
+
+@query("", """SELECT p_partkey, 'Category:' || replace(p_name, '_', ' ') || CASE WHEN p_partkey % 2 = 0 THEN ' x y' ELSE '' END AS t FROM part""")
+def category_titles(spark, sf_dir):
+    p = F.col("p_partkey")
+    name = F.concat(F.lit(" "), F.when(p % 3 == 0, "Category:").otherwise(""), "p_name", F.when(p % 2 == 0, "_x_y").otherwise(""), F.lit("\t"))
+    return fx.table(spark, sf_dir, "part").select("p_partkey", tx.category_title(name).alias("t"))
 
 
 @query("catalog", "SELECT doc_id, sha FROM catalog QUALIFY row_number() OVER (PARTITION BY sha ORDER BY doc_id) = 1")
@@ -583,7 +658,7 @@ def catalog_groups(spark, sf_dir):
     return cat.parse_groups(fx.table(spark, sf_dir, "pages").select("page_id", listed.alias("html")))
 
 
-@query("catalog", """WITH p AS (SELECT grp, doc_id AS page, doc_id % 89 = 88 AS empty, doc_id % 53 = 52 AS last FROM catalog),
+@query("catalog", """WITH p AS (SELECT grp, doc_id AS page, doc_id % 89 = 88 AS empty, doc_id % 53 = 52 AS last FROM catalog WHERE doc_id < 1000),
   s AS (SELECT grp, least(min(page) FILTER (WHERE empty), min(page + 1) FILTER (WHERE last)) AS stop FROM p GROUP BY 1) SELECT grp, page FROM p JOIN s USING (grp) WHERE stop IS NULL OR page < stop""")
 def catalog_paging(spark, sf_dir):
     p = fx.catalog(spark, sf_dir).select("grp", F.col("doc_id").alias("page"))
@@ -658,6 +733,25 @@ def apply_edits(spark, sf_dir):
     return labeling.apply_edits(_records(spark, sf_dir), edits).select("name", "ord", "text", "is_marked")
 
 
+_HERE = "SELECT DISTINCT 'crops/' || (user_id % 2000) || '.webp' AS path FROM events WHERE user_id % 3 <> 0"
+
+
+@query("", f"""WITH s AS ({_SRC}), h AS ({_HERE}) SELECT path, count(*) AS n, path IN (SELECT path FROM h) AS here FROM s GROUP BY 1""")
+def image_files(spark, sf_dir):
+    """Lines whose image is there make records, the others are counted."""
+    images = fx.table(spark, sf_dir, "events").filter("user_id % 3 <> 0").select(F.concat(F.lit("crops/"), F.col("user_id") % 2000, F.lit(".webp")).alias("path"))
+    parsed = labeling.parse_lines(_label_lines(spark, sf_dir))
+    recs, missing = labeling.records(parsed, images)
+    counted = parsed.join(recs.select("path"), "path", "left_semi").select("path", F.lit(True).alias("here")).unionByName(missing.select("path", F.lit(False).alias("here")))
+    return counted.groupBy("path", "here").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("", f"""WITH {_RECS} SELECT name, ord, text FROM rec WHERE name NOT IN (SELECT (user_id % 2000) || '.webp' FROM events WHERE event_type = 'view' AND user_id % 5 = 0)""")
+def deleted_records(spark, sf_dir):
+    gone = fx.table(spark, sf_dir, "events").filter("event_type = 'view' and user_id % 5 = 0").select(F.concat(F.col("user_id") % 2000, F.lit(".webp")).alias("name"))
+    return labeling.delete(_records(spark, sf_dir), gone).select("name", "ord", "text")
+
+
 _DEBUG = "d AS (SELECT (user_id % 2000) || '.webp' AS name, arg_max(value > 20, event_id) AS diverged FROM events GROUP BY 1)"
 
 
@@ -729,9 +823,9 @@ def job_rollup_stream(spark, sf_dir):
     return live.run_available(live.rollup_stream(fx.job_log(stream)))
 
 
-@query("job_log", """SELECT job_id, string_agg(msg, '|' ORDER BY seq) AS errors FROM (SELECT * FROM job_log WHERE kind = 'error' QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) <= 5) GROUP BY 1""")
+@query("job_log", """SELECT job_id, string_agg(msg, '|' ORDER BY seq) AS errors FROM (SELECT * FROM job_log WHERE kind = 'error' QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) <= 50) GROUP BY 1""")
 def job_last_errors(spark, sf_dir):
-    out = progress.last_errors(fx.job_log(fx.table(spark, sf_dir, "events")), 5)
+    out = progress.last_errors(fx.job_log(fx.table(spark, sf_dir, "events")))
     return out.select("job_id", F.array_join("errors", "|").alias("errors"))
 
 
@@ -751,33 +845,103 @@ def circuit_breaker(spark, sf_dir):
     return progress.broken_engines(calls, "job")
 
 
-@query("", """SELECT array_to_string(list_sort(list_distinct(list(event_type))), ', ') AS reasons, user_id FROM events GROUP BY 2""")
+@query("job_log", """SELECT job_id, count(*) AS error_count, array_to_string(list_slice(list(msg ORDER BY seq), -50, -1), '|') AS errors FROM job_log WHERE kind = 'error' GROUP BY 1""")
+def job_error_ring(spark, sf_dir):
+    """The last messages of each job, held as state by Structured Streaming."""
+    schema = fx.table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    ring = live.run_available(live.error_ring(fx.job_log(stream)), "job_id").filter("error_count > 0")
+    return ring.select("job_id", "error_count", F.array_join("errors", "|").alias("errors"))
+
+
+@query("", """WITH f AS (SELECT user_id, CASE event_type WHEN 'click' THEN 'the model did not answer in time' WHEN 'error' THEN 'HTTP ' || (500 + event_id % 4) WHEN 'purchase' THEN 'no connection to the model'
+    WHEN 'signup' THEN 'unexpected form of the answer' ELSE 'RuntimeError' END AS reason FROM events)
+  SELECT user_id, string_agg(reason || ' x' || n, ', ' ORDER BY reason) AS reasons FROM (SELECT user_id, reason, count(*) AS n FROM f GROUP BY 1, 2) GROUP BY 1""")
 def empty_reasons(spark, sf_dir):
-    reason = readings.error_reason(F.col("event_type"), F.lit(500))
-    return fx.table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set(reason)), ", ").alias("reasons"))
+    """Why model calls came back empty, counted by user."""
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in (("click", "timeout"), ("error", "status"), ("purchase", "connect"), ("signup", "format"), ("view", "RuntimeError")) for x in kv]), F.col("event_type"))
+    reason = readings.error_reason(kind, 500 + F.col("event_id") % 4)
+    rows = fx.table(spark, sf_dir, "events").groupBy("user_id", reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    shown = F.transform(F.sort_array(F.collect_list(F.struct("reason", "n"))), lambda r: F.concat(r["reason"], F.lit(" x"), r["n"]))
+    return rows.groupBy("user_id").agg(F.array_join(shown, ", ").alias("reasons"))
 
 
 # --- pixels -----------------------------------------------------------------------------
 
-@query("lines", "SELECT doc_id, count(*) FILTER (WHERE text <> '') AS n, count(*) FILTER (WHERE text <> '') AS agreed FROM lines GROUP BY 1")
+_COLUMNS = 32
+#: A crop's columns are drawn from the MD5 of its line: ink (20) for a digit below 6, paper (220) else. The degraded crop is
+#: faded, spotted in the columns where a second MD5 has a 0 (with a 1 too for each fifth line), lighter by ten, or untouched.
+_LEGIBLE = f"""
+WITH m AS (SELECT doc_id, line_no, 8 + length(text) % 8 AS h, (doc_id + line_no) % 4 AS mode, md5(text || '|' || line_no) AS d FROM lines WHERE text <> ''),
+n AS (SELECT *, md5(d) AS e, CASE WHEN line_no % 5 = 0 THEN '01' ELSE '0' END AS spots FROM m),
+a AS (SELECT *, [CASE WHEN substr(d, j, 1) < '6' THEN 20 ELSE 220 END FOR j IN range(1, {_COLUMNS + 1})] AS a FROM n),
+b AS (SELECT *, CASE mode WHEN 0 THEN [CASE x WHEN 20 THEN 208 ELSE 220 END FOR x IN a] WHEN 1 THEN [CASE WHEN contains(spots, substr(e, j, 1)) THEN 240 - a[j] ELSE a[j] END FOR j IN range(1, {_COLUMNS + 1})]
+              WHEN 2 THEN [x + 10 FOR x IN a] ELSE a END AS b FROM a),
+i AS (SELECT *, len(list_filter(a, lambda x: x = 20)) * 2 > {_COLUMNS} AS swap FROM b),
+k AS (SELECT *, [j FOR j IN range(1, {_COLUMNS + 1}) IF (a[j] = 20) <> swap] AS ink, [j FOR j IN range(1, {_COLUMNS + 1}) IF (a[j] = 20) = swap] AS paper, CASE WHEN swap THEN -1 ELSE 1 END AS sign FROM i),
+l AS (SELECT *, list_aggregate([b[j] FOR j IN paper], 'median') AS light, list_aggregate([b[j] FOR j IN ink], 'median') AS dark, greatest(4, h // 2) AS step FROM k),
+o AS (SELECT *, [j FOR j IN range(1, {_COLUMNS + 1}) IF sign * (2 * b[j] - light - dark) < 0] AS dark_now FROM l),
+w AS (SELECT *, len(list_filter(ink, lambda j: list_contains(dark_now, j))) AS kept, len(list_filter(paper, lambda j: list_contains(dark_now, j))) AS stained,
+        [{{{{'ink': len(list_filter(ink, lambda j: (j - 1) // step = q)), 'paper': len(list_filter(paper, lambda j: (j - 1) // step = q)), 'kept': len(list_filter(ink, lambda j: (j - 1) // step = q AND list_contains(dark_now, j))),
+            'stained': len(list_filter(paper, lambda j: (j - 1) // step = q AND list_contains(dark_now, j)))}}}} FOR q IN range(0, ({_COLUMNS} - 1) // step + 1)] AS parts FROM o),
+c AS (SELECT doc_id, CASE WHEN b = a THEN NULL
+        WHEN least(len(ink), len(paper)) * h < 10 THEN list_avg([abs(b[j] - a[j]) FOR j IN range(1, {_COLUMNS + 1})]) <= 40
+        ELSE sign * (light - dark) >= 25 AND kept >= 0.7 * len(ink) AND stained <= 0.08 * len(paper)
+          AND len(list_filter(parts, lambda p: (p.ink * h >= 10 AND p.kept < 0.25 * p.ink) OR (p.paper * h >= 10 AND p.stained > 0.35 * p.paper))) = 0 END AS choice FROM w)
+SELECT d.doc_id, count(*) FILTER (WHERE choice) AS degraded, count(*) FILTER (WHERE NOT choice) AS clean, count(c.doc_id) - count(choice) AS untouched FROM documents d LEFT JOIN c USING (doc_id) GROUP BY 1
+""".replace("{{", "{").replace("}}", "}")
+
+
+@query("lines", _LEGIBLE)
 def legible_lines(spark, sf_dir):
-    """A striped crop for each line, and a degraded one by line_no mod 4: faded (clean is taken), stained (clean), shifted
-    by ten levels (degraded), untouched (null); counted where the choice is as expected."""
-    n, k = F.length("text") % 20 + 40, F.col("line_no") % 4
-    row = lambda dark, light: F.concat(F.repeat(F.lit(dark), 3), F.repeat(F.lit(light), 5))
-    rows = lambda dark, light: F.unhex(F.repeat(F.repeat(row(dark, light), 5), n))
-    image = lambda data: F.struct(n.alias("height"), F.lit(40).alias("width"), F.lit(1).alias("channels"), data.alias("data"))
-    noisy = F.when(k == 0, rows("D0", "DC")).when(k == 1, rows("14", "14")).when(k == 2, rows("1E", "D2")).otherwise(rows("14", "DC"))
-    out = fx.lines(spark, sf_dir).filter("text <> ''").select("doc_id", "line_no", image(rows("14", "DC")).alias("clean"), image(noisy).alias("noisy"))
-    out = out.withColumn("choice", pixels.choose_crop()(F.col("clean"), F.col("noisy")))
-    want = F.when(k.isin(0, 1), False).when(k == 2, True)
-    counted = out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("choice").eqNullSafe(want)).alias("agreed"))
-    docs = fx.table(spark, sf_dir, "documents").filter("text is not null").select("doc_id").distinct()
-    return docs.join(counted, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("agreed", F.lit(0)).alias("agreed"))
-
-
-@query()
-def degrade_sampling(spark, sf_dir):
-    """Pages drawn for degradation by hash; no SQL twin, since the hash is Spark's."""
+    """A crop of vertical strokes for each line, and a degraded one; counted by document which of the two is taken."""
+    d, e = F.md5(F.concat("text", F.lit("|"), "line_no")), F.md5(F.md5(F.concat("text", F.lit("|"), "line_no")))
+    level = lambda ink, paper: F.replace(F.replace(F.translate(d, "0123456789abcdef", "i" * 6 + "p" * 10), F.lit("i"), F.lit(ink)), F.lit("p"), F.lit(paper))
+    spots = F.when(F.col("line_no") % 5 == 0, F.translate(e, "0123456789abcdef", "xx" + "." * 14)).otherwise(F.translate(e, "0123456789abcdef", "x" + "." * 15))
+    marks = F.zip_with(F.split(F.translate(d, "0123456789abcdef", "i" * 6 + "p" * 10), ""), F.split(spots, ""), lambda c, s: F.when((c == "i") == (s == "x"), "DC").otherwise("14"))
+    spotted = F.array_join(F.filter(F.slice(marks, 1, _COLUMNS), lambda x: x.isNotNull()), "")
+    mode, h = (F.col("doc_id") + F.col("line_no")) % 4, (8 + F.length("text") % 8).cast("int")
+    image = lambda hexed: F.struct(h.alias("height"), F.lit(_COLUMNS).alias("width"), F.lit(1).alias("channels"), F.unhex(F.repeat(hexed, h)).alias("data"))
+    noisy = F.when(mode == 0, level("D0", "DC")).when(mode == 1, spotted).when(mode == 2, level("1E", "E6")).otherwise(level("14", "DC"))
+    out = fx.lines(spark, sf_dir).filter("text <> ''").select("doc_id", image(level("14", "DC")).alias("clean"), image(noisy).alias("noisy"))
+    out = out.select("doc_id", pixels.choose_crop()(F.col("clean"), F.col("noisy")).alias("choice"))
+    counted = out.groupBy("doc_id").agg(F.count_if("choice").alias("degraded"), F.count_if(~F.col("choice")).alias("clean"), F.count_if(F.col("choice").isNull()).alias("untouched"))
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id").distinct()
+    return docs.join(counted, "doc_id", "left").select("doc_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("degraded", "clean", "untouched")])
+
+
+_PAGES = "SELECT DISTINCT doc_id, line_no // 20 AS page FROM lines"
+_DRAWN = f"{_DRAW(chr(39) + '7|' + chr(39) + ' || doc_id || ' + chr(39) + '|' + chr(39) + ' || page', 0)} < CAST(floor(0.3::DOUBLE * 4294967296) AS BIGINT)"
+
+
+def _drawn_pages(spark, sf_dir):
     rows = fx.lines(spark, sf_dir).select("doc_id", F.floor(F.col("line_no") / 20).alias("page")).distinct()
     return rows.filter(pixels.degraded_share(0.3, 7, F.col("doc_id"), F.col("page")))
+
+
+@query("lines", f"SELECT * FROM ({_PAGES}) WHERE {_DRAWN}")
+def degrade_sampling(spark, sf_dir):
+    return _drawn_pages(spark, sf_dir)
+
+
+@query("lines", f"""WITH p AS (SELECT *, CASE WHEN (doc_id + page) % 5 = 0 THEN 'RuntimeError: no ink' END AS failure, (doc_id * 3 + page) % 17 = 0 AND (doc_id + page) % 5 <> 0 AS moved FROM ({_PAGES}) WHERE {_DRAWN}),
+  bad AS (SELECT DISTINCT doc_id FROM p WHERE moved)
+  SELECT doc_id, sum(CASE WHEN failure IS NULL AND NOT moved THEN 1 ELSE 0 END) FILTER (WHERE doc_id NOT IN (SELECT doc_id FROM bad))::BIGINT AS degraded, count(failure) FILTER (WHERE doc_id NOT IN (SELECT doc_id FROM bad)) AS failures,
+    count(*) FILTER (WHERE moved) AS moved FROM p GROUP BY 1""")
+def degrade_outcomes(spark, sf_dir):
+    """Pages that stay clean since their effect failed, and files that fail since one changed the geometry."""
+    n = F.col("doc_id") + F.col("page")
+    pages = _drawn_pages(spark, sf_dir).withColumn("failure", F.when(n % 5 == 0, "RuntimeError: no ink")).withColumn("moved", ((F.col("doc_id") * 3 + F.col("page")) % 17 == 0) & (n % 5 != 0))
+    kept, errors = pixels.settle_degraded(pages, "doc_id")
+    good = kept.groupBy("doc_id").agg(F.count_if("degraded").alias("degraded"))
+    told = errors.groupBy(F.col("file").alias("doc_id")).agg(
+        F.coalesce(F.sum(F.when(F.col("error").startswith("RuntimeError"), F.col("n"))), F.lit(0)).alias("failures"), F.coalesce(F.sum(F.when(F.col("error").startswith("an effect"), F.col("n"))), F.lit(0)).alias("moved"))
+    out = good.join(told, "doc_id", "full")
+    return out.select("doc_id", "degraded", F.coalesce("failures", F.lit(0)).alias("failures"), F.coalesce("moved", F.lit(0)).alias("moved"))
+
+
+@query("lines", f"""SELECT 'in/' || doc_id || '.v1.pdf' AS file, CAST(page + 1 AS BIGINT) AS page, printf('%d.v1_p%03d.webp', doc_id, page + 1) AS image FROM ({_PAGES})""")
+def preview_log(spark, sf_dir):
+    """Names of the preview pictures of all pages."""
+    rows = fx.lines(spark, sf_dir).select(F.concat(F.lit("in/"), "doc_id", F.lit(".v1.pdf")).alias("file"), (F.floor(F.col("line_no") / 20) + 1).alias("page")).distinct()
+    return sinks.preview_rows(rows).select("file", "page", "image")
