@@ -1,5 +1,8 @@
 """Scalar functions against expected values."""
 
+import html
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +55,30 @@ def test_html_and_names(spark):
     assert over(spark, ["  a_b ", "Category:c_d"], tx.category_title) == ["Category:a b", "Category:c d"]
 
 
+def test_character_references_are_those_of_html(spark):
+    cases = [
+        "a &amp; b", "&#1055;&#x41;&laquo;x&raquo;&mdash;", "&copy no semi &ampx &notit; &notin; &unknown; &", "&#0;&#13;&#128;&#129;&#150;&#55296;&#99999999999;&#xFFFFFFFFFFF;&#x110000;&#1;&#xFFFE;&#011;",
+        "&#x41 &#65x &#X1F600;", "plain", None, "&amp;amp; &;&#; &#x;", "&CounterClockwiseContourIntegral; &fjlig; &frac12x &Oacutex &lt&gt", "&" * 40, "",
+    ]
+    assert over(spark, cases, tx.unescape) == [None if c is None else html.unescape(c) for c in cases]
+
+
+def test_points_as_pixels_on_turned_pages(spark):
+    """A page of 400 x 200 points with ink at its lower left, rendered with two pixels a point and turned."""
+    ink = np.zeros((200, 400), bool)
+    ink[170:180, 20:60] = True  # rows from above: 20 to 30 points above the lower edge
+    for turn in (0, 90, 180, 270, 450):
+        image = np.kron(np.rot90(ink, -turn // 90), np.ones((2, 2), bool))
+        ys, xs = image.nonzero()
+        b = geo.box(F.lit(20.0), F.lit(20.0), F.lit(60.0), F.lit(30.0))
+        rect = lambda pad=None: one(spark, geo.pixel_rect(b, F.lit(400.0), F.lit(200.0), F.lit(turn), F.lit(image.shape[1]), F.lit(image.shape[0]), pad))  # noqa: B023, E731
+        (got,) = rect()
+        assert tuple(got) == (xs.min(), ys.min(), xs.max() + 1, ys.max() + 1)
+        pad = F.struct(*[F.lit(n).alias(k) for k, n in (("left", 3), ("top", 1000), ("right", 1000), ("bottom", 2))])
+        (got,) = rect(pad)
+        assert tuple(got) == (max(0, xs.min() - 3), 0, image.shape[1], min(image.shape[0], ys.max() + 3))
+
+
 def test_size_suffix(spark):
     got = over(spark, ["текст 12\t120\t32", "2024", "a\nb\t1\t2", "a\t1", "\t3\t4"], tx.split_crop_size)
     assert [tuple(r) for r in got] == [("текст 12", 120, 32), ("2024", None, None), ("a\nb", 1, 2), ("a\t1", None, None), ("", 3, 4)]

@@ -12,8 +12,8 @@ from quoin.operators.vote import vote
 from quoin.plans import jobs
 from quoin.plans.request import RequestError, RunRequest
 from quoin.plans.run import Plan, plan_consensus, plan_vlm
-from quoin.sinks import save_crops, write_buckets, write_debug, write_degraded, write_records, write_status
-from quoin.sources import catalog, files, readings
+from quoin.sinks import save_crops, write_buckets, write_debug, write_degraded, write_preview, write_records, write_status
+from quoin.sources import catalog, files, pages, readings
 from quoin.streaming import progress as live
 
 
@@ -31,13 +31,18 @@ def test_inputs(spark, tmp_path):
     assert [r.path[-5:] for r in files.read_documents(spark, str(folder)).filter(files.is_pdf(F.col("content"))).collect()] == ["d.Pdf"]
 
 
-def test_alphabet(spark, tmp_path):
+def test_alphabet(spark, tmp_path, monkeypatch):
     (tmp_path / "ok").write_text("а\nб\r\n—\n\n")
     assert files.read_alphabet(spark, str(tmp_path / "ok")) == sorted("аб— ")
     for k, bad in enumerate(["", "\n\n", "аб\nв"]):
         (tmp_path / f"bad{k}").write_text(bad)
         with pytest.raises(ValueError):
             files.read_alphabet(spark, str(tmp_path / f"bad{k}"))
+    monkeypatch.setattr(files, "MAX_CHARACTERS", 3)
+    assert len(files.read_alphabet(spark, str(tmp_path / "ok"))) == 4
+    monkeypatch.setattr(files, "MAX_CHARACTERS", 2)
+    with pytest.raises(ValueError, match="more than 2"):
+        files.read_alphabet(spark, str(tmp_path / "ok"))
 
 
 def test_debug_stops_at_the_first_bad_line(spark, tmp_path):
@@ -160,6 +165,21 @@ def test_legible():
     dot[5, 5] = 0
     assert pixels.legible(dot, dot - 30) and not pixels.legible(dot, dot - 80)
     assert pixels.legible(stripes(200, 230), stripes(205, 228), 25.0)  # pale text needs half of its own contrast
+    rgb = np.repeat(clean, 3, axis=2)
+    assert pixels.legible(rgb, rgb + 7) and not pixels.legible(rgb, np.repeat(stain, 3, axis=2)) and not pixels.legible(rgb, rgb * 0.05 + 200)
+
+
+def test_legible_stack_judges_each_crop_by_itself():
+    rng = np.random.default_rng(3)
+    clean = np.stack([stripes(int(rng.integers(0, 120)), int(rng.integers(130, 256))) for _ in range(40)]).astype(np.uint8)
+    noisy = clean.astype(int) + rng.integers(-60, 60, clean.shape) * (np.arange(40) % 3 == 0)[:, None, None, None]
+    noisy[::5, :, 60:90] = 128
+    noisy = np.clip(noisy, 0, 255).astype(np.uint8)
+    one_by_one = [pixels.legible(a, b) for a, b in zip(clean, noisy, strict=True)]
+    assert pixels.legible_stack(clean, noisy).tolist() == one_by_one and 0 < sum(one_by_one) < 40
+    level = rng.integers(0, 256, (6, 31))
+    mask = rng.random((6, 31)) < 0.4
+    assert pixels._medians(level, mask, 255).tolist() == [float(np.median(level[i][mask[i]])) for i in range(6)]
 
 
 def test_failed_and_cancelled_jobs(spark, tmp_path):
@@ -180,6 +200,96 @@ def test_choice_and_sampling(spark):
     assert abs(drawn / 20_000 - 0.3) < 0.02 and spark.range(100).filter(pixels.degraded_share(0, 5, F.col("id"))).count() == 0
 
 
+def test_crops_of_many_shapes(spark, monkeypatch):
+    monkeypatch.setattr(pixels, "STACK_PIXELS", 1)
+    image = lambda a: None if a is None else (a.shape[0], a.shape[1], a.shape[2], bytearray(a.astype(np.uint8).tobytes()))
+    a, b = stripes(), np.repeat(stripes()[:30], 3, axis=2)
+    rows = [(a, a + 9, True), (b, b + 9, True), (a, a * 0 + 230, False), (b, b, None), (a, None, None), (a, a[:, :200], False), (None, a, None), (b, a, False)]
+    df = spark.createDataFrame([(k, image(x), image(y)) for k, (x, y, _) in enumerate(rows)], f"k int, a {pixels.IMAGE}, b {pixels.IMAGE}")
+    got = df.select("k", pixels.choose_crop()(F.col("a"), F.col("b")).alias("c")).orderBy("k").collect()
+    assert [r.c for r in got] == [want for *_, want in rows]
+
+
+def test_degraded_pages(spark):
+    page = (4, 6, 1, bytearray(range(24)))
+    df = spark.createDataFrame([("a.pdf", "a0", page), ("a.pdf", "a1", page), ("b.pdf", "b0", page), ("b.pdf", "b1", page)], f"file string, page_key string, image {pixels.IMAGE}")
+
+    def effect(pixels_, seed):
+        first = int.from_bytes(b"7|a1", "big") % (1 << 31)
+        if seed == first:
+            raise RuntimeError("no ink")
+        return pixels_[:, :3] if seed == int.from_bytes(b"7|b0", "big") % (1 << 31) else 255 - pixels_
+
+    out = pixels.degrade_pages(df, effect, seed=7).cache()
+    assert {r.page_key: (r.failure, r.moved, r.noisy is None) for r in out.collect()} == {"a0": (None, False, False), "a1": ("RuntimeError: no ink", False, True), "b0": (None, True, True), "b1": (None, False, False)}
+    kept, errors = pixels.settle_degraded(out, "file")
+    assert sorted((r.page_key, r.degraded) for r in kept.collect()) == [("a0", True), ("a1", False)]
+    assert sorted(map(tuple, errors.collect())) == [("a.pdf", "RuntimeError: no ink", 1), ("b.pdf", "an effect changed the geometry", 1)]
+    assert bytes(kept.filter("page_key = 'a0'").first().noisy.data) == bytes(255 - i for i in range(24))
+
+
+def test_turned_images(spark):
+    df = spark.createDataFrame([(1, (2, 3, 1, bytearray([1, 2, 3, 4, 5, 6])))], f"k int, image {pixels.IMAGE}")
+    shown = lambda d: (d.first().image.height, d.first().image.width, list(d.first().image.data))
+    assert shown(pixels.turned(df, "image")) == (3, 2, [4, 1, 5, 2, 6, 3]) and shown(pixels.turned(df, "image", right=False)) == (3, 2, [3, 6, 2, 5, 1, 4])
+    assert shown(pixels.turned(pixels.turned(df, "image"), "image", right=False)) == (2, 3, [1, 2, 3, 4, 5, 6])
+
+
+def test_read_pages(spark):
+    def pdf():
+        def read(content, dpi):
+            assert dpi == 200
+            for k, word in enumerate(content.decode().split()):
+                if word == "stop":
+                    raise OSError("broken")
+                yield ValueError("bad page") if word == "bad" else {"text": word, "image": np.full((1, k + 1, 3), k)}
+
+        return read
+
+    docs = spark.createDataFrame([(1, "pdf", bytearray(b"a bad b")), (2, "pdf", bytearray(b"a stop b")), (3, "image", bytearray(b"x")), (4, "pdf", bytearray())], "doc_ord bigint, kind string, content binary")
+    out = pages.read_pages(docs, {"pdf": pdf}, batch=2).cache()
+    assert [(r.doc_ord, r.page, r.text, r.error) for r in out.orderBy("doc_ord", "page").collect()] == [
+        (1, 0, "a", None), (1, 1, None, "ValueError: bad page"), (1, 2, "b", None), (2, 0, "a", None), (2, 1, None, "OSError: broken"), (3, 0, None, "LookupError: no reader of image")]
+    good, bad = pages.split_errors(out)
+    assert good.count() == 3 and sorted(map(tuple, bad.collect())) == [(1, "ValueError: bad page", 1), (2, "OSError: broken", 1), (3, "LookupError: no reader of image", 1)]
+    assert good.filter("doc_ord = 1 and page = 2").first().image.width == 3
+
+
+def test_model_calls():
+    calls = []
+
+    def call(*outcomes):
+        calls[:] = outcomes
+
+        def one():
+            now = calls.pop(0)
+            if isinstance(now, Exception):
+                raise now
+            return now
+
+        return one
+
+    assert readings.answer(call("x")) == ("x", None, None) and readings.answer(call(None)) == ("", None, None)
+    assert readings.answer(call(ConnectionError(), "x")) == ("x", None, None)
+    assert readings.answer(call(readings.CallFailed(503), readings.CallFailed(502), "x")) == ("", "status", 502) and calls == ["x"]
+    assert readings.answer(call(readings.CallFailed(404), "x")) == ("", "status", 404) and calls == ["x"]
+    assert readings.answer(call(TimeoutError(), "x")) == ("", "timeout", None) and readings.answer(call(KeyError("a"))) == ("", "format", None)
+    assert readings.answer(call(RuntimeError("a"))) == ("", "RuntimeError", None)
+
+
+def test_preview(spark, tmp_path):
+    rows = spark.createDataFrame([("in/b.x.pdf", 2, True, (1, 1, 1, bytearray(b"a"))), ("in/b.x.pdf", 1, False, (1, 1, 1, bytearray(b"b"))), (".pdf", 12, False, (1, 1, 1, bytearray(b"c")))], f"file string, page int, degraded boolean, pixels {pixels.IMAGE}")
+
+    def put(path, image):
+        if path == ".pdf_p012.webp":
+            raise OSError("full")
+
+    bad = write_preview(rows, str(tmp_path / "pages"), put)
+    assert [json.loads(line) for line in texts(tmp_path / "pages")] == [
+        {"file": ".pdf", "page": 12, "image": ".pdf_p012.webp", "degraded": False}, {"file": "in/b.x.pdf", "page": 1, "image": "b.x_p001.webp", "degraded": False}, {"file": "in/b.x.pdf", "page": 2, "image": "b.x_p002.webp", "degraded": True}]
+    assert [tuple(r) for r in bad.collect()] == [(".pdf_p012.webp", "full")]
+
+
 def test_effects():
     assert pixels.effects_errors({"ink": [{"one_of": [{"name": "A", "params": {}}], "p": 0.5}], "post": []}) == []
     assert len(pixels.effects_errors({"ink": [{"name": "A", "one_of": []}, {"name": "B", "p": 2}, 3, {"one_of": [{"name": "C", "p": 1}]}], "paper": 1})) == 6
@@ -212,7 +322,17 @@ def test_streaming_equals_batch(spark, tmp_path):
     q.awaitTermination()
     assert spark.read.json(str(tmp_path / "snapshot")).count() == 2
     ring = live.run_available(live.error_ring(stream(), 5), "job_id")
-    assert {r.job_id: (r.error_count, len(r.errors)) for r in ring.collect()} == {1: (27, 5), 2: (27, 5)}
+    assert {r.job_id: (r.error_count, r.errors) for r in ring.collect()} == {j: (27, [f"m{s}" for s in (66, 69, 72, 75, 78)]) for j in (1, 2)}
+    # Later messages come first, and in many small batches.
+    log.filter("seq >= 60").write.parquet(str(tmp_path / "back/a"))
+    log.filter("seq < 60").repartition(7).write.parquet(str(tmp_path / "back/b"))
+    back = spark.readStream.schema(log.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "back"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        ring = live.run_available(live.error_ring(back, 5), "job_id")
+        assert {r.job_id: (r.error_count, r.errors) for r in ring.collect()} == {j: (27, [f"m{s}" for s in (66, 69, 72, 75, 78)]) for j in (1, 2)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_whole_runs(spark, tmp_path):
@@ -224,7 +344,7 @@ def test_whole_runs(spark, tmp_path):
     plan = plan_consensus(request, lines, reads, words, layer, list("xyслой"), start=9_999)
     got = [(r.page, r.line_no, r.n, r.crop, r.bucket, r.source) for r in plan.lines.orderBy("n").collect()]
     assert got == [(0, 0, 9_999, "crops/0/image_09999.webp", "good", "voted"), (0, 1, 10_000, "crops/1/image_10000.webp", "needs_review", "voted"), (1, 0, 10_001, "crops/1/image_10001.webp", "needs_review", "text_layer")]
-    assert plan.dropped.count() == 1 and tuple(plan.totals().first())[:2] == (1, 2)
+    assert plan.dropped.count() == 1 and tuple(plan.totals().first()) == (1, 2, 0, 1, 3)
     assert tuple(jobs.run(spark, plan, "job-1").first()) == ("done", None, 1, 2, 0, 1)
     assert tuple(jobs.status(spark, str(tmp_path / "run")).first())[0] == "done"
     assert texts(tmp_path / "run/lines/bucket=good") == ["crops/0/image_09999.webp\tx"] and len(texts(tmp_path / "run/debug")) == 2
