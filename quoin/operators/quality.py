@@ -1,6 +1,6 @@
 """Quality of a page's embedded words, the gate that it opens, and a document's diagnosis.
 
-Words: key columns of a page, pos, word. One shuffle by page; a document's pages are aggregated from it.
+Words: key columns of a page, pos, word. One shuffle by page and one sort; a document's pages are aggregated from it.
 """
 
 from __future__ import annotations
@@ -16,11 +16,13 @@ def mark_words(words: DataFrame, page: list[str]) -> DataFrame:
     order, whole = Window.partitionBy(*page).orderBy("pos"), Window.partitionBy(*page)
     # The cleaned word is a column of its own up to the end, so that it is made once.
     out = words.withColumn("core", word_core(F.col("word"))).withColumn("balance", letter_balance(F.col("word")))
-    out = out.withColumn("single", is_letter(F.col("core"))).withColumn("island", F.sum((~F.col("single")).cast("int")).over(order))
-    run = F.sum(F.col("single").cast("int")).over(Window.partitionBy(*page, "island"))
-    out = out.withColumn("spaced", F.col("single") & (run >= MIN_SPACED_RUN))
+    out = out.withColumn("single", is_letter(F.col("core")))
+    # A letter is in a long run if any stretch of MIN_SPACED_RUN words around it is all single letters.
+    n = MIN_SPACED_RUN
+    runs = [F.sum(F.col("single").cast("int")).over(order.rowsBetween(-k, n - 1 - k)) for k in range(n)]
+    out = out.withColumn("spaced", F.col("single") & (F.greatest(*runs) >= n))
     out = out.withColumn("cyrillic", F.sum("balance").over(whole) > 0)
-    return out.withColumn("ok", core_ok(F.col("core"), F.col("cyrillic"))).drop("core", "balance", "island")
+    return out.withColumn("ok", core_ok(F.col("core"), F.col("cyrillic"))).drop("core", "balance")
 
 
 def page_quality(words: DataFrame, page: list[str], pages: DataFrame | None = None) -> DataFrame:
