@@ -20,6 +20,15 @@ def polygon_bbox(poly: Column) -> Column:
     return box(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
 
 
+def parse_polygon(raw: Column) -> Column:
+    """A detector's polygon, JSON [[x, y], ...], as struct(poly, error): either the points or why they are none."""
+    points = F.from_json(raw, "array<array<double>>")
+    bad = F.exists(points, lambda p: p.isNull() | (F.size(p) != 2) | F.exists(p, lambda v: v.isNull()))
+    error = F.when(points.isNull(), "no list of points").when(F.size(points) < 3, "fewer than three points").when(bad, "a point without two numbers")
+    poly = F.transform(points, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    return F.struct(F.when(error.isNull(), poly).alias("poly"), error.alias("error"))
+
+
 def iou(a: Column, b: Column) -> Column:
     """Intersection over union of two boxes; 0.0 if the union has no area."""
     w = F.greatest(F.lit(0.0), F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"]))

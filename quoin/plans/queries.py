@@ -520,6 +520,32 @@ def run_boxes(spark, sf_dir):
     return plan.lines.groupBy("doc_ord", "page").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("bucket") == "good").alias("good"), F.sum("w").alias("width"))
 
 
+_POLYGONS = """SELECT doc_id, page, engine_ord, idx, (doc_id + idx * 3 + engine_ord) % 11 AS k, x0, y0, x1, y1 FROM boxes"""
+
+
+@query("boxes", f"""SELECT doc_id, page, engine_ord, idx, CASE k WHEN 0 THEN 'no list of points' WHEN 1 THEN 'fewer than three points' WHEN 2 THEN 'a point without two numbers' END AS error,
+    CASE WHEN k > 2 THEN CAST(greatest(0, least(floor(x0 / 2), 400)) AS INT) END AS x0, CASE WHEN k > 2 THEN CAST(greatest(0, least(floor(y0), 200)) AS INT) END AS y0,
+    CASE WHEN k > 2 THEN CAST(greatest(0, least(ceil(x1 / 2), 400)) AS INT) END AS x1, CASE WHEN k > 2 THEN CAST(greatest(0, least(ceil(y1), 200)) AS INT) END AS y1 FROM ({_POLYGONS})
+  WHERE k <= 2 OR (least(ceil(x1 / 2), 400) - floor(x0 / 2) > 10 AND least(ceil(y1), 200) - floor(y0) > 10)""")
+def detector_boxes(spark, sf_dir):
+    """Polygons as detectors give them, some of which are none."""
+    k = (F.col("doc_id") + F.col("idx") * 3 + F.col("engine_ord")) % 11
+    point = lambda x, y: F.array(F.col(x) / 2, F.col(y))
+    whole = F.to_json(F.array(point("x0", "y0"), point("x1", "y0"), point("x1", "y1"), point("x0", "y1")))
+    polygon = F.when(k == 0, "{1, 2").when(k == 1, "[[1, 2], [3, 4]]").when(k == 2, "[[1, 2], [3], [4, 5]]").otherwise(whole)
+    key = [*PAGE, "engine_ord", "idx"]
+    good, bad = readings.detected_boxes(fx.boxes(spark, sf_dir).select(*key, polygon.alias("polygon")), F.lit(400), F.lit(200))
+    return good.select(*key, F.lit(None).cast("string").alias("error"), "box.*").unionByName(bad, allowMissingColumns=True)
+
+
+@query("", r"""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN doc_id || '.txt' WHEN 1 THEN source || '.TXT' WHEN 2 THEN 'c d.txt' END AS name FROM documents""")
+def upload_names(spark, sf_dir):
+    """Names of uploaded label files: with folders of either kind, hidden ones, and such as are no text files."""
+    d = F.col("doc_id")
+    name = F.when(d % 5 == 0, F.concat(F.lit("../a/"), d, F.lit(".txt"))).when(d % 5 == 1, F.concat(F.lit("C:\\x\\"), "source", F.lit(".TXT"))).when(d % 5 == 2, "c d.txt").when(d % 5 == 3, "x/.txt").otherwise(F.concat(d, F.lit(".txt/b.exe")))
+    return fx.table(spark, sf_dir, "documents").select("doc_id", files.upload_name(name).alias("name"))
+
+
 @query("boxes", """SELECT doc_id, page, engine_ord, CAST(idx AS INT) // 4 AS line, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM boxes WHERE trim(text, ' ') <> '' AND (doc_id + idx) % 6 <> 0 GROUP BY 1, 2, 3, 4""")
 def word_line_boxes(spark, sf_dir):
     return readings.word_lines(_word_table(spark, sf_dir), [*PAGE, "engine_ord"]).select(*PAGE, "engine_ord", "line", "x0", "y0", "x1", "y1")

@@ -40,6 +40,15 @@ def write_degraded(lines: DataFrame, path: str, order: str = "n") -> None:
     write_json(lines.filter("page_degraded"), path, order, ["crop", "source", "degraded"])
 
 
+def append_found(found: DataFrame, path: str, columns: list[str], order: str = "ord", images: str | None = None) -> None:
+    """Appends records of new documents as JSON lines under path/documents and, with the column `images`, label lines without
+    text for their pictures under path/rec."""
+    write_json(found, f"{path}/documents", order, columns, "append")
+    if images:
+        rows = found.repartitionByRange(order).sortWithinPartitions(order)
+        rows.select(F.concat(F.lit("images/"), F.col(images), F.lit("\t")).alias("value")).write.mode("append").text(f"{path}/rec")
+
+
 def preview_rows(pages: DataFrame) -> DataFrame:
     """pages (file, page from 1, degraded boolean, ...) with image: the name of the preview picture of each page."""
     stem = F.regexp_replace(F.regexp_extract("file", r"[^/]*$", 0), r"(?<=.)\.[^.]*$", "")

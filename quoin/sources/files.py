@@ -58,6 +58,12 @@ def read_alphabet(spark: SparkSession, path: str) -> list[str]:
     return sorted({*chars, " "})
 
 
+def upload_name(name: Column) -> Column:
+    """The bare name of an uploaded label file, without any folder; null unless it is that of a text file."""
+    bare = F.regexp_extract(name, r"[^/\\]*$", 0)
+    return F.when(F.lower(bare).rlike(r"^[^.].*\.txt$"), bare)
+
+
 def parse_debug(lines: DataFrame) -> DataFrame:
     """Debug records from (ord, value). Reading ends at the first line that isn't JSON; what came before stays."""
     rows = lines.filter(strip(F.col("value")) != "").withColumn("r", F.from_json("value", DEBUG, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))

@@ -6,13 +6,16 @@ its own affair. A failed call gives ('', 0.0) for each of its crops, and so does
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quoin.functions.geometry import big_enough, clamped_bbox, parse_polygon, polygon_bbox
 from quoin.functions.text import restore_hyphens, strip
 
 #: Kinds of failure with a reason of their own.
@@ -58,6 +61,46 @@ class BatchSource:
         return crops.mapInPandas(run, f"{kinds}, engine_ord int, engine string, text string, score double")
 
 
+class BoxSource:
+    """A line detector from a function over one page image -> polygons [[x, y], ...]; `load` makes it once a task. A page on
+    which it fails has no boxes."""
+
+    def __init__(self, engine: str, load: Callable[[], Callable[[dict], list]], image: str = "image"):
+        self.engine, self.load, self.image = engine, load, image
+
+    def detect(self, pages: DataFrame) -> DataFrame:
+        """pages' other columns with line_no (in the detector's order) and polygon (JSON)."""
+        rest = [c for c in pages.columns if c != self.image]
+        load, image = self.load, self.image
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            find = load()
+            for b in batches:
+                at, numbers, polygons = [], [], []
+                for k, im in enumerate(b[image]):
+                    try:
+                        found = [json.dumps(np.asarray(p, float).tolist()) for p in find(im)]
+                    except Exception:  # a detector that fails never fails the run
+                        found = []
+                    at += [k] * len(found)
+                    numbers += range(len(found))
+                    polygons += found
+                yield b[rest].iloc[at].reset_index(drop=True).assign(line_no=numbers, polygon=pd.Series(polygons, dtype=object))
+
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*rest).schema.fields)
+        return pages.mapInPandas(run, f"{kinds}, line_no int, polygon string")
+
+
+def detected_boxes(found: DataFrame, width: Column, height: Column, polygon: str = "polygon") -> tuple[DataFrame, DataFrame]:
+    """(lines with box: whole pixels around the polygon, held to the page, those of more than 10 pixels a side; errors: the
+    other columns and error of each polygon that is none)."""
+    rest = [F.col(c) for c in found.columns if c != polygon]
+    rows = found.select(*rest, parse_polygon(F.col(polygon)).alias("_p"))
+    good = rows.filter("_p.error is null").select(*rest, clamped_bbox(polygon_bbox(F.col("_p.poly")), width, height).alias("box"))
+    good = good.filter(big_enough(F.col("box.x1") - F.col("box.x0"), F.col("box.y1") - F.col("box.y0")))
+    return good, rows.filter("_p.error is not null").select(*rest, F.col("_p.error").alias("error"))
+
+
 def word_lines(words: DataFrame, page: list[str]) -> DataFrame:
     """Line boxes from a word table (page.., i, block, par, line, text, conf, left, top, width, height): words without
     confidence or text don't count; ord is the place of the line's first word."""

@@ -12,7 +12,7 @@ from quoin.operators.vote import vote
 from quoin.plans import jobs
 from quoin.plans.request import RequestError, RunRequest
 from quoin.plans.run import Plan, plan_consensus, plan_vlm
-from quoin.sinks import save_crops, write_buckets, write_debug, write_degraded, write_preview, write_records, write_status
+from quoin.sinks import append_found, save_crops, write_buckets, write_debug, write_degraded, write_preview, write_records, write_status
 from quoin.sources import catalog, files, pages, readings
 from quoin.streaming import progress as live
 
@@ -255,6 +255,30 @@ def test_read_pages(spark):
     assert good.filter("doc_ord = 1 and page = 2").first().image.width == 3
 
 
+def test_detectors(spark):
+    def load():
+        def find(image):
+            if image["width"] == 2:
+                raise RuntimeError("no memory")
+            return [[[1, 2], [30, 2], [30, 40]], np.array([[0, 0], [5, 5], [5, 0]]), [[1, 2]], [["x", 1]] if image["width"] == 3 else [[0, 0], [90, 0], [90, 90]]]
+
+        return find
+
+    df = spark.createDataFrame([(k, (1, k, 1, bytearray(k))) for k in (1, 2, 3)], f"k int, image {pixels.IMAGE}")
+    found = readings.BoxSource("paddle", load).detect(df).cache()
+    assert found.groupBy("k").count().orderBy("k").collect() == [(1, 4)]  # a page that fails in the middle has none either
+    good, bad = readings.detected_boxes(found, F.lit(60), F.lit(50))
+    assert [(r.line_no, tuple(r.box)) for r in good.orderBy("line_no").collect()] == [(0, (1, 2, 30, 40)), (3, (0, 0, 60, 50))]
+    assert [(r.line_no, r.error) for r in bad.collect()] == [(2, "fewer than three points")]
+
+
+def test_append_found(spark, tmp_path):
+    for k in (1, 2):
+        append_found(spark.createDataFrame([(k, f"t{k}", f"i{k}.jpg", None)], "ord int, title string, file string, year int"), str(tmp_path), ["title", "year"], images="file")
+    assert sorted(texts(tmp_path / "documents")) == ['{"title":"t1","year":null}', '{"title":"t2","year":null}']
+    assert sorted(texts(tmp_path / "rec")) == ["images/i1.jpg\t", "images/i2.jpg\t"]
+
+
 def test_model_calls():
     calls = []
 
