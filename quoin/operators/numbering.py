@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,9 +22,9 @@ def number_rows(rows: DataFrame, order: list[str], start: int = 1, name: str = "
     sizes = placed.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count(F.lit(1)).alias("rows")).orderBy("_part").collect()
     bases, seen = [], start
     for s in sizes:
-        bases.append((s["_part"], seen))
+        bases.append({"_part": s["_part"], "_base": seen})
         seen += s["rows"]
-    base = spark.createDataFrame(bases, "_part bigint, _base bigint")
+    base = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(bases)), "array<struct<_part:bigint,_base:bigint>>")))
     out = placed.join(F.broadcast(base), F.shiftright("_at", 33) == F.col("_part"))  # a row for each partition
     return out.withColumn(name, F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_base")
 
