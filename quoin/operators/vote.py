@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 def vote(readings: DataFrame, key: list[str], threshold: float, preferred: str | None = None, min_agree: int = 2, lines: DataFrame | None = None, with_readings: bool = False) -> DataFrame:
     """key, bucket, text, engine, diverged for each line, and with_readings engines: array of (engine, text, score) in
-    engine order; `lines` adds keys that have no reading at all."""
+    engine order; `lines` adds keys that have no reading at all, and its further columns."""
     more = ["engines"] if with_readings else []
     same, by_text = Window.partitionBy(*key, "text"), Window.partitionBy(*key).orderBy("text")
     rows = readings.withColumn("nth_text", F.dense_rank().over(by_text)).withColumn("votes", F.count(F.lit(1)).over(same)).withColumn("first_ord", F.min("engine_ord").over(same))
@@ -41,8 +41,8 @@ def vote(readings: DataFrame, key: list[str], threshold: float, preferred: str |
     out = out.select(*key, bucket.alias("bucket"), chosen["text"].alias("text"), chosen["engine"].alias("engine"), "diverged", *more)
     if lines is None:
         return out
-    return lines.select(*key).join(out, key, "left").select(
-        *key, F.coalesce("bucket", F.lit("needs_review")).alias("bucket"), F.coalesce("text", F.lit("")).alias("text"),
+    return lines.join(out, key, "left").select(
+        *lines.columns, F.coalesce("bucket", F.lit("needs_review")).alias("bucket"), F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce("engine", F.lit("")).alias("engine"), F.coalesce("diverged", F.lit(False)).alias("diverged"),
         *[F.coalesce(c, F.array().cast(out.schema[c].dataType)).alias(c) for c in more],
     )

@@ -61,17 +61,19 @@ def plan_consensus(request: RunRequest, boxes: DataFrame, readings: DataFrame, w
     layer (LINE, text, w, h): the text layer, if there is one. Pages with a usable layer give its lines as good."""
     ocr, parts = boxes, []
     if words is not None and layer is not None and request.extract_pdf_text_layer:
-        pages = layer.select(*PAGE).unionByName(boxes.select(*PAGE)).distinct()
-        routed = route(page_quality(words, PAGE, pages), True, request.pdf_ocr_fallback).select(*PAGE, "route")
-        ocr = boxes.join(routed.filter("route = 'ocr'").select(*PAGE), PAGE, "left_semi")
-        own = layer.join(routed.filter("route = 'text_layer'").select(*PAGE), PAGE, "left_semi")
+        # Pages without a word have no usable layer, so only those with words need a route. It is stored since both kinds of
+        # lines are picked by it.
+        routed = route(page_quality(words, PAGE), True, request.pdf_ocr_fallback)
+        own_pages = stored(routed.filter("route = 'text_layer'").select(*PAGE), "routes")
+        ocr = boxes.join(own_pages, PAGE, "left_anti") if request.pdf_ocr_fallback else boxes.limit(0)
+        own = layer.join(own_pages, PAGE, "left_semi")
         parts.append(own.select(*LINE, F.lit("good").alias("bucket"), "text", F.lit("").alias("engine"), F.lit(False).alias("diverged"), "w", "h", F.lit("text_layer").alias("source")))
     chosen = readings.filter(F.col("engine").isin(*request.engines))
     ocr = ocr.filter(big_enough(F.col("w"), F.col("h")))
     chosen, merged = split_multiline(chosen, LINE, request.detector_engine)
     ocr = ocr.join(merged, LINE, "left_anti")
-    voted = vote(chosen, LINE, request.score_threshold, request.preferred_model, request.min_agree, ocr, with_readings=True)
-    lines = voted.join(ocr.select(*LINE, "w", "h"), LINE).withColumn("source", F.lit("voted"))
+    voted = vote(chosen, LINE, request.score_threshold, request.preferred_model, request.min_agree, ocr.select(*LINE, "w", "h"), with_readings=True)
+    lines = voted.withColumn("source", F.lit("voted"))
     for p in parts:
         lines = lines.unionByName(p, allowMissingColumns=True)
     return Plan(request, _numbered(lines, request, alphabet, start), merged)
