@@ -85,12 +85,13 @@ def passing(texts: DataFrame, hits: DataFrame) -> DataFrame:
     n = hits.count()
     if n * BITS_EACH > MOST_BITS:
         return texts.join(hits.select("digest"), "digest", "left_semi")
-    h, words = F.xxhash64("digest"), max(1, n * BITS_EACH // 64)
-    bit = lambda k: F.expr(f"shiftleft(1L, cast(shiftright(xxhash64(digest), {6 * k}) & 63 as int))")
-    mask = bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2))
-    word = F.pmod(F.shiftright(h, 18), F.lit(words))
-    bits = stored(hits.groupBy(word.alias("_word")).agg(F.bit_or(mask).alias("_bits")), "filter")
-    return texts.withColumn("_word", word).join(F.broadcast(bits), "_word").filter(F.col("_bits").bitwiseAND(mask) == mask).select(*texts.columns)
+    words = max(1, n * BITS_EACH // 64)
+    # The hash is a column of its own, and never null, so that nothing below makes the digest again.
+    bit = lambda k: F.expr(f"shiftleft(1L, cast(shiftright(_h, {6 * k}) & 63 as int))")
+    mask, word = bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2)), F.coalesce(F.pmod(F.shiftright("_h", 18), F.lit(words)), F.lit(0).cast("long"))
+    hashed = lambda df: df.withColumn("_h", F.xxhash64("digest")).withColumn("_word", word).withColumn("_mask", mask)
+    bits = stored(hashed(hits).groupBy("_word").agg(F.bit_or("_mask").alias("_bits")), "filter")
+    return hashed(texts).join(F.broadcast(bits), "_word").filter(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask")).select(*texts.columns)
 
 
 def exact_dedup(
