@@ -252,18 +252,18 @@ def _stretches(min_words: int, side: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.arange(side + 1)
         for batch in batches:
-            owner, first, n = [], [], []
-            for i, found in enumerate(batch.column(1).to_pylist()):
-                place, marks = (np.array([f[c] for f in found], np.int64) for c in ("place", "marks"))
-                at, k = np.nonzero((marks[:, None] >> bits) & 1)
-                starts = np.unique(place[at] - k)
-                new = np.flatnonzero(np.concatenate(([True], np.diff(starts) > min_words)))
-                ends = starts[np.concatenate((new[1:] - 1, [len(starts) - 1]))] + min_words
-                owner += [i] * len(new)
-                first.append(starts[new])
-                n.append(ends - starts[new])
-            flat = lambda parts: pa.array(np.concatenate(parts) if parts else np.empty(0), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), flat(first), flat(n)], names=["doc_id", "first_word", "n_words"])
+            if not batch.num_rows:
+                continue
+            # All documents of the batch at once: (document, first word) of each passage, sorted.
+            found = batch.column(1)
+            sizes, places = np.diff(found.offsets.to_numpy()), found.flatten()
+            place, marks = (places.field(c).to_numpy().astype(np.int64) for c in ("place", "marks"))
+            at, k = np.nonzero((marks[:, None] >> bits) & 1)
+            starts = np.unique((np.repeat(np.arange(len(sizes)), sizes)[at] << 40) | (place[at] - k))
+            new = np.flatnonzero(np.concatenate(([True], np.diff(starts) > min_words)))
+            ends = starts[np.concatenate((new[1:] - 1, [len(starts) - 1]))] + min_words
+            first, owner = starts[new] & ((1 << 40) - 1), starts[new] >> 40
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(first), pa.array(ends - starts[new])], names=["doc_id", "first_word", "n_words"])
 
     return run
 
