@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quoin.llm import chat, decontaminate, divergence, exact_dedup, language_id, mixing, sharding, simhash, suffix_dedup, url_rules, warc
+from quoin.llm import chat, conversation_repair, decontaminate, divergence, exact_dedup, language_id, mixing, sharding, simhash, suffix_dedup, url_rules, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_revisits": warc.op9_revisits,
     "op10_url_rules": url_rules.op10_url_rules,
     "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
@@ -24,4 +25,5 @@ ORACLES = {
     "op9_revisits": warc.OP9_SQL,
     "op10_url_rules": url_rules.OP10_SQL,
     "op12_source_divergence": divergence.OP12_SQL,
+    "op13_conversation_repair": conversation_repair.OP13_SQL,
 }
