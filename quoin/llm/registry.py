@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quoin.llm import chat, conversation_repair, decontaminate, divergence, exact_dedup, language_id, mixing, sharding, simhash, suffix_dedup, url_rules, warc
+from quoin.llm import chat, conversation_repair, decontaminate, divergence, exact_dedup, language_id, language_model, mixing, sharding, simhash, suffix_dedup, url_rules, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_revisits": warc.op9_revisits,
     "op10_url_rules": url_rules.op10_url_rules,
+    "op11_language_model": language_model.op11_language_model,
     "op12_source_divergence": divergence.op12_source_divergence,
     "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
