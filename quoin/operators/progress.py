@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 #: How many messages of a job stay.
 MAX_ERRORS = 50
+#: Time-outs in a row after which an engine is left out. Fixed value.
+STREAK = 3
+#: How many finished jobs stay in the registry. Fixed value.
+MAX_FINISHED = 100
 TERMINAL = ["error", "cancelled", "done"]
 
 
@@ -40,10 +44,16 @@ def states(log: DataFrame) -> DataFrame:
     return log.groupBy("job_id").agg(rank.alias("r")).select("job_id", F.element_at(F.array(*[F.lit(s) for s in ["running", "done", "cancelled", "error"]]), F.col("r") + 1).alias("status"))
 
 
-def broken_engines(calls: DataFrame, *run: str, streak: int = 3) -> DataFrame:
+def broken_engines(calls: DataFrame, *run: str, streak: int = STREAK) -> DataFrame:
     """calls (run.., engine, seq, timed_out): for each engine the call at which its first streak of time-outs is full;
     from there on the engine is left out of the run."""
     order = Window.partitionBy(*run, "engine").orderBy("seq")
     rows = calls.withColumn("_island", F.sum((~F.col("timed_out")).cast("int")).over(order))
     rows = rows.withColumn("_n", F.sum(F.col("timed_out").cast("int")).over(Window.partitionBy(*run, "engine", "_island").orderBy("seq")))
     return rows.filter(F.col("timed_out") & (F.col("_n") == streak)).groupBy(*run, "engine").agg(F.min("seq").alias("broken_at"))
+
+
+def registry(jobs: DataFrame, started: str = "started", most: int = MAX_FINISHED) -> DataFrame:
+    """jobs (status, `started` tells them apart and orders them, ...): all that run, and the newest `most` that have ended."""
+    ended = F.col("status").isin(TERMINAL)
+    return jobs.filter(~ended).unionByName(jobs.filter(ended).orderBy(F.col(started).desc()).limit(most))

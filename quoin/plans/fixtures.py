@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quoin.storage import is_folder
+
 ENGINES = ["paddle", "surya", "tesseract"]
 VLM_ENGINES = ["paddleocr_vl", "hunyuan_ocr", "glm_ocr"]
 LATIN, LOOKING_ALIKE = "ABCEHKMOPTXaceopxy", "АВСЕНКМОРТХасеорху"
@@ -15,6 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table's files as a stream; the table may be one file or a folder of files."""
+    reader = spark.readStream.schema(table(spark, sf_dir, name).schema)
+    path = f"{sf_dir}/{name}.parquet"
+    return reader.parquet(path) if is_folder(spark, path) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def lines(spark: SparkSession, sf_dir: str, grouped: bool = False) -> DataFrame:
     """doc_id, line_no (from 0), text of every line of every document. grouped: documents are dealt by doc_id before they
     become rows, so that what groups by line or page shuffles a text once, not each of its rows."""
@@ -83,14 +92,14 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def job_log(events: DataFrame) -> DataFrame:
-    """job_id, seq, kind, bucket, diverged, msg from events; also of a stream of events."""
+def job_log(events: DataFrame, *more: str) -> DataFrame:
+    """job_id, seq, kind, bucket, diverged, msg and further columns of events; also of a stream of events."""
     kind = F.col("event_type")
     return events.select(
         F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"),
         F.when(kind == "purchase", "file_done").when(kind == "error", "error").otherwise("line").alias("kind"),
         F.when(kind.isin("click", "signup"), "good").when(kind == "view", "needs_review").alias("bucket"), (kind == "signup").alias("diverged"),
-        F.concat(F.lit("message "), F.col("event_id")).alias("msg"),
+        F.concat(F.lit("message "), F.col("event_id")).alias("msg"), *more,
     )
 
 

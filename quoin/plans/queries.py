@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,10 +18,13 @@ from quoin.operators import curate, labeling, numbering, pixels, progress, quali
 from quoin.operators import vote as vt
 from quoin.plans import fixtures as fx
 from quoin.plans import run as plans
+from quoin.plans.passes import finished_boxes
 from quoin.plans.request import RunRequest
 from quoin.sources import catalog as cat
-from quoin.sources import files, readings
+from quoin.scratch import session_dir
+from quoin.sources import deadline, files, readings
 from quoin.streaming import progress as live
+from quoin.streaming import run as streamed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -384,6 +388,18 @@ def vlm_resolve(spark, sf_dir):
     return bx.resolve(bx.group_by_iou(fx.boxes(spark, sf_dir), PAGE, 0.4), 2).select(*PAGE, "grp", "bucket", "text", "engine", "diverged")
 
 
+@query("boxes", _RESOLVED.format(thr=0.4, agree=2).replace("FROM boxes)", "FROM boxes WHERE (doc_id + page) % 3 <> 0 OR engine_ord < 2)", 1) + f"SELECT doc_id AS doc_ord, page, grp, bucket, text, {_ENGINE_NAME}, diverged FROM res")
+def resolved_passes(spark, sf_dir):
+    """A run that was stopped in its last pass: what the ledger has is resolved, without the pages that the last engine has
+    not finished."""
+    boxes = fx.boxes(spark, sf_dir).withColumnRenamed("doc_id", "doc_ord")
+    pages = boxes.select("doc_ord", "page").distinct()
+    passes = [pages.withColumn("engine", F.lit(e)) for e in fx.VLM_ENGINES]
+    finished = passes[0].unionByName(passes[1]).unionByName(passes[2].filter("(doc_ord + page) % 3 <> 0"))
+    groups = bx.group_by_iou(finished_boxes(boxes, finished), plans.PAGE, 0.4)
+    return bx.resolve(groups, 2).select(*plans.PAGE, "grp", "bucket", "text", "engine", "diverged")
+
+
 _KEPT = _RESOLVED + f"""
 , ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, text ORDER BY grp) AS k FROM res WHERE text <> ''),
 d AS (
@@ -489,6 +505,44 @@ def dataset_lines(spark, sf_dir):
     return rows.select(*LINE, value.alias("value"))
 
 
+@query("lines", """SELECT doc_id, line_no, row_number() OVER (ORDER BY doc_id, line_no) + 10042 AS n,
+  printf('crops/%d/image_%05d.webp', (row_number() OVER (ORDER BY doc_id, line_no) + 10042) // 10000, row_number() OVER (ORDER BY doc_id, line_no) + 10042) AS crop FROM lines WHERE text <> ''""")
+def stream_numbering(spark, sf_dir):
+    """Lines of the documents as they come in, written batch by batch with numbers that follow each other."""
+    docs = fx.stream(spark, sf_dir, "documents")
+    lines_ = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text")).filter("text <> ''").select("doc_id", F.col("line_no").cast("long").alias("line_no"))
+    out = f"{session_dir(spark)}/stream-{uuid.uuid4().hex}"
+    streamed.run_stream(lines_, out, LINE, 10_043).awaitTermination()
+    return streamed.lines_so_far(spark, out)
+
+
+def _word_counters():
+    """Three engines that read a text as the number of its words; one fails at odd numbers, one answers too little at each seventh."""
+    count = lambda text: len(text.split())
+
+    def odd(texts):
+        if any(count(t) % 2 for t in texts):
+            raise ConnectionError("lost")
+        return [(f"{count(t)} words", 0.5) for t in texts]
+
+    return {
+        "paddle": lambda: lambda texts: [(f"{count(t)} words", 1.0) for t in texts],
+        "surya": lambda: odd,
+        "tesseract": lambda: lambda texts: [(str(count(t)), 0.25) for t in texts if count(t) % 7],
+    }
+
+
+@query("", r"""WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '[^\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+')) AS n FROM documents)
+  SELECT doc_id, 'paddle' AS engine, n || ' words' AS text, 1.0::DOUBLE AS score, NULL AS failure FROM c
+  UNION ALL SELECT doc_id, 'surya', CASE WHEN n % 2 = 0 THEN n || ' words' ELSE '' END, CASE WHEN n % 2 = 0 THEN 0.5 ELSE 0 END, CASE WHEN n % 2 = 1 THEN 'connect' END FROM c
+  UNION ALL SELECT doc_id, 'tesseract', CASE WHEN n % 7 > 0 THEN n::VARCHAR ELSE '' END, CASE WHEN n % 7 > 0 THEN 0.25 ELSE 0 END, CASE WHEN n % 7 = 0 THEN 'format' END FROM c""")
+def engine_group(spark, sf_dir):
+    """Three engines side by side on every document, under one deadline; one that fails gives an empty reading and why."""
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    group = deadline.EngineGroup(_word_counters(), seconds=60, image="text", batch=1)
+    return group.read(docs).select("doc_id", "engine", "text", "score", "failure")
+
+
 def _run_tables(spark, sf_dir):
     key = lambda df: df.withColumn("doc_ord", F.col("doc_id")).withColumn("page", F.floor(F.col("line_no") / 20)).drop("doc_id")
     lines_ = key(fx.lines(spark, sf_dir, True)).withColumn("w", 8 * F.length("text")).withColumn("h", F.lit(32))
@@ -843,10 +897,9 @@ def job_rollup(spark, sf_dir):
 
 @query("job_log", _ROLLUP)
 def job_rollup_stream(spark, sf_dir):
-    """The same by Structured Streaming over the files of events."""
-    schema = fx.table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return live.run_available(live.rollup_stream(fx.job_log(stream)))
+    """The same by Structured Streaming over the files of events, in a log that delivers every event twice."""
+    log = fx.job_log(fx.stream(spark, sf_dir, "events"), "ts")
+    return live.run_available(live.rollup_stream(live.once(log.unionByName(log))))
 
 
 @query("job_log", """SELECT job_id, string_agg(msg, '|' ORDER BY seq) AS errors FROM (SELECT * FROM job_log WHERE kind = 'error' QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) <= 50) GROUP BY 1""")
@@ -862,21 +915,43 @@ def job_states(spark, sf_dir):
     return progress.states(log.withColumn("kind", kind))
 
 
-@query("", """WITH c AS (SELECT user_id AS job, event_type AS engine, event_id AS seq, value < 30 AS out FROM events),
+def _calls(events):
+    """Calls of engines, by job, from events; also of a stream of them."""
+    return events.select(F.col("user_id").alias("job"), F.col("event_type").alias("engine"), F.col("event_id").alias("seq"), (F.col("value") < 30).alias("timed_out"))
+
+
+_BREAKER = """WITH c AS (SELECT user_id AS job, event_type AS engine, event_id AS seq, value < 30 AS out FROM events),
   i AS (SELECT *, sum(CASE WHEN out THEN 0 ELSE 1 END) OVER (PARTITION BY job, engine ORDER BY seq) AS island FROM c),
   n AS (SELECT *, sum(CASE WHEN out THEN 1 ELSE 0 END) OVER (PARTITION BY job, engine, island ORDER BY seq) AS n FROM i)
-  SELECT job, engine, min(seq) AS broken_at FROM n WHERE out AND n = 3 GROUP BY 1, 2""")
+  SELECT job, engine, min(seq) AS broken_at FROM n WHERE out AND n = 3 GROUP BY 1, 2"""
+
+
+@query("", _BREAKER)
 def circuit_breaker(spark, sf_dir):
-    calls = fx.table(spark, sf_dir, "events").select(F.col("user_id").alias("job"), F.col("event_type").alias("engine"), F.col("event_id").alias("seq"), (F.col("value") < 30).alias("timed_out"))
-    return progress.broken_engines(calls, "job")
+    return progress.broken_engines(_calls(fx.table(spark, sf_dir, "events")), "job")
+
+
+@query("", _BREAKER)
+def circuit_breaker_stream(spark, sf_dir):
+    """The same while the calls come in: streaks are state, kept over micro-batches."""
+    found = live.collected(live.breaker_stream(_calls(fx.stream(spark, sf_dir, "events")), "job"))
+    return found.filter("broken_at is not null").groupBy("job", "engine").agg(F.min("broken_at").alias("broken_at"))
+
+
+@query("", """WITH j AS (SELECT user_id AS job_id, min(event_id) AS started, CASE WHEN bool_or(event_type = 'error') THEN 'error' WHEN bool_or(event_type = 'purchase') THEN 'done' ELSE 'running' END AS status FROM events GROUP BY 1)
+  SELECT job_id, status FROM j WHERE status = 'running' UNION ALL (SELECT job_id, status FROM j WHERE status <> 'running' ORDER BY started DESC LIMIT 100)""")
+def job_registry(spark, sf_dir):
+    """All jobs that run, and the newest hundred that have ended."""
+    kind = F.when(F.col("kind") == "error", "failed").when(F.col("kind") == "file_done", "done").otherwise("line")
+    log = fx.job_log(fx.table(spark, sf_dir, "events"))
+    jobs = progress.states(log.withColumn("kind", kind)).join(log.groupBy("job_id").agg(F.min("seq").alias("started")), "job_id")
+    return progress.registry(jobs).select("job_id", "status")
 
 
 @query("job_log", """SELECT job_id, count(*) AS error_count, array_to_string(list_slice(list(msg ORDER BY seq), -50, -1), '|') AS errors FROM job_log WHERE kind = 'error' GROUP BY 1""")
 def job_error_ring(spark, sf_dir):
     """The last messages of each job, held as state by Structured Streaming."""
-    schema = fx.table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    ring = live.run_available(live.error_ring(fx.job_log(stream)), "job_id").filter("error_count > 0")
+    ring = live.run_available(live.error_ring(fx.job_log(fx.stream(spark, sf_dir, "events"))), "job_id").filter("error_count > 0")
     return ring.select("job_id", "error_count", F.array_join("errors", "|").alias("errors"))
 
 

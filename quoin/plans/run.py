@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -41,10 +42,13 @@ class Plan:
             F.count_if(F.col("bucket") != "dropped").alias("n_lines"),
         )
 
-    def write(self) -> None:
+    def write(self, go_on: Callable[[], None] = lambda: None) -> None:
+        """go_on is asked before each part, and raises if the run is to stop."""
         out = self.request.output_dir
+        go_on()
         write_buckets(self.lines, f"{out}/lines", "n", self.request.append_crop_size)
         if "engines" in self.lines.columns:
+            go_on()
             write_debug(self.lines.filter("source = 'voted'"), f"{out}/debug", "n")
 
 
@@ -79,12 +83,16 @@ def plan_consensus(request: RunRequest, boxes: DataFrame, readings: DataFrame, w
     return Plan(request, _numbered(lines, request, alphabet, start), merged)
 
 
-def plan_vlm(request: RunRequest, boxes: DataFrame, width: Column, height: Column, alphabet: list[str] | None = None, start: int = 1) -> Plan:
-    """boxes (PAGE, engine, idx, x0, y0, x1, y1, text, ...): answers of the engines, parsed. Their order is the request's."""
+def plan_vlm(request: RunRequest, boxes: DataFrame, width: Column, height: Column, alphabet: list[str] | None = None, start: int = 1, pages: DataFrame | None = None) -> Plan:
+    """boxes (PAGE, engine, idx, x0, y0, x1, y1, text, ...): answers of the engines, parsed. Their order is the request's.
+    width and height of a page may be columns of `pages`."""
     order = F.element_at(F.create_map(*[F.lit(x) for k, e in enumerate(request.vlm_engines) for x in (e, k)]), F.col("engine"))
     rows = boxes.filter(F.col("engine").isin(*request.vlm_engines)).withColumn("engine_ord", order)
     groups = group_by_iou(rows, PAGE, request.iou_threshold)
-    kept = crops(dedup_groups(resolve(groups, request.vlm_min_agree), PAGE), width, height)
+    kept = dedup_groups(resolve(groups, request.vlm_min_agree), PAGE)
+    if pages is not None:
+        kept = kept.join(pages.select(*PAGE, "width", "height"), PAGE)
+    kept = crops(kept, width, height)
     lines = kept.select(
         *PAGE, F.col("grp").cast("long").alias("line_no"), "bucket", "text", "engine", "diverged",
         (F.col("crop.x1") - F.col("crop.x0")).alias("w"), (F.col("crop.y1") - F.col("crop.y0")).alias("h"), F.lit("boxes").alias("source"),

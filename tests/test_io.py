@@ -189,7 +189,10 @@ def test_failed_and_cancelled_jobs(spark, tmp_path):
         jobs.run(spark, Plan(RunRequest(output_dir=str(tmp_path)), broken), "job-2")
     row = jobs.status(spark, str(tmp_path)).first()
     assert row.status == "error" and "no disk" in row.error
-    jobs.cancel(spark, "job-2")
+    with pytest.raises(RuntimeError, match="does not run"):
+        jobs.cancel(spark, "job-2")
+    with pytest.raises(KeyError):
+        jobs.cancel(spark, "no such job")
 
 
 def test_choice_and_sampling(spark):
@@ -344,7 +347,7 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, progress.rollup(log).collect()))
     q = live.snapshots(stream(), str(tmp_path / "snapshot"), str(tmp_path / "cp"))
     q.awaitTermination()
-    assert spark.read.json(str(tmp_path / "snapshot")).count() == 2
+    assert live.snapshot(spark, str(tmp_path / "snapshot")).count() == 2
     ring = live.run_available(live.error_ring(stream(), 5), "job_id")
     assert {r.job_id: (r.error_count, r.errors) for r in ring.collect()} == {j: (27, [f"m{s}" for s in (66, 69, 72, 75, 78)]) for j in (1, 2)}
     # Later messages come first, and in many small batches.
