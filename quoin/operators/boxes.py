@@ -1,57 +1,91 @@
 """Matching the boxes of several engines on a page, one to one, by overlap.
 
-Boxes: key columns of a page, engine_ord, engine, idx, x0, y0, x1, y1 (double), text. A page is one row with an array, so
-pages are spread over all tasks and no box is compared with another page's; within the page the greedy order is a left
-fold.
+Boxes: key columns of a page, engine_ord, engine, idx, x0, y0, x1, y1 (double), text. Boxes meet over the cells of a grid of
+about their own size, so a page with very many boxes is spread over tasks and only neighbours are compared. The greedy order
+is a fold over the pairs that overlap enough, streamed in order; a box without such a pair is a group of its own and never
+reaches it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoin.functions.geometry import big_enough, clamped_bbox, iou
 from quoin.functions.text import postprocess
+from quoin.session import ship
 
 MEMBER = "struct<e:int,i:int,engine:string,x0:double,y0:double,x1:double,y1:double,text:string>"
+SIDES = ["x0", "y0", "x1", "y1"]
+
+
+def overlaps(boxes: DataFrame, page: list[str], threshold: float) -> DataFrame:
+    """page, a_e, a_i, b_e, b_i, iou: the pairs of boxes of different engines, the earlier engine's first, whose overlap is at
+    least `threshold`, which is over 0. A pair counts in the one cell that holds the upper left corner of what they share."""
+    if threshold <= 0:
+        raise ValueError("threshold must be over 0")
+    rows = boxes.select(*page, F.col("engine_ord").cast("int").alias("e"), F.col("idx").cast("int").alias("i"), F.struct(*[F.col(c).cast("double").alias(c) for c in SIDES]).alias("b"))
+    on_page = Window.partitionBy(*page)
+    size = lambda low, high: F.greatest(F.avg(F.col(f"b.{high}") - F.col(f"b.{low}")).over(on_page), F.lit(1.0))
+    rows = rows.withColumn("_w", size("x0", "x1")).withColumn("_h", size("y0", "y1"))
+    at = lambda value, step: F.floor(value / step)
+    span = lambda low, high, step: F.explode(F.sequence(at(F.col(f"b.{low}"), F.col(step)), F.greatest(at(F.col(f"b.{low}"), F.col(step)), at(F.col(f"b.{high}"), F.col(step)))))
+    cells = rows.withColumn("_cx", span("x0", "x1", "_w")).withColumn("_cy", span("y0", "y1", "_h"))
+    side = lambda n: cells.select(*page, "_cx", "_cy", *[F.col(c).alias(f"{n}_{c}") for c in "eib"], *(["_w", "_h"] if n == "a" else []))
+    met = side("a").join(side("b"), [*page, "_cx", "_cy"]).filter("a_e < b_e")
+    corner = lambda c: F.greatest(F.col(f"a_b.{c}"), F.col(f"b_b.{c}"))
+    met = met.filter((at(corner("x0"), F.col("_w")) == F.col("_cx")) & (at(corner("y0"), F.col("_h")) == F.col("_cy")))
+    return met.select(*page, "a_e", "a_i", "b_e", "b_i", iou(F.col("a_b"), F.col("b_b")).alias("iou")).filter(F.col("iou") >= threshold)
+
+
+def _taken(pairs: DataFrame, page: list[str]) -> DataFrame:
+    """page, e, i, a_e, a_i: each box that an anchor takes. Anchors come in order of (engine, index); one that is taken itself
+    takes none, and the others take of each later engine the free box of greatest overlap, of equals the last."""
+    ship(pairs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = anchor = engine = None
+        used: set[tuple] = set()
+        free = False
+        for batch in batches:
+            keep, columns = [], [batch.column(k).to_pylist() for k in range(batch.num_columns)]
+            for k, row in enumerate(zip(*columns, strict=True)):
+                here, a, b = row[:-5], row[-5:-3], row[-3:-1]
+                if here != key:
+                    key, anchor, used = here, None, set()
+                if a != anchor:
+                    anchor, engine, free = a, None, a not in used
+                if free and b[0] != engine and b not in used:
+                    engine = b[0]
+                    used.add(b)
+                    keep.append(k)
+            if keep:
+                yield batch.take(pa.array(keep)).select(list(range(batch.num_columns - 1)))
+
+    order = [*page, "a_e", "a_i", "b_e", F.col("iou").desc(), F.col("b_i").desc()]
+    rows = pairs.select(*page, "a_e", "a_i", "b_e", "b_i", "iou").repartition(*page).sortWithinPartitions(*order)
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rows.columns if c != "iou")
+    return rows.mapInArrow(run, kinds).select(*page, F.col("b_e").alias("e"), F.col("b_i").alias("i"), "a_e", "a_i")
 
 
 def group_by_iou(boxes: DataFrame, page: list[str], threshold: float = 0.5) -> DataFrame:
     """page, grp (from 0, in order), members (array, the anchor first). Boxes in order of (engine, index) are anchors; each
-    takes from every later engine the unused box of greatest overlap, at least `threshold`, the last of equals.
-
-    The fold holds the boxes that are still free, in order: the anchor is the first of them, and an overlap is computed only
-    with free boxes of later engines that touch it."""
+    takes from every later engine the unused box of greatest overlap, at least `threshold`, the last of equals."""
     one = F.struct(
         F.col("engine_ord").cast("int").alias("e"), F.col("idx").cast("int").alias("i"), "engine", F.col("x0").cast("double").alias("x0"), F.col("y0").cast("double").alias("y0"),
         F.col("x1").cast("double").alias("x1"), F.col("y1").cast("double").alias("y1"), "text",
     )
-    pages = boxes.groupBy(*page).agg(F.array_sort(F.collect_list(one)).alias("bs"))
-    start = F.struct(F.col("bs").alias("free"), F.array().cast(f"array<array<{MEMBER}>>").alias("groups"))
-
-    def touches(a: Column, b: Column) -> Column:
-        later = b["e"] > a["e"]
-        return later if threshold <= 0 else later & (b["y0"] < a["y1"]) & (b["y1"] > a["y0"]) & (b["x0"] < a["x1"]) & (b["x1"] > a["x0"])
-
-    def matches(free: Column, a: Column) -> Column:
-        """The best box of each later engine, in their order: those that no other of the engine beats."""
-        near = F.transform(F.filter(free, lambda b: touches(a, b)), lambda b: F.struct(b["e"].alias("e"), iou(a, b).alias("v"), b["i"].alias("i"), b.alias("b")))
-        ranked = F.array_sort(F.filter(near, lambda m: m["v"] >= threshold))
-        return F.transform(F.filter(ranked, lambda m, k: (k == F.size(ranked) - 1) | (F.get(ranked, k + 1)["e"] != m["e"])), lambda m: m["b"])
-
-    def without(free: Column, taken: Column) -> Column:
-        kept = F.filter(free, lambda b: ~F.exists(taken, lambda t: (t["e"] == b["e"]) & (t["i"] == b["i"])))
-        return F.when(F.size(taken) == 0, free).otherwise(kept)
-
-    def step(acc: Column, a: Column) -> Column:
-        head = acc["free"][0]
-        mine = (F.size(acc["free"]) > 0) & (head["e"] == a["e"]) & (head["i"] == a["i"])
-        rest = F.slice(acc["free"], F.lit(2), F.size(acc["free"]))
-        found = F.transform(F.array(matches(rest, a)), lambda m: F.struct(without(rest, m).alias("free"), F.concat(acc["groups"], F.array(F.concat(F.array(a), m))).alias("groups")))[0]
-        return F.when(mine, found).otherwise(acc)
-
-    pages = pages.select(*page, F.aggregate("bs", start, step, lambda acc: acc["groups"]).alias("groups"))
-    return pages.select(*page, F.posexplode("groups").alias("grp", "members"))
+    taken = _taken(overlaps(boxes, page, threshold), page)
+    # Boxes and what has become of them lie together by page, dealt once: a box's group, the groups' order, and the groups.
+    rows = boxes.select(*page, F.col("engine_ord").cast("int").alias("e"), F.col("idx").cast("int").alias("i"), one.alias("m")).unionByName(taken, allowMissingColumns=True)
+    own = Window.partitionBy(*page, "e", "i")
+    anchor = F.coalesce(F.max(F.when(F.col("a_e").isNotNull(), F.struct("a_e", "a_i"))).over(own), F.struct(F.col("e").alias("a_e"), F.col("i").alias("a_i")))
+    rows = rows.repartition(*page).withColumn("a", anchor).filter("m is not null")
+    rows = rows.withColumn("grp", F.dense_rank().over(Window.partitionBy(*page).orderBy("a")) - 1)
+    return rows.groupBy(*page, "grp").agg(F.array_sort(F.collect_list("m")).alias("members"))
 
 
 def resolve(groups: DataFrame, min_agree: int = 1) -> DataFrame:

@@ -237,11 +237,8 @@ _IOU = lambda a, b: f"""(greatest(0.0::DOUBLE, least({a}.x1, {b}.x1) - greatest(
   WHERE a.engine_ord < b.engine_ord AND {_IOU('a', 'b')} >= 0.5""")
 def iou_pairs(spark, sf_dir):
     """All pairs of boxes of different engines on a page that overlap by half."""
-    b = fx.boxes(spark, sf_dir)
-    side = lambda n: b.select(*PAGE, F.col("engine_ord").alias(f"{n}_engine"), F.col("idx").alias(f"{n}_idx"), F.struct("x0", "y0", "x1", "y1").alias(n))
-    both = side("a").join(side("b"), PAGE).filter("a_engine < b_engine")
-    value = geo.iou(F.col("a"), F.col("b"))
-    return both.filter(value >= 0.5).select(*PAGE, "a_engine", "a_idx", "b_engine", "b_idx", F.round(value, 9).alias("iou"))
+    names = {"a_e": "a_engine", "a_i": "a_idx", "b_e": "b_engine", "b_i": "b_idx"}
+    return bx.overlaps(fx.boxes(spark, sf_dir), PAGE, 0.5).withColumnsRenamed(names).withColumn("iou", F.round("iou", 9))
 
 
 @query("boxes", """WITH c AS (SELECT doc_id, page, engine_ord, idx, greatest(0, least(CAST(floor(x0 / 3 - 1) AS INT), 200)) AS cx0, greatest(0, least(CAST(floor(y0 / 3) AS INT), 60)) AS cy0,
