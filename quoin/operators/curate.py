@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quoin.operators.components import components
 from quoin.operators.numbering import number_rows, rank_within
 from quoin.scratch import drop, stored
+from quoin.session import ship
 
 # Image types that are accepted, and those taken as thumbnails only.
 ALLOWED_MIMES = ["image/jpeg", "image/png", "image/tiff", "image/webp"]
@@ -23,30 +27,76 @@ def round_robin(items: DataFrame, source: str, order: str, source_order: str | N
     return rank_within(items, source, [order, *([source_order] if source_order else [])], "turn")
 
 
+def _blank(key: str) -> Column:
+    return F.coalesce(F.col(key).cast("string"), F.lit("")) == ""
+
+
 def first_by_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The first row of each key; rows with a blank or null key all stay."""
-    blank = F.coalesce(F.col(key).cast("string"), F.lit("")) == ""
-    # A blank key is one row's own, so that these rows are not gathered.
-    own = F.when(blank, F.struct(F.lit(None).cast("string").alias("k"), F.xxhash64(*order).alias("o"))).otherwise(F.struct(F.col(key).cast("string").alias("k"), F.lit(0).cast("long").alias("o")))
-    first = Window.partitionBy("_own").orderBy(*order)
-    return rows.withColumn("_own", own).withColumn("_rn", F.row_number().over(first)).filter((F.col("_rn") == 1) | blank).drop("_own", "_rn")
-
-
-def first_by_two_keys(rows: DataFrame, keys: tuple[str, str], order: str) -> DataFrame:
-    """Rows in order (unique), each kept unless a kept one before has its first or its second key (a blank second key
-    never counts). In each round a row that is first under both its keys is kept and all rows with its keys are settled;
-    the first row left is always such a row."""
-    a, b = keys
-    blank = F.coalesce(F.col(b).cast("string"), F.lit("")) == ""
-    second = F.when(blank, F.concat(F.lit("\x00"), F.col(order).cast("string"))).otherwise(F.col(b).cast("string"))
-    left, kept = stored(rows.withColumn("_b", second), "left"), None
+    """The first row of each key; rows with a blank or null key all stay. A key's rows are reduced where they lie first, so a
+    key that most rows have is never gathered."""
+    whole = F.struct(*[F.col(c) for c in rows.columns])
+    first = rows.filter(~_blank(key)).groupBy(F.col(key).alias("_key")).agg(F.min_by(whole, F.struct(*order)).alias("_row")).select("_row.*")
+    return first.unionByName(rows.filter(_blank(key)))
+
+
+def _rounds(left: DataFrame, most: int | None = None) -> tuple[list[DataFrame], DataFrame | None]:
+    """(tables of `o` that stay, rows that are not settled yet, or None) of rows (o, a, b). In each round a row that is first
+    under both its keys is kept and all rows with its keys are settled; the first row left is always such a row."""
+    left, kept = stored(left, "left"), []
     while left.limit(1).count():
-        first_a, first_b = (left.groupBy(k).agg(F.min(order).alias(order)) for k in (a, "_b"))
-        new = stored(left.join(first_a, [a, order], "left_semi").join(first_b, ["_b", order], "left_semi").select(*left.columns), "kept")
-        kept = new if kept is None else kept.unionByName(new)
-        settled, left = left, stored(left.join(new.select(a), a, "left_anti").join(new.select("_b"), "_b", "left_anti").select(*new.columns), "left")
+        if most is not None and len(kept) == most:
+            return kept, left
+        first_a, first_b = (left.groupBy(k).agg(F.min("o").alias("o")) for k in "ab")
+        new = stored(left.join(first_a, ["a", "o"], "left_semi").join(first_b, ["b", "o"], "left_semi").select(*left.columns), "kept")
+        kept.append(new.select("o"))
+        settled, left = left, stored(left.join(new.select("a"), "a", "left_anti").join(new.select("b"), "b", "left_anti").select(*new.columns), "left")
         drop(settled)
-    return (left if kept is None else kept).drop("_b")
+    return kept, None
+
+
+def first_by_two_keys(rows: DataFrame, keys: tuple[str, str], order: str, rounds: int = 3, most: int = 100_000) -> DataFrame:
+    """Rows in order (unique), each kept unless a kept one before has its first or its second key; a blank or null key never
+    counts. A few rounds settle what shares keys with a first row. What is left are long chains: they fall into components of
+    shared keys, each of which is gone through in order by one task that holds its keys; a component of over `most` rows is
+    settled in rounds after all."""
+    own = lambda k, n: F.when(_blank(k), F.concat(F.lit("o"), F.col(order).cast("string"))).otherwise(F.concat(F.lit("k"), F.col(k).cast("string"))).alias(n)
+    kept, left = _rounds(rows.select(F.col(order).alias("o"), *[own(k, n) for n, k in zip("ab", keys, strict=True)]), rounds)
+    if left is not None:
+        kept.append(_by_component(left, most))
+    found = reduce(lambda x, y: x.unionByName(y), kept) if kept else rows.select(F.col(order).alias("o")).limit(0)
+    return rows.join(found.withColumnRenamed("o", order), order, "left_semi").select(*rows.columns)
+
+
+def _by_component(rows: DataFrame, most: int) -> DataFrame:
+    """The `o` that stay of rows (o, a, b), component by component."""
+    ship(rows.sparkSession)
+    narrow, edges = rows.withColumn("node", F.xxhash64("o")), []
+    for k in "ab":
+        # Rows of a key hang on one of them, so a key that many rows have makes a row each.
+        hubs = narrow.groupBy(k).agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        edges.append(narrow.join(hubs, k).select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    roots = components(edges[0].unionByName(edges[1]))
+    met = stored(narrow.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "o", "a", "b"), "components")
+    large = stored(met.groupBy("root").count().filter(F.col("count") > most).select("root"), "large")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen = None, (set(), set())
+        for batch in batches:
+            keep, columns = [], [batch.column(k).to_pylist() for k in (0, 2, 3)]
+            for k, (root, a, b) in enumerate(zip(*columns, strict=True)):
+                if root != now:
+                    now, seen = root, (set(), set())
+                if a not in seen[0] and b not in seen[1]:
+                    seen[0].add(a)
+                    seen[1].add(b)
+                    keep.append(k)
+            if keep:
+                yield batch.take(pa.array(keep)).select([1])
+
+    small = met.join(large, "root", "left_anti").select("root", "o", "a", "b").repartition("root").sortWithinPartitions("root", "o")
+    kept = [small.mapInArrow(fold, f"o {rows.schema['o'].dataType.simpleString()}")]
+    kept += _rounds(met.join(large, "root", "left_semi").select("o", "a", "b"))[0] if large.limit(1).count() else []
+    return reduce(lambda x, y: x.unionByName(y), kept)
 
 
 def without_seen(rows: DataFrame, seen: DataFrame, *keys: str) -> DataFrame:

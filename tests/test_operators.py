@@ -222,8 +222,43 @@ def test_two_keys_random(spark):
     for i, t, s in rows:
         if t not in a and not (s and s in b):
             a.add(t), b.add(s), want.append(i)
-    got = curate.first_by_two_keys(spark.createDataFrame(rows, "o int, t string, s string"), ("t", "s"), "o")
-    assert sorted(r.o for r in got.collect()) == want
+    df = spark.createDataFrame(rows, "o int, t string, s string")
+    for rounds, most in ((3, 1000), (0, 1000), (1, 3), (0, 3)):
+        got = curate.first_by_two_keys(df, ("t", "s"), "o", rounds, most)
+        assert sorted(r.o for r in got.collect()) == want
+    assert curate.first_by_two_keys(df.limit(0), ("t", "s"), "o").count() == 0
+
+
+def test_two_keys_in_a_long_chain(spark, monkeypatch):
+    """Each row shares a key with the next one, so every other row stays, and each round would settle two."""
+    rows = [(i, f"t{(i + 1) // 2}", f"s{i // 2}") for i in range(2000)] + [(5000, None, None), (5001, None, "")]
+    stars = []
+    import quoin.operators.components as comp
+
+    before = comp.stored
+    monkeypatch.setattr(comp, "stored", lambda df, name, *a: stars.append(name) or before(df, name, *a))
+    got = curate.first_by_two_keys(spark.createDataFrame(rows, "o int, t string, s string").repartition(4), ("t", "s"), "o")
+    assert sorted(r.o for r in got.collect()) == [*range(0, 2000, 2), 5000, 5001]
+    assert 0 < stars.count("small-star") <= 16
+
+
+def test_hot_key_is_reduced_where_it_lies(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), (20_000 - F.col("id")).alias("o"), F.lit("x").alias("_key"))
+    first = curate.first_by_key(rows, "k", ["o"])
+    assert first.filter("k = 'hot'").first().o == 1 and first.count() == 6668
+    assert "partial_min_by" in first._jdf.queryExecution().toString()
+
+
+def test_a_page_of_very_many_boxes(spark):
+    boxes = spark.range(15_000).select(
+        F.lit(1).alias("page"), (F.col("id") % 3).cast("int").alias("engine_ord"), F.concat(F.lit("e"), F.col("id") % 3).alias("engine"), F.floor(F.col("id") / 3).cast("int").alias("idx"),
+        *[(base + d).cast("double").alias(c) for c, base, d in (
+            ("x0", F.floor(F.col("id") / 3) % 50 * 100, F.col("id") % 3), ("y0", F.floor(F.col("id") / 150) * 20, F.lit(0)), ("x1", F.floor(F.col("id") / 3) % 50 * 100, 90 + F.col("id") % 3), ("y1", F.floor(F.col("id") / 150) * 20, F.lit(18)))],
+        F.lit("t").alias("text"),
+    )
+    groups = bx.group_by_iou(boxes.repartition(8), ["page"], 0.5)
+    assert groups.agg(F.count(F.lit(1)), F.min(F.size("members")), F.max("grp")).first() == (5000, 3, 4999)
+    assert bx.overlaps(boxes, ["page"], 0.5).count() == 15_000
 
 
 def test_labelling(spark):
