@@ -257,25 +257,25 @@ def test_probabilities_of_all_words_add_up_to_one(spark):
         assert (10**logs).sum() == pytest.approx(1, abs=1e-4)
 
 
-def test_gradient_is_what_is_seen_less_what_is_expected(spark):
+def test_sums_over_contexts_are_those_over_tokens(spark):
     docs = language_docs(60)
     model, texts, _ = fit(spark, docs)
     shared = spark.sparkContext.broadcast(model)
-    for_classes, for_words = language_model._sums(texts, shared, False)
-    classes, words = np.zeros_like(for_classes), np.zeros_like(for_words)
+    contexts = language_model.contexts_of(texts).repartition(3)
+    got = [*language_model._expected(contexts, shared), language_model._seen_words(texts, shared)]
+    want = [np.zeros_like(x) for x in got]
     for r in texts.collect():
         one = two = language_model.BEFORE
         for u in np.frombuffer(bytes(r.units), np.int16).tolist():
             kind, rows, common, at, word_rows = model.parts(np.array([u]), np.array([one]), np.array([two]))
-            p, hit = model.class_shares(rows)[0], np.eye(language_model.CLASSES)[kind[0]]
             for k in rows:
-                classes[k[0]] += hit - p
-            if len(common):
-                q, hit = model.word_shares(kind, word_rows)[0], np.eye(language_model.WIDE)[at[0]]
-                for k in word_rows:
-                    words[k[0]] += hit - q
+                want[0][k[0], kind[0]] += 1
+                want[1][k[0]] += model.class_shares(rows)[0]
+            for k in word_rows if len(common) else ():
+                want[2][k[0]] += model.word_shares(kind, word_rows)[0]
+                want[3][k[0], at[0]] += 1
             one, two = u, one
-    assert np.abs(classes - for_classes).max() < 1e-2 and np.abs(words - for_words).max() < 1e-2
+    assert all(np.abs(a - b).max() < 1e-2 for a, b in zip(got, want, strict=True))
 
 
 def test_model_without_training_texts_or_rows(spark):
