@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from quoin.functions import text as tx
 from quoin.functions import years
 from quoin.functions.quality import single_letter
 from quoin.operators import boxes as bx
-from quoin.operators import curate, labeling, numbering, pixels, progress, quality, spotting
+from quoin.operators import curate, effects, labeling, numbering, pixels, progress, quality, spotting
 from quoin.operators import vote as vt
 from quoin.plans import fixtures as fx
 from quoin.plans import run as plans
@@ -1038,6 +1039,67 @@ def degrade_outcomes(spark, sf_dir):
     return out.select("doc_id", "degraded", F.coalesce("failures", F.lit(0)).alias("failures"), F.coalesce("moved", F.lit(0)).alias("moved"))
 
 
+#: Effects of the example runs. They are as plain as can be, so that what becomes of a line can be told without its pixels: a
+#: darker page reads well, a blank one does not, one effect changes nothing, one fails, and one turns the page.
+_EFFECTS = {
+    "ink": [{"name": "darken", "p": 0.5, "params": {"by": 12}}],
+    "paper": [{"one_of": [{"name": "same"}, {"name": "blank"}, {"name": "fail"}], "p": 0.6}],
+    "post": [{"name": "turn", "p": 0.05}],
+}
+
+
+def _fail(pixels_, params, rng):
+    raise RuntimeError("no ink")
+
+
+_REGISTRY = {
+    "darken": lambda x, params, rng: np.clip(x.astype(int) - params["by"], 0, 255), "same": lambda x, params, rng: x, "blank": lambda x, params, rng: np.full_like(x, 255),
+    "fail": _fail, "turn": lambda x, params, rng: np.rot90(x)[:-1],
+}
+
+
+def _drawn_effects(key: str) -> str:
+    """SQL columns of what a page with this key gets."""
+    draw = lambda place: _DRAW(f"'7|' || {key} || '|{place}'", 0)
+    below = lambda place, p: f"{draw(place)} < CAST(floor({p}::DOUBLE * 4294967296) AS BIGINT)"
+    return f"{below('ink/0/p', 0.5)} AS dark, {below('paper/0/p', 0.6)} AS paper, {draw('paper/0/one')} % 3 AS pick, {below('post/0/p', 0.05)} AS turned"
+
+
+@query("lines", f"""WITH d AS (SELECT doc_id, page, {_drawn_effects("doc_id || '|' || page")} FROM ({_PAGES}) WHERE {_DRAWN}),
+  s AS (SELECT doc_id, page, list_filter([CASE WHEN dark THEN 'ink:darken:{{"by": 12}}' END, CASE WHEN paper THEN 'paper:' || ['same', 'blank', 'fail'][CAST(pick AS INT) + 1] || ':{{}}' END, CASE WHEN turned THEN 'post:turn:{{}}' END], lambda x: x IS NOT NULL) AS s FROM d)
+  SELECT doc_id, page, unnest(range(len(s))) AS step, unnest(s) AS effect FROM s""")
+def effect_plan(spark, sf_dir):
+    """Which effects each drawn page gets, in order."""
+    steps = effects.effect_steps(_EFFECTS, 7, F.col("doc_id"), F.col("page"))
+    rows = _drawn_pages(spark, sf_dir).select("doc_id", "page", F.posexplode(steps).alias("step", "s"))
+    return rows.select("doc_id", "page", F.col("step").cast("long").alias("step"), F.concat_ws(":", "s.phase", "s.effect", "s.params").alias("effect"))
+
+
+_FILE_PAGE = "doc_id || '.pdf|' || page"
+
+
+@query("lines words", _MARKED + f""", pages AS (SELECT doc_id, page, {_DRAW(f"'7|' || {_FILE_PAGE}", 0)} < CAST(floor(0.3::DOUBLE * 4294967296) AS BIGINT) AS drawn, {_drawn_effects(_FILE_PAGE)} FROM u WHERE usable),
+  done AS (SELECT *, drawn AND paper AND pick = 2 AS failed, drawn AND turned AND NOT (paper AND pick = 2) AS moved FROM pages),
+  l AS (SELECT doc_id, drawn AND NOT failed AS touched, CASE WHEN paper AND pick = 1 THEN false WHEN dark THEN true END AS noisy FROM lines JOIN done ON done.doc_id = lines.doc_id AND done.page = lines.line_no // 20
+        WHERE lines.doc_id NOT IN (SELECT doc_id FROM done WHERE moved))
+  SELECT doc_id AS doc_ord, count(*) AS n_lines, count(*) FILTER (WHERE touched) AS on_degraded_pages, count(*) FILTER (WHERE touched AND noisy) AS noisy, count(*) FILTER (WHERE touched AND NOT noisy) AS clean FROM l GROUP BY 1""".replace("SELECT doc_id, drawn AND NOT failed", "SELECT lines.doc_id, drawn AND NOT failed"))
+def run_degraded(spark, sf_dir):
+    """A whole run over the text layer that degrades a share of its pages: which crop each line takes. A page is a picture of
+    32 columns in which a line has twelve rows of stripes, drawn from the MD5 of its text."""
+    lines_, read, words_ = _run_tables(spark, sf_dir)
+    at = F.col("line_no") % 20
+    layer = lines_.withColumns({"x0": F.lit(0), "x1": F.lit(_COLUMNS), "y0": 12 * at, "y1": 12 * at + 12})
+    stripes = F.substring(F.translate(F.md5(F.concat("text", F.lit("|"), "line_no")), "0123456789abcdef", "i" * 6 + "p" * 10), 1, _COLUMNS)
+    rows = F.repeat(F.replace(F.replace(stripes, F.lit("i"), F.lit("14")), F.lit("p"), F.lit("DC")), 12)
+    pages = lines_.groupBy("doc_ord", "page").agg(F.sort_array(F.collect_list(F.struct("line_no", rows.alias("rows")))).alias("all"))
+    image = F.struct((12 * F.size("all")).cast("int").alias("height"), F.lit(_COLUMNS).alias("width"), F.lit(1).alias("channels"), F.unhex(F.array_join(F.transform("all", lambda r: r["rows"]), "")).alias("data"))
+    pages = pages.select("doc_ord", "page", F.concat(F.lit("in/"), "doc_ord", F.lit(".pdf")).alias("file"), image.alias("image"))
+    request = RunRequest(score_threshold=0.6, pdf_ocr_fallback=False, degrade_page_share=0.3, degrade_seed=7, degrade_effects=_EFFECTS)
+    plan = plans.plan_consensus(request, lines_.drop("text"), read, words_, layer, pages=pages, effects=_REGISTRY)
+    count = lambda c, name: F.count_if(c).alias(name)
+    return plan.lines.groupBy("doc_ord").agg(F.count(F.lit(1)).alias("n_lines"), count(F.col("page_degraded"), "on_degraded_pages"), count(F.col("degraded"), "noisy"), count(~F.col("degraded"), "clean"))
+
+
 @query("lines", f"""SELECT 'in/' || doc_id || '.v1.pdf' AS file, CAST(page + 1 AS BIGINT) AS page, printf('%d.v1_p%03d.webp', doc_id, page + 1) AS image FROM ({_PAGES})""")
 def preview_log(spark, sf_dir):
     """Names of the preview pictures of all pages."""
