@@ -85,6 +85,15 @@ def _table(names: dict) -> Column:
     return F.from_json(F.lit(json.dumps(names)), "map<string,string>")
 
 
+def _named(names: dict, name: Column) -> Column:
+    """The entry of a large dictionary, or null. Maps are searched from the front, so there is one for each first letter."""
+    by_letter: dict[str, dict] = {}
+    for k, v in names.items():
+        by_letter.setdefault(k[0], {})[k] = v
+    table = F.from_json(F.lit(json.dumps(by_letter)), "map<string,map<string,string>>")
+    return F.element_at(F.element_at(table, F.substring(name, 1, 1)), name)
+
+
 def _numbered(n: Column) -> Column:
     """The character of a number, as browsers read it; nothing for those that are no characters."""
     own = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
@@ -101,8 +110,8 @@ def _resolved(name: Column) -> Column:
     big = lambda d, most: F.length(F.ltrim(d, F.lit("0"))) > most
     number = F.when(digits != "", F.when(~big(digits, 8), digits.try_cast("long"))).otherwise(F.when(~big(hexed, 7), F.conv(hexed, 16, 10).try_cast("long")))
     longest = max(map(len, BARE_NAMES))
-    begun = F.coalesce(*[F.concat(F.element_at(_table(BARE_NAMES), F.substring(name, 1, k)), F.substring(name, k + 1, 40)) for k in range(longest, 1, -1)])
-    named = F.coalesce(F.element_at(_table(html5), name), begun, F.concat(F.lit("&"), name))
+    begun = F.coalesce(*[F.concat(_named(BARE_NAMES, F.substring(name, 1, k)), F.substring(name, k + 1, 40)) for k in range(longest, 1, -1)])
+    named = F.coalesce(_named(html5, name), begun, F.concat(F.lit("&"), name))
     return F.when(name.startswith("#"), _numbered(number)).otherwise(named)
 
 

@@ -647,12 +647,12 @@ def round_robin_sources(spark, sf_dir):
 
 
 @query("catalog", """WITH r AS (SELECT doc_id, grp, row_number() OVER (PARTITION BY grp ORDER BY doc_id) AS turn FROM catalog WHERE doc_id % 10 <> 0)
-  SELECT doc_id, turn FROM r QUALIFY row_number() OVER (ORDER BY turn, grp) <= 600 - (SELECT count(*) FROM catalog WHERE doc_id % 10 = 0)""")
+  SELECT doc_id, turn FROM r QUALIFY row_number() OVER (ORDER BY turn, grp) <= (SELECT count(*) FROM catalog) * 6 // 10 - (SELECT count(*) FROM catalog WHERE doc_id % 10 = 0)""")
 def limited_run(spark, sf_dir):
-    """A run's limit of 600 entries, less those saved before; the limit is the feature."""
+    """A run's limit of six tenths of the entries, less those saved before; the limit is the feature."""
     rows = fx.catalog(spark, sf_dir).select("doc_id", "grp")
     turns = curate.round_robin(rows.filter("doc_id % 10 <> 0"), "grp", "doc_id")
-    return curate.first_new(turns, ["turn", "grp"], 600, rows.filter("doc_id % 10 = 0")).select("doc_id", "turn")
+    return curate.first_new(turns, ["turn", "grp"], rows.count() * 6 // 10, rows.filter("doc_id % 10 = 0")).select("doc_id", "turn")
 
 
 @query("catalog", """WITH o AS (SELECT 0 AS src_ord, doc_id, title FROM catalog WHERE doc_id % 3 = 1 UNION ALL SELECT 1, doc_id, title FROM catalog WHERE doc_id % 3 = 0 UNION ALL SELECT 2, doc_id, title FROM catalog WHERE doc_id % 2 = 0)

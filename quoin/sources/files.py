@@ -88,10 +88,11 @@ def is_pdf(content: Column) -> Column:
 
 
 def decode_html(raw: Column) -> Column:
-    """UTF-8, else the Cyrillic code page, which the JVM function doesn't offer."""
+    """UTF-8, else the Cyrillic code page, which the JVM function doesn't offer; only such pages go to Python workers."""
 
     @F.pandas_udf("string")
     def legacy(data):
         return data.map(lambda b: None if b is None else bytes(b).decode("cp1251", "replace"))
 
-    return F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(legacy(raw))
+    valid = F.is_valid_utf8(raw.cast("string"))
+    return F.when(valid, raw.cast("string")).otherwise(legacy(F.when(~valid, raw)))

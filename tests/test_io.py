@@ -258,6 +258,37 @@ def test_read_pages(spark):
     assert good.filter("doc_ord = 1 and page = 2").first().image.width == 3
 
 
+def test_long_document_is_read_by_many_tasks(spark):
+    def numbers():
+        class Numbers:
+            """A document is how many pages it has; page 7 is bad, and reading page 13 breaks off."""
+
+            def count(self, content):
+                return int(content)
+
+            def read(self, content, dpi, first, stop):
+                from pyspark import TaskContext
+
+                for k in range(first, stop):
+                    if k == 13:
+                        raise OSError("broken")
+                    yield ValueError("bad page") if k == 7 else {"text": f"{k} of {content.decode()}|{TaskContext.get().partitionId()}"}
+
+        return Numbers()
+
+    docs = spark.createDataFrame([(1, "pdf", bytearray(b"1000")), (2, "pdf", bytearray(b"3")), (3, "pdf", bytearray(b"x")), (4, "image", bytearray(b"1")), (5, "pdf", bytearray(b"0"))], "doc_ord bigint, kind string, content binary").coalesce(1)
+    out = pages.read_pages(docs, {"pdf": numbers}, most=50).cache()
+    long_ = {r.page: r for r in out.filter("doc_ord = 1").collect()}
+    # The range that breaks off ends there; all others are whole.
+    assert sorted(long_) == [*range(14), *range(50, 1000)] and long_[7].error == "ValueError: bad page" and long_[13].error == "OSError: broken"
+    assert all(r.text.split("|")[0] == f"{k} of 1000" for k, r in long_.items() if k not in (7, 13))
+    assert len({r.text.split("|")[1] for r in long_.values() if r.text}) >= 8
+    rest = [(r.doc_ord, r.page, r.text and r.text.split("|")[0], r.error and r.error.split(":")[0]) for r in out.filter("doc_ord > 1").orderBy("doc_ord", "page").collect()]
+    assert rest == [(2, 0, "0 of 3", None), (2, 1, "1 of 3", None), (2, 2, "2 of 3", None), (3, 0, None, "ValueError"), (4, 0, None, "LookupError")]
+    ranges = pages.page_ranges(docs, {"pdf": numbers}, 300).orderBy("first").collect()
+    assert [(r.first, r.stop) for r in ranges] == [(0, 250), (250, 500), (500, 750), (750, 1000)]
+
+
 def test_detectors(spark):
     def load():
         def find(image):
