@@ -279,11 +279,16 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, window: int = 16, gr
     anchors = stored(texts.mapInArrow(_anchors(reach, window, gram), f"doc_id {ids}, body bigint, place int, h bigint"), "anchors")
     # Stored, so that the join below has plain exchanges on both sides and AQE can split a passage that very many share.
     twice = stored(anchors.groupBy("h").count().filter("count > 1").select("h"), "repeated")
-    mine = stored(anchors.join(twice, "h", "left_semi").select("doc_id", "body", "place").groupBy("doc_id", "body").agg(F.array_distinct(F.collect_list("place")).alias("places")), "candidates")
+    places = F.collect_set("place")
+    mine = stored(anchors.join(twice, "h", "left_semi").groupBy("doc_id", "body").agg(places.alias("places"), (F.count(F.lit(1)) / F.size(places)).alias("rows")), "candidates")
     mine = mine.withColumnRenamed("doc_id", "_id").withColumnRenamed("body", "_body")
-    met = texts.join(mine, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("body") == F.col("_body"))).select("doc_id", "body", "text", "places")
+    met = texts.join(mine, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("body") == F.col("_body"))).select("doc_id", "body", "text", "places", "rows")
+    if mine.filter("rows > 2").limit(1).count():
+        # Two rows of those that share identifier and text say all: each has the other as its neighbour.
+        often = met.filter("rows > 2").groupBy("doc_id", "body").agg(*[F.first(c).alias(c) for c in ("text", "places", "rows")])
+        met = met.filter("rows <= 2").unionByName(often.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_copy"))
     kind = f"doc_id {ids}, body bigint, place int, h bigint, h2 bigint, left binary, right binary"
-    rows = stored(met.mapInArrow(_contexts(reach, side), kind), "contexts")
+    rows = stored(met.drop("rows").mapInArrow(_contexts(reach, side), kind), "contexts")
     found = _compared(rows, "left", side).unionByName(_compared(rows, "right", side))
     # By document first, so that the places of one need no second exchange.
     best = found.repartition("doc_id", "body").groupBy("doc_id", "body", "place").agg(F.bit_or("marks").alias("marks"), F.max("left_n").alias("left_n"), F.max("right_n").alias("right_n"))

@@ -5,6 +5,7 @@ from hashlib import sha256
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quoin.llm.components import components
 from quoin.llm.exact_dedup import DigestIndex, exact_dedup
@@ -241,6 +242,22 @@ def test_repeated_passages_need_one_partner(spark):
     assert dict(got) == {i: v for i, v in covered(rows, 42).items() if v} and got
 
 
+def test_repeated_rows_are_not_gathered(spark, monkeypatch):
+    """Very many rows with one text and no identifier: its places are held once, and two rows of them are compared."""
+    from quoin.llm import suffix_dedup
+
+    rng, held = random.Random(8), {}
+    page = " ".join(f"w{rng.randrange(900)}" for _ in range(300))
+    rows = spark.range(20_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(page).alias("text"))
+    rows = rows.unionByName(spark.createDataFrame([(7, "x y " + page), (8, "alone " * 3)], "doc_id bigint, text string"))
+    keep = suffix_dedup.stored
+    monkeypatch.setattr(suffix_dedup, "stored", lambda df, name, *a: held.setdefault(name, keep(df, name, *a)))
+    out = sorted(map(tuple, repeated_passages(rows).collect()), key=str)
+    assert out == [(7, 2, 300), (None, 0, 300)]
+    most = held["candidates"].agg(F.max(F.size("places"))).first()[0]
+    assert most < 60 and held["contexts"].filter("doc_id is null").count() <= 2 * most
+
+
 def test_repeated_passages_edges(spark):
     assert repeated_passages(frame(spark, [])).collect() == []
     long = " ".join(f"u{i}" for i in range(30_000))
