@@ -22,12 +22,17 @@ from quoin.scratch import drop, stored
 LANGUAGES = ("en",)
 
 
+#: Fingerprints of a text, over its different pairs of words: with one alone, half of the texts that differ in a few words of
+#: a hundred are missed.
+SKETCHES = 3
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return known_language(docs, LANGUAGES)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_first(docs)
+    return keep_first(docs, shingle=2, sketches=SKETCHES)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,10 @@ variant to one of them keeps every component. Variants are dealt by a prefix of
 each prefix that its variants reach, with the flips that it has left, and the variants are made where they are compared.
 A prefix with more than `most_variants` of them is dealt again by further bits, so no task gets a dense cluster whole.
 
+One fingerprint misses pairs whose texts differ in a few words of a hundred, and a wider radius has too many variants. With
+several `sketches` a text has as many fingerprints, of its different shingles hashed in as many ways, and texts are linked if
+any two of a kind are within the radius.
+
 Defined cases: a null, empty or wordless text has fingerprint zero and is linked like any other; repeated rows share
 their fingerprint; a null identifier never becomes a component's name unless all are null; an empty table works; a very
 long text is hashed whole, in pieces of 65,536 shingles; further columns are ignored by near_components.
@@ -14,6 +18,7 @@ long text is hashed whole, in pieces of 65,536 shingles; further columns are ign
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -49,17 +54,44 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, also: list[str] = []) -> DataFrame:  # noqa: B006
-    """doc_id, fp: the fingerprint's 64 bits as a long; and the columns `also` as they are."""
+def sketches_of(text: str | None, shingle: int, count: int) -> list[int]:
+    """`count` fingerprints of the text's different shingles, from their XXH64 mixed with as many constants."""
+    words = text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
+    if not words:
+        return [0] * count
+    n, hashed = max(1, len(words) - shingle + 1), xxhash.xxh64_intdigest
+    h = np.unique(np.array([hashed(b" ".join(words[i : i + shingle]), 42) for i in range(n)], np.uint64))
+    out = []
+    for k in range(count):
+        counts = np.zeros(BITS, np.int64)
+        for i in range(0, len(h), 1 << 16):
+            x = h[i : i + (1 << 16)] + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+            counts += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)[0]))
+    return out
+
+
+def _names(sketches: int) -> list[str]:
+    return ["fp", *(f"fp{k}" for k in range(1, sketches))]
+
+
+def fingerprints(docs: DataFrame, shingle: int = 4, also: list[str] = [], sketches: int = 1) -> DataFrame:  # noqa: B006
+    """doc_id, fp: the fingerprint's 64 bits as a long; with more sketches fp1, fp2, ...; and the columns `also` as they are."""
+    names = _names(sketches)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            fp = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), *batch.columns[2:]], names=["doc_id", "fp", *also])
+            texts = batch.column(1).to_pylist()
+            found = [sketches_of(t, shingle, sketches) for t in texts] if sketches > 1 else [[fingerprint(t, shingle)] for t in texts]
+            fps = np.array(found, np.uint64).reshape(len(texts), sketches).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fps[:, k]) for k in range(sketches)), *batch.columns[2:]], names=["doc_id", *names, *also])
 
     ship(docs.sparkSession)
     kinds = dict(docs.dtypes)
-    return docs.select("doc_id", "text", *also).mapInArrow(run, ", ".join([f"doc_id {kinds['doc_id']}, fp bigint", *(f"{c} {kinds[c]}" for c in also)]))
+    return docs.select("doc_id", "text", *also).mapInArrow(run, ", ".join([f"doc_id {kinds['doc_id']}", *(f"{c} bigint" for c in names), *(f"{c} {kinds[c]}" for c in also)]))
 
 
 def flips(bits: range, most: int) -> list[tuple[int, int]]:
@@ -168,16 +200,29 @@ def ball_links(fps: DataFrame, radius: int = 4, most_variants: int = 1_000_000,
         rows, done = _routed(more, done, step, half), done + step
 
 
-def near_components(docs: DataFrame, radius: int = 4, shingle: int = 4, also: list[str] = [], **how) -> DataFrame:  # noqa: B006
-    """doc_id, fp, component_id (the smallest doc_id of the component), root (the smallest fingerprint of it), links of
-    equal fingerprints included; and the columns `also` as they are."""
-    rows = stored(fingerprints(docs, shingle, also), "fingerprints")
-    fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    roots = components(ball_links(fps.select("fp"), radius, **how))
-    named = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+def near_components(docs: DataFrame, radius: int = 4, shingle: int = 4, also: list[str] = [], sketches: int = 1, **how) -> DataFrame:  # noqa: B006
+    """doc_id, fp, component_id (the smallest doc_id of the component), root (the component's name), links of equal
+    fingerprints included; and the columns `also` as they are."""
+    names = _names(sketches)
+    # A class is what documents with the same fingerprints are; with one sketch it is the fingerprint itself.
+    own = F.col("fp") if sketches == 1 else F.xxhash64(*names)
+    rows = stored(fingerprints(docs, shingle, also, sketches).withColumn("class", own), "fingerprints")
+    classes = stored(rows.groupBy("class", *names).agg(F.min("doc_id").alias("first_id")), "distinct")
+    edges = []
+    for c in names:
+        hubs = classes.select(F.col(c).alias("fp"), "class").groupBy("fp").agg(F.min("class").alias("hub")) if sketches > 1 else None
+        links = ball_links(classes.select("fp") if hubs is None else (hubs := stored(hubs, "hubs")).select("fp"), radius, **how)
+        if hubs is not None:
+            edges.append(classes.join(hubs, classes[c] == hubs["fp"]).select(F.col("class").alias("a"), F.col("hub").alias("b")).filter("a <> b"))
+            for side in ("a", "b"):
+                links = links.join(hubs.withColumnsRenamed({"fp": side, "hub": f"_{side}"}), side)
+            links = links.select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+        edges.append(links)
+    roots = components(reduce(DataFrame.unionByName, edges))
+    named = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_fp = stored(named.join(least, "root").select("fp", "component_id", "root"), "components")
-    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id", "root", *also)
+    by_class = stored(named.join(least, "root").select("class", "component_id", "root"), "components")
+    return rows.join(by_class, "class").select("doc_id", "fp", "component_id", "root", *also)
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
@@ -191,7 +236,7 @@ def keep_first(docs: DataFrame, **how) -> DataFrame:
     columns. Other columns, whatever they are called, stay as they are."""
     key = F.xxhash64("text").alias("h")
     found = stored(near_components(docs.select("doc_id", "text", key), also=["h"], **how), "near")
-    # The component's root is a fingerprint: null and repeated identifiers are told apart by it.
+    # The component's root comes of fingerprints: null and repeated identifiers are told apart by it.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "h"))
     kept = found.groupBy("root").agg(first.alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h"))
     rows = docs.select(F.struct("*").alias("row"), "doc_id", key)

@@ -10,7 +10,7 @@ import corpus_pipeline
 from quoin.llm import registry
 from quoin.llm.decontaminate import words_of
 from quoin.llm.language_id import _judge, least_score, train
-from quoin.llm.simhash import fingerprint
+from quoin.llm.simhash import fingerprint, near_components, sketches_of
 
 PARTS = {"en": ["tion", "the", "ing", "wh", "ea"], "de": ["ung", "sch", "ein", "ß", "keit"], "fr": ["que", "é", "eau", "oi", "ment"]}
 
@@ -49,9 +49,9 @@ def folder(spark, tmp_path_factory):
     return str(d)
 
 
-def components_of(texts):
-    """{id: smallest id reachable} over fingerprints at most four bits apart."""
-    ids, fps, root = sorted(texts), {i: fingerprint(t) for i, t in texts.items()}, {}
+def components_of(texts, prints=lambda t: [fingerprint(t)]):
+    """{id: smallest id reachable} over fingerprints of a kind at most four bits apart."""
+    ids, fps, root = sorted(texts), {i: prints(t) for i, t in texts.items()}, {}
     for i in ids:
         if i in root:
             continue
@@ -59,7 +59,7 @@ def components_of(texts):
         while todo:
             a = todo.pop()
             for b in ids:
-                if b not in root and (fps[a] ^ fps[b]).bit_count() <= 4:
+                if b not in root and any((x ^ y).bit_count() <= 4 for x, y in zip(fps[a], fps[b], strict=True)):
                     root[b] = i
                     todo.append(b)
     return root
@@ -80,7 +80,7 @@ def test_pipeline_against_plain_version(spark, folder):
     least = least_score(len(PARTS), 0.25)
     known = [r[0] for r, lang, score in zip(rows, langs, scores, strict=True) if lang in corpus_pipeline.LANGUAGES and score >= least]
     assert {280, 281, 282}.isdisjoint(known) and 0 < len(known) < len(rows) / 2
-    near = components_of({i: text[i] for i in known})
+    near = components_of({i: text[i] for i in known}, lambda t: sketches_of(t, 2, corpus_pipeline.SKETCHES))
     clean = [i for i in known if near[i] == i and not hit(text[i], items)]
 
     docs, seen = spark.read.parquet(f"{folder}/documents.parquet"), []
@@ -105,6 +105,31 @@ def test_pipeline_against_plain_version(spark, folder):
     assert max(shards.values()) - min(shards.values()) <= 1 and all(sorted(r.slot for r in out if r.shard == k) == list(range(n)) for k, n in shards.items())
 
 
+def test_near_copies_are_found_and_others_left_alone(spark):
+    """Of documents with an earlier one of similarity 0.8 or more (five-word shingles) nine tenths go at least, of all pairs as
+    many are linked; documents that are nothing of the kind stay."""
+    rng = random.Random(31)
+    vocabulary = ["".join(rng.choice(PARTS["en"]) for _ in range(rng.randrange(1, 4))) + str(k % 50) for k in range(400)]
+    common = ["the", "of", "and", "in", "to"]
+    word = lambda: rng.choice(common) if rng.random() < 0.3 else rng.choice(vocabulary)
+    docs = [[word() for _ in range(rng.randrange(20, 600))] for _ in range(150)]
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    copies = []
+    for k in range(150):
+        for _ in range(2):
+            w = list(docs[k])
+            for _ in range(rng.randrange(1, max(2, len(w) // 45))):
+                w[rng.randrange(len(w))] = word()
+            copies.append((k, w))
+    sets = [shingles(w) for w in docs]
+    same = [(k, len(sets[k] & shingles(w)) / len(sets[k] | shingles(w))) for k, w in copies]
+    rows = [(i, " ".join(w)) for i, w in enumerate(docs)] + [(150 + i, " ".join(w)) for i, (_, w) in enumerate(copies)]
+    found = {r.doc_id: r.component_id for r in near_components(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=2, sketches=corpus_pipeline.SKETCHES).collect()}
+    near = [(150 + i, k) for i, (k, j) in enumerate(same) if 0.8 <= j < 1]
+    assert len(near) > 150 and sum(found[a] == found[b] for a, b in near) >= 0.9 * len(near)
+    assert all(found[k] == k for k in range(150))
+
+
 def test_pipeline_edge_cases(spark, tmp_path):
     """Null and repeated identifiers, null texts, clashing further columns; and empty tables."""
     rng = random.Random(2)
