@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quoin.functions.text import format_line
+from quoin.scratch import stored
 
 
 def dataset_lines(lines: DataFrame, with_size: bool = False) -> DataFrame:
@@ -74,6 +75,30 @@ def write_status(recs: DataFrame, path: str) -> None:
     recs.filter("is_marked").select(F.col("name").alias("value")).distinct().orderBy("value").write.mode("overwrite").text(path)
 
 
+def remove_files(paths: DataFrame, remove: Callable[[str], None], path: str = "path") -> DataFrame:
+    """Calls remove(path) for each path where it lies; gives (path, error) of those that failed."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            bad = []
+            for p in b[path]:
+                try:
+                    remove(p)
+                except Exception as e:  # one file never fails the run
+                    bad.append((p, str(e)))
+            yield pd.DataFrame(bad, columns=["path", "error"])
+
+    return paths.select(path).mapInPandas(run, "path string, error string")
+
+
+def delete_with_files(recs: DataFrame, names: DataFrame, remove: Callable[[str], None]) -> tuple[DataFrame, DataFrame]:
+    """(recs without the named ones, errors by path): a record whose file can't be removed stays."""
+    marked = recs.join(names.select("name").distinct(), "name", "left_semi")
+    bad = stored(remove_files(marked, remove), "kept-files")
+    gone = stored(marked.join(bad, "path", "left_anti").select("name"), "deleted")
+    return recs.join(gone, "name", "left_anti").select(*recs.columns), bad
+
+
 def save_crops(crops: DataFrame, put: Callable[[str, dict], None], image: str = "image", path: str = "crop") -> DataFrame:
     """Hands each image to put(path, image) where it lies; gives (path, error) of those that failed. Writing a path again
     replaces it, so a task that runs twice does no harm."""

@@ -79,6 +79,15 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return files.exists(where) and files.getFileStatus(where).isDirectory()
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Renames a file or a folder to a name that is free."""
+    where, files = _files(spark, path)
+    target = _files(spark, to)[0]
+    files.mkdirs(target.getParent())
+    if files.exists(target) or not files.rename(where, target):
+        raise OSError(f"{path} can't be moved to {to}")
+
+
 def delete(spark: SparkSession, path: str) -> None:
     where, files = _files(spark, path)
     files.delete(where, True)

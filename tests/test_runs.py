@@ -13,6 +13,7 @@ from quoin.plans.lease import Lease, RunActive
 from quoin.plans.passes import BOXES, Ledger, run_passes
 from quoin.plans.request import RunRequest
 from quoin.plans.run import Plan
+from quoin.sinks import backup, delete_with_files
 from quoin.sources.deadline import Calls, EngineGroup, detect_in_time
 from quoin.sources.readings import BoxSource
 from quoin.streaming import progress as live
@@ -371,3 +372,52 @@ def test_breaker_switches_off_what_follows_over_batches(spark, tmp_path):
     got = {(r.engine, r.seq): (r.off, r.broken_at) for r in live.collected(live.breaker_stream(calls, "job")).collect()}
     assert [got["slow", s] for s in (3, 4, 5, 9)] == [(False, None), (False, 4), (True, 4), (True, 4)]
     assert all(got["fast", s] == (False, None) for s in range(10))
+
+
+# --- saved versions -------------------------------------------------------------------------------------------------------
+
+
+def test_saves_keep_the_newest_backups_and_can_be_restored(spark, tmp_path):
+    path = str(tmp_path / "labels")
+    now = lambda: sorted(r.value for r in spark.read.text(path).collect())
+    for k in range(8):
+        backup.save(spark, path, lambda to: spark.createDataFrame([(f"version {k}",)], "value string").write.text(to), "edit" if k else "manual")  # noqa: B023
+    have = backup.backups(spark, path)
+    assert now() == ["version 7"] and len(have) == backup.KEEP and {b["operation"] for b in have} == {"edit"}
+    read = lambda b: spark.read.text(f"{path}.backups/{b['file']}").first().value
+    assert [read(b) for b in have] == [f"version {k}" for k in (6, 5, 4, 3, 2)]
+    assert len([p for p in (tmp_path / "labels.backups").iterdir() if p.name != "index"]) == backup.KEEP
+    assert backup.restore(spark, path, have[2]["file"]) and now() == ["version 4"]
+    assert [read(b) for b in backup.backups(spark, path)] == [f"version {k}" for k in (7, 6, 5, 3, 2)]
+    assert not backup.restore(spark, path, "no such backup") and now() == ["version 4"]
+
+
+def test_save_that_fails_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "labels")
+    backup.save(spark, path, lambda to: spark.createDataFrame([("old",)], "value string").write.text(to))
+
+    def broken(to):
+        spark.createDataFrame([("half",)], "value string").write.text(to)
+        raise OSError("disk full")
+
+    with pytest.raises(OSError):
+        backup.save(spark, path, broken)
+    # A new version may be made from the old one.
+    backup.save(spark, path, lambda to: spark.read.text(path).selectExpr("concat(value, '+') as value").write.text(to))
+    assert spark.read.text(path).first().value == "old+" and len(backup.backups(spark, path)) == 1
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["labels", "labels.backups"]
+
+
+def test_record_whose_file_cannot_be_removed_stays(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.webp").write_text("x")
+    recs = spark.createDataFrame([(f"{k}.webp", str(tmp_path / f"{k}.webp"), "t") for k in range(4)], "name string, path string, text string")
+
+    def remove(path):
+        import os
+
+        os.remove(path)
+
+    left, bad = delete_with_files(recs, spark.createDataFrame([("1.webp",), ("3.webp",)], "name string"), remove)
+    assert sorted(r.name for r in left.collect()) == ["0.webp", "2.webp", "3.webp"] and left.columns == recs.columns
+    assert [r.path.endswith("3.webp") for r in bad.collect()] == [True] and sorted(p.name for p in tmp_path.glob("*.webp")) == ["0.webp", "2.webp"]
