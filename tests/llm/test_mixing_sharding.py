@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quoin.llm.mixing import mix, mixed_rows
+from quoin.llm.mixing import mix, mixed_rows, rounded
 from quoin.llm.sharding import _hypergeometric, communication_matrix, sharded
 
 SCHEMA = "doc_id bigint, text string, source string, _copies int, shard int, row string"
@@ -72,6 +72,24 @@ def test_mix_is_unbiased_and_repeatable(spark):
     assert len({v for v in picked.values()}) > 2 and max(picked.values()) <= 24
 
 
+def test_rounding_keeps_each_expectation(spark):
+    """5,000 sources, each with the same five units: a unit ends with 0 or its size, but for one a source; a source's sum stays
+    as it is; and over the sources a unit ends with its own mass on average, within four standard deviations."""
+    units = [(3.0, 1.2), (5.0, 2.0), (1.0, 0.9), (7.0, 0.7), (2.0, 1.5)]
+    one = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(size).alias("size"), F.lit(m).alias("m")) for k, (size, m) in enumerate(units)]))
+    rows = spark.range(5000).select(F.col("id").alias("sid"), F.lit(5).cast("long").alias("n"), one.alias("u")).select("sid", "n", (F.col("sid") * 5 + F.col("u.k")).alias("key"), "u.size", "u.m")
+    by_fan = []
+    for fan in (16, 2):
+        out = rounded(rows, fan=fan).withColumn("k", F.col("key") % 5).withColumn("sid", F.floor(F.col("key") / 5)).cache()
+        assert out.groupBy("sid").agg(F.sum("settled").alias("s")).filter(F.abs(F.col("s") - sum(m for _, m in units)) > 1e-9).count() == 0
+        fractional = out.filter(" and ".join(f"not (k = {k} and (settled < 1e-9 or settled > {size} - 1e-9))" for k, (size, _) in enumerate(units)))
+        assert fractional.groupBy("sid").count().filter("count > 1").count() == 0
+        means = {r.k: (r.mean, r.sd / 5000**0.5) for r in out.groupBy("k").agg(F.avg("settled").alias("mean"), F.stddev("settled").alias("sd")).collect()}
+        assert all(abs(means[k][0] - m) < 4 * means[k][1] for k, (_, m) in enumerate(units)), means
+        by_fan.append(sorted(map(tuple, out.select("key", "settled").collect())))
+    assert by_fan[0] == sorted(map(tuple, rounded(rows.repartition(7), fan=16).collect()))  # partitions don't matter
+
+
 def test_mixed_rows(spark):
     rows = sample(2)
     docs = frame(spark, rows)
