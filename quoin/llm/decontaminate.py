@@ -116,6 +116,20 @@ def automaton(block: list[tuple[str | None, list[bytes]]], width: int):
     return number, out if found else None
 
 
+#: How many automata this process has built.
+BUILT = 0
+
+
+def _machine(block, width: int):
+    """The automaton of a block that was sent to all workers: built once in a worker process, whatever the number of its tasks."""
+    global BUILT
+    made = block.__dict__.get("_quoin_machine")
+    if made is None or made[0] != width:
+        made = block._quoin_machine = (width, *automaton(block.value, width))
+        BUILT += 1
+    return made[1:]
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -128,7 +142,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _scan(block, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, machine = automaton(block.value, width)
+        number, machine = _machine(block, width)
         for batch in slices(batches):
             counts, spans, items = [], [], []
             for text in batch.column(1).to_pylist():
@@ -205,7 +219,7 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, width: int = 10,
 def _clean(block, width: int, most_hit: float):
     @F.pandas_udf("boolean")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        number, machine = automaton(block.value, width)
+        number, machine = _machine(block, width)
 
         def share(text: str | None) -> float:
             words = words_of(text)

@@ -198,3 +198,25 @@ def test_identifiers_of_any_type(spark):
         out = contamination_report(docs, items, width=2, block_windows=block).collect()
         assert sorted((str(r.doc_id), r.n_hit, r.n_items) for r in out) == [("None", 0, 0), ("x", 3, 2), ("x", 3, 2)]
         assert [r.text for r in clean_documents(docs, items, width=2, block_windows=block).collect()] == ["nine"]
+
+
+def test_automaton_is_built_once_a_worker(spark):
+    """Forty tasks over the same benchmark: the processes that ran them have built one automaton each at the utmost."""
+    docs = spark.range(400).repartition(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("one two three "), "id").alias("text"))
+    items = spark.createDataFrame([(1, "two three 7")], "item_id bigint, text string")
+
+    def built(batches):
+        import os
+
+        import pandas as pd
+
+        from quoin.llm import decontaminate
+
+        for b in batches:
+            yield pd.DataFrame({"pid": [os.getpid()], "n": [decontaminate.BUILT]})
+
+    counts = lambda: {r.pid: r.n for r in spark.range(64).repartition(16).mapInPandas(built, "pid long, n long").collect()}
+    before = counts()
+    assert contamination(docs, items).filter("size(spans) > 0").count() == 1
+    after = counts()
+    assert sum(after.values()) > 0 and all(n - before.get(pid, 0) <= 1 for pid, n in after.items())
