@@ -2,14 +2,15 @@
 
 The next word's probability is factored by classes: P(class | history) * P(word | class, history). Frequent words fall into
 classes of WIDE words by frequency; all others into classes by their ending. Features of the history are the word before, the
-one before that (a skip) and both together; each is hashed to a row of weights, one row for the classes and, together with a
-class, one for the words in it. Weights multiply what plain counts say (so a model without weights is the base score); within
+one before that (a skip) and both together. Every unit (a frequent word or a class of rare ones) at either place has a row of
+weights of its own for the classes and, together with a class, one for the words in it; only pairs of units, which are too many
+for that, are hashed to rows. Weights multiply what plain counts say (so a model without weights is the base score); within
 a class of rare words the counts alone decide. Every class of rare words has room for one unseen word, as the base has.
 
 All training texts are counted, and all of them are used in training. What a gradient needs of a text is how often each class
 follows each two units, and these contexts are counted once over the corpus: 1073 x 1073 x 64 numbers at most. Weights start
 from what the features are seen with; each update then goes over all contexts in tasks that add up what the model expects, the
-sums meet by a shuffle of weight rows, and the driver holds the weights alone (5 MB), whatever the size of the corpus.
+sums meet by a shuffle of weight rows, and the driver holds the weights alone (10 MB), whatever the size of the corpus.
 Words are encoded once, as numbers of two bytes; counts of the LISTED most frequent words go to the workers, those of all
 others meet the documents in a join.
 
@@ -48,8 +49,9 @@ WORDS = WIDE * FREQUENT
 BEFORE = WORDS + RARE
 #: Most words whose counts are sent to the workers; the end of a text among words.
 LISTED, END = 1 << 18, b"\n"
-#: Rows of weights for classes, and for words; words that are scored as one array, and counts a worker holds.
-CLASS_ROWS, WORD_ROWS, CHUNK, HELD = 1 << 12, 1 << 14, 1 << 14, 400_000
+#: Rows of weights for classes, and for words: in each class of frequent words one for each unit before and for each one before
+#: that; words that are scored as one array, and counts a worker holds.
+CLASS_ROWS, WORD_ROWS, CHUNK, HELD = 1 << 12, 2 * (BEFORE + 1) * FREQUENT, 1 << 14, 400_000
 #: Fixed point in which gradients are added up, so that their order doesn't matter.
 FINE = 1 << 16
 #: Words for each task of a counting pass, and contexts for each task of an update.
@@ -142,8 +144,8 @@ class Model:
 
     def word_features(self, kind: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
         """Rows for words of a class: it with the word before, and it with the one before that."""
-        own = WORD_ROWS // FREQUENT
-        return kind * own + one % (own // 2), kind * own + own // 2 + two % (own // 2)
+        plain = BEFORE + 1
+        return 2 * plain * kind + one, 2 * plain * kind + plain + two
 
     def class_shares(self, rows: tuple[np.ndarray, ...]) -> np.ndarray:
         return _shares(sum((self.for_classes[r] for r in rows[1:]), self.for_classes[rows[0]] + self.class_prior))

@@ -259,6 +259,15 @@ def test_probabilities_of_all_words_add_up_to_one(spark):
         assert (10**logs).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_every_unit_has_its_own_rows_in_every_class():
+    model, units = language_model.Model([], [], 0, 0, {}), np.arange(language_model.BEFORE + 1)
+    kind, unit = (x.ravel() for x in np.meshgrid(np.arange(language_model.FREQUENT), units))
+    rows = np.concatenate(model.word_features(kind, unit, unit))
+    assert np.array_equal(np.sort(rows), np.arange(language_model.WORD_ROWS))
+    one, two, _ = model.features(units, units)
+    assert len(np.unique(np.concatenate((one, two)))) == 2 * len(units)
+
+
 def test_sums_over_contexts_are_those_over_tokens(spark):
     docs = language_docs(60)
     model, texts, _ = fit(spark, docs)
