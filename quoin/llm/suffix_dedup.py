@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quoin.llm.arrow import slices
-from quoin.scratch import stored
+from quoin.scratch import FEW_PROCESSES, stored
 from quoin.session import ship
 
 BASE, SECOND_BASE = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
@@ -204,13 +204,17 @@ def _neighbours(by_left: bool, side: int):
     return run
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    return stored(df, name, FEW_PROCESSES)
+
+
 def _compared(rows: DataFrame, by: str, side: int) -> DataFrame:
     """(OUT): rows sorted over range partitions, neighbours compared, also across partitions."""
     spark, ids = rows.sparkSession, dict(rows.dtypes)["doc_id"]
     order = ["h", "h2", by, "right" if by == "left" else "left", "doc_id", "body", "place"]
     kind = f"doc_id {ids}, body bigint, place int, marks bigint, left_n int, right_n int"
     found = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours(by == "left", side), f"{kind}, h bigint, h2 bigint, left binary, right binary, edge int, part int")
-    found = stored(found, f"{by}-order")
+    found = _kept(found, f"{by}-order")
     edges = found.filter("edge is not null").orderBy("part", "edge").collect()  # two rows for each partition
     met = []
     for a, b in zip(edges, edges[1:], strict=False):
@@ -276,11 +280,11 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, window: int = 16, gr
     ship(docs.sparkSession)
     ids = dict(docs.dtypes)["doc_id"]
     texts = docs.select("doc_id", F.xxhash64("text").alias("body"), "text")
-    anchors = stored(texts.mapInArrow(_anchors(reach, window, gram), f"doc_id {ids}, body bigint, place int, h bigint"), "anchors")
+    anchors = _kept(texts.mapInArrow(_anchors(reach, window, gram), f"doc_id {ids}, body bigint, place int, h bigint"), "anchors")
     # Stored, so that the join below has plain exchanges on both sides and AQE can split a passage that very many share.
-    twice = stored(anchors.groupBy("h").count().filter("count > 1").select("h"), "repeated")
+    twice = _kept(anchors.groupBy("h").count().filter("count > 1").select("h"), "repeated")
     places = F.collect_set("place")
-    mine = stored(anchors.join(twice, "h", "left_semi").groupBy("doc_id", "body").agg(places.alias("places"), (F.count(F.lit(1)) / F.size(places)).alias("rows")), "candidates")
+    mine = _kept(anchors.join(twice, "h", "left_semi").groupBy("doc_id", "body").agg(places.alias("places"), (F.count(F.lit(1)) / F.size(places)).alias("rows")), "candidates")
     mine = mine.withColumnRenamed("doc_id", "_id").withColumnRenamed("body", "_body")
     met = texts.join(mine, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("body") == F.col("_body"))).select("doc_id", "body", "text", "places", "rows")
     if mine.filter("rows > 2").limit(1).count():
@@ -288,17 +292,17 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, window: int = 16, gr
         often = met.filter("rows > 2").groupBy("doc_id", "body").agg(*[F.first(c).alias(c) for c in ("text", "places", "rows")])
         met = met.filter("rows <= 2").unionByName(often.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_copy"))
     kind = f"doc_id {ids}, body bigint, place int, h bigint, h2 bigint, left binary, right binary"
-    rows = stored(met.drop("rows").mapInArrow(_contexts(reach, side), kind), "contexts")
+    rows = _kept(met.drop("rows").mapInArrow(_contexts(reach, side), kind), "contexts")
     found = _compared(rows, "left", side).unionByName(_compared(rows, "right", side))
     # By document first, so that the places of one need no second exchange.
     best = found.repartition("doc_id", "body").groupBy("doc_id", "body", "place").agg(F.bit_or("marks").alias("marks"), F.max("left_n").alias("left_n"), F.max("right_n").alias("right_n"))
-    places = stored(best, "places")
-    open_ = stored(places.filter(_undecided(side) != 0).select("doc_id", "body", "place"), "undecided")
+    places = _kept(best, "places")
+    open_ = _kept(places.filter(_undecided(side) != 0).select("doc_id", "body", "place"), "undecided")
     marked = places.select("doc_id", "body", "place", "marks")
     if open_.limit(1).count():
         same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["body"] == b["body"]) & (a["place"] == b["place"])
-        keys = stored(rows.join(open_, same(rows, open_), "left_semi").select("h", "h2").distinct(), "undecided-keys")
-        hashed = stored(rows.join(keys, ["h", "h2"], "left_semi").select(*rows.columns).mapInArrow(_passages(side), f"doc_id {ids}, body bigint, place int, marks bigint, passage binary"), "passages")
+        keys = _kept(rows.join(open_, same(rows, open_), "left_semi").select("h", "h2").distinct(), "undecided-keys")
+        hashed = _kept(rows.join(keys, ["h", "h2"], "left_semi").select(*rows.columns).mapInArrow(_passages(side), f"doc_id {ids}, body bigint, place int, marks bigint, passage binary"), "passages")
         more = hashed.groupBy("passage").count().filter("count > 1").select("passage")
         marked = marked.unionByName(hashed.join(more, "passage", "left_semi").select(*marked.columns))
     by_doc = marked.filter("marks <> 0").groupBy("doc_id", "body").agg(F.collect_list(F.struct("place", "marks")).alias("found"))

@@ -7,6 +7,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Options for tables of many files. In a local folder they are written without checksum files: where its native library is missing,
+#: Hadoop starts a process (chmod) in the executor for each file, each checksum file and each task's folder. Until it is loaded, such a
+#: process shares the executor's memory, and a reading of memory counts all of it twice. Folders of other kinds are not affected.
+FEW_PROCESSES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; in a single-JVM session without one, a new temporary folder."""

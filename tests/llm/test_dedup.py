@@ -1,6 +1,8 @@
 import random
 from collections import defaultdict
 from hashlib import sha256
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
@@ -258,6 +260,18 @@ def test_repeated_rows_are_not_gathered(spark, monkeypatch):
     assert most < 60 and held["contexts"].filter("doc_id is null").count() <= 2 * most
 
 
+def test_repeated_passages_store_no_checksum_files(spark, monkeypatch):
+    """Each would cost an executor one more process."""
+    from quoin.llm import suffix_dedup
+
+    keep, made = suffix_dedup.stored, []
+    monkeypatch.setattr(suffix_dedup, "stored", lambda *a: made.append(keep(*a)) or made[-1])
+    text = " ".join(f"u{i}" for i in range(80))
+    assert repeated_passages(frame(spark, [(1, text), (2, "a " + text)])).count() == 2
+    files = [[p.name for p in Path(urlparse(t._scratch).path).iterdir()] for t in made]
+    assert len(made) > 5 and all("_SUCCESS" in f and not any(x.endswith(".crc") for x in f) for f in files)
+
+
 def test_repeated_passages_edges(spark):
     assert repeated_passages(frame(spark, [])).collect() == []
     long = " ".join(f"u{i}" for i in range(30_000))
