@@ -1,6 +1,6 @@
 """Engines that are called side by side under one deadline, in the Python worker that holds their crops.
 
-Each call has a thread of its own, which nobody waits for beyond the deadline: an engine that hangs loses that thread, not the
+Each engine has a thread of its own, which nobody waits for beyond the deadline: an engine that hangs loses that thread, not the
 worker. The answers that came late are dropped. An engine is not safe to be called twice at once, so a later call waits for an
 abandoned one, up to its own deadline; after a streak of time-outs an engine is not called any more in the task.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 import threading
 import time
 from collections.abc import Callable, Iterator
+from queue import Empty, SimpleQueue
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,41 +23,55 @@ from quoin.sources.readings import failure_of
 Recogniser = Callable[[list], list[tuple[str, float]]]
 
 
+#: Readings that a task gathers before they go back to Spark.
+GATHERED = 1000
+
+
+def _serve(name: str, asked: SimpleQueue) -> None:
+    """The calls of one engine, one after the other, until None comes."""
+    for call, deadline, back in iter(asked.get, None):
+        if time.monotonic() < deadline:  # else it waited for an abandoned call; nobody asks for the answer
+            try:
+                answer = (call(), None)
+            except BaseException as e:  # an engine that fails, or exits, never fails the run
+                answer = (None, failure_of(e)[0])
+            back.put((name, answer))
+            del answer
+        del call, back  # nothing is held while there is nothing to do
+
+
 class Calls:
-    """Calls of named engines in one worker; keeps their locks and streaks."""
+    """Calls of named engines in one worker; keeps their threads, which end with it, and streaks."""
 
     def __init__(self, streak: int = STREAK):
-        self.streak, self._locks, self._late = streak, {}, {}
+        self.streak, self._asked, self._late = streak, {}, {}
+
+    def __del__(self):
+        for asked in self._asked.values():
+            asked.put(None)
 
     def off(self, name: str) -> bool:
         return self._late.get(name, 0) >= self.streak
 
+    def _ask(self, name: str, call: Callable[[], object], deadline: float, back: SimpleQueue) -> None:
+        if name not in self._asked:
+            self._asked[name] = SimpleQueue()
+            threading.Thread(target=_serve, args=(name, self._asked[name]), daemon=True, name=f"engine-{name}").start()
+        self._asked[name].put((call, deadline, back))
+
     def answers(self, calls: dict[str, Callable[[], object]], seconds: float) -> dict[str, tuple[object, str | None]]:
         """(answer, None) of each call that is back within `seconds` of now, whatever their number; (None, 'timeout') of those
         that are not, (None, 'off') of engines that are left out, and (None, kind of failure) of those that failed."""
-        deadline, back, ready = time.monotonic() + seconds, {}, threading.Condition()
-
-        def make(name: str, call: Callable[[], object]) -> Callable[[], None]:
-            def work() -> None:
-                with self._locks.setdefault(name, threading.Lock()):
-                    if time.monotonic() >= deadline:
-                        return  # it waited for an abandoned call; nobody asks for the answer
-                    try:
-                        answer = (call(), None)
-                    except Exception as e:  # an engine that fails never fails the run
-                        answer = (None, failure_of(e)[0])
-                with ready:
-                    back[name] = answer
-                    ready.notify()
-
-            return work
-
+        deadline, back, found = time.monotonic() + seconds, SimpleQueue(), {}
         asked = [n for n in calls if not self.off(n)]
         for name in asked:
-            threading.Thread(target=make(name, calls[name]), daemon=True, name=f"engine-{name}").start()
-        with ready:
-            ready.wait_for(lambda: len(back) == len(asked), max(0.0, deadline - time.monotonic()))
-            found = dict(back)
+            self._ask(name, calls[name], deadline, back)
+        try:
+            while len(found) < len(asked):
+                name, answer = back.get(timeout=max(0.0, deadline - time.monotonic()))
+                found[name] = answer
+        except Empty:
+            pass
         for name in asked:
             self._late[name] = 0 if name in found else self._late.get(name, 0) + 1
         return {n: found[n] if n in found else (None, "timeout" if n in asked else "off") for n in calls}
@@ -79,15 +94,20 @@ class EngineGroup:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             made, calls = {name: load() for name, load in engines.items()}, Calls(streak)
             for b in batches:
+                crops, keys, at, rows = b[image].tolist(), b[rest], [], []
                 for i in range(0, len(b), size):
-                    part = b.iloc[i : i + size]
-                    images = part[image].tolist()
+                    images = crops[i : i + size]
                     found = calls.answers({n: lambda f=f: list(f(images)) for n, f in made.items()}, seconds)  # noqa: B023
                     for k, (name, (got, why)) in enumerate(found.items()):
                         if why is None and len(got) != len(images):
                             why = "format"
                         got = got if why is None else [("", 0.0)] * len(images)
-                        yield part[rest].assign(engine_ord=k, engine=name, text=[t for t, _ in got], score=[float(s) for _, s in got], failure=why)
+                        at += range(i, i + len(images))
+                        rows += [(k, name, t, float(s), why) for t, s in got]
+                    if len(rows) >= GATHERED or rows and i + size >= len(b):
+                        ordinals, names, texts, scores, whys = zip(*rows, strict=True)
+                        yield keys.iloc[at].assign(engine_ord=ordinals, engine=names, text=texts, score=scores, failure=whys)
+                        at, rows = [], []
 
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in crops.select(*rest).schema.fields)
         return crops.mapInPandas(run, f"{kinds}, engine_ord int, engine string, text string, score double, failure string")

@@ -79,6 +79,35 @@ def test_engine_group_over_crops(spark):
     assert [got[k, "slow"] for k in (0, 2, 3, 5)] == [(1, "", 0.0, "timeout")] * 2 + [(1, "", 0.0, "off")] * 2
 
 
+def test_an_engine_keeps_its_thread_until_its_calls_go():
+    calls, seen = Calls(), []
+    for _ in range(50):
+        calls.answers({"a": lambda: seen.append(threading.current_thread())}, 5)
+    assert len({id(t) for t in seen}) == 1
+    del calls
+    seen[0].join(5)
+    assert not seen[0].is_alive()
+
+
+def test_an_engine_that_exits_is_called_again():
+    def leaves():
+        raise SystemExit
+
+    calls = Calls(streak=1)
+    assert calls.answers({"a": leaves}, 5) == {"a": (None, "SystemExit")}
+    assert calls.answers({"a": lambda: "ok"}, 5) == {"a": ("ok", None)}
+
+
+def test_readings_of_many_small_batches_go_back_to_spark_together(spark, monkeypatch):
+    crops = spark.createDataFrame([(k, f"t{k}") for k in range(1500)], "k int, image string")
+    group = EngineGroup({"a": lambda: lambda images: [(i, 1.0) for i in images], "b": lambda: lambda images: [] if images == ["t7"] else [("x", 0.5)]}, 5.0, batch=1)
+    want = [(k, *x) for k in range(1500) for x in ((0, "a", f"t{k}", 1.0, None), (1, "b", "" if k == 7 else "x", 0.0 if k == 7 else 0.5, "format" if k == 7 else None))]
+    assert sorted((tuple(r) for r in group.read(crops.coalesce(1)).collect()), key=lambda r: r[:2]) == want
+    monkeypatch.setattr(type(crops), "mapInPandas", lambda self, run, kinds: run)
+    sizes = [len(f) for f in group.read(crops)(iter([crops.toPandas()] * 2 + [crops.limit(0).toPandas()]))]
+    assert sum(sizes) == 6000 and len(sizes) <= 6
+
+
 def test_hung_detector_gives_a_page_without_boxes(spark):
     def load():
         import time
